@@ -66,9 +66,10 @@ def epoch_order(df: DataFrame, id_col: str, epochs: int, shuffle: bool, seed: st
 
     Epochs are generated per row (explode), and positions are dense within each epoch.
     """
-    e = df.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(epochs - 1))))
-    key = hash_key(id_col, seed, "epoch") if shuffle else F.col(id_col).cast("string")
-    e = e.withColumn("_k", key)
+    e = df.withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(epochs - 1).cast("long"))))
+    if not shuffle:
+        return with_row_index(e, [id_col], ["epoch"], out="pos")
+    e = e.withColumn("_k", hash_key(id_col, seed, "epoch"))
     return with_row_index(e, ["_k", id_col], ["epoch"], out="pos").drop("_k")
 
 
@@ -80,8 +81,10 @@ def replica_shard(df: DataFrame, id_col: str, replicas: int, shuffle: bool, seed
     n = df.count()
     total = -(-n // replicas) * replicas
     pad = total - n
-    key = hash_key(id_col, seed) if shuffle else F.col(id_col).cast("string")
-    idx = with_row_index(df.withColumn("_k", key), ["_k", id_col], out="_i").drop("_k")
+    if shuffle:
+        idx = with_row_index(df.withColumn("_k", hash_key(id_col, seed)), ["_k", id_col], out="_i").drop("_k")
+    else:
+        idx = with_row_index(df, [id_col], out="_i")
     padded = idx.unionByName(idx.filter(F.col("_i") < pad).withColumn("_i", F.col("_i") + n))
     return padded.withColumn("replica", (F.col("_i") % replicas).cast("long")).withColumn(
         "slot", F.floor(F.col("_i") / replicas).cast("long")
