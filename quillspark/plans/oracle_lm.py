@@ -53,3 +53,6 @@ cu AS (SELECT *, coalesce(sum(prob) OVER (PARTITION BY ctx ORDER BY l DESC, tok
                                           ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM p1),
 kept AS (SELECT ctx, tok, prob FROM cu WHERE before <= 0.96)
 SELECT ctx, tok, round(prob / sum(prob) OVER (PARTITION BY ctx), 6) AS prob FROM kept"""
+
+# D11 must equal the batch stand-in scorer (D10) on the same documents.
+ORACLE["D11_incremental_score"] = ORACLE["D10_lexical_score"]
