@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -33,30 +34,35 @@ class BigramModel:
     unigrams: DataFrame  # (tok, u)
     total: int           # N: training targets
     vocab: int           # V: distinct training targets
+    bigram_rows: int
+    context_rows: int
     k: float = 1.0
 
 
 def fit(chunks_df: DataFrame, chunk_col: str = "chunk", k: float = 1.0) -> BigramModel:
     """M1: bigram and unigram counts (map-side combined aggregations)."""
     p = pairs(chunks_df, chunk_col)
-    big = p.groupBy("ctx", "tok").agg(F.count(F.lit(1)).alias("n"))
-    ctx = big.groupBy("ctx").agg(F.sum("n").alias("ctx_n"))
-    uni = p.groupBy("tok").agg(F.count(F.lit(1)).alias("u"))
+    # the count tables are reused by the size checks and every join: keep them (spillable)
+    big = p.groupBy("ctx", "tok").agg(F.count(F.lit(1)).alias("n")).persist(StorageLevel.MEMORY_AND_DISK)
+    ctx = big.groupBy("ctx").agg(F.sum("n").alias("ctx_n")).persist(StorageLevel.MEMORY_AND_DISK)
+    uni = big.groupBy("tok").agg(F.sum("n").alias("u")).persist(StorageLevel.MEMORY_AND_DISK)
     stats = uni.agg(F.sum("u").alias("N"), F.count(F.lit(1)).alias("V")).first()
     bigrams = big.join(ctx, "ctx")
-    return BigramModel(bigrams, ctx, uni, int(stats["N"] or 0), int(stats["V"] or 0), k)
+    return BigramModel(bigrams, ctx, uni, int(stats["N"] or 0), int(stats["V"] or 0),
+                       big.count(), ctx.count(), k)
 
 
-def _sized(df: DataFrame) -> DataFrame:
-    return F.broadcast(df) if df.count() <= MODEL_BROADCAST_ROWS else df
+def _sized(df: DataFrame, rows: int) -> DataFrame:
+    """Broadcast a model table only when its (already counted) size is under the bound."""
+    return F.broadcast(df) if rows <= MODEL_BROADCAST_ROWS else df
 
 
 def token_probs(model: BigramModel, ctx_tok: DataFrame) -> DataFrame:
     """Attach p(tok | ctx) to rows holding (ctx, tok); unseen pairs / contexts / tokens are smoothed."""
     j = (
-        ctx_tok.join(_sized(model.bigrams.select("ctx", "tok", "n")), ["ctx", "tok"], "left")
-        .join(_sized(model.contexts), "ctx", "left")
-        .join(_sized(model.unigrams), "tok", "left")
+        ctx_tok.join(_sized(model.bigrams.select("ctx", "tok", "n"), model.bigram_rows), ["ctx", "tok"], "left")
+        .join(_sized(model.contexts, model.context_rows), "ctx", "left")
+        .join(_sized(model.unigrams, model.vocab), "tok", "left")
     )
     return j.withColumn("p", _prob(model)).drop("n", "ctx_n", "u")
 
@@ -92,7 +98,7 @@ def decode_filter(model: BigramModel, params: DecodeParams) -> DataFrame:
     token equal to its context (the one history token a bigram context knows). top_k = 0 is off; the
     nucleus keeps tokens whose preceding cumulative mass is <= top_p, so at least one stays.
     """
-    b = model.bigrams.join(_sized(model.unigrams), "tok", "left")
+    b = model.bigrams.join(_sized(model.unigrams, model.vocab), "tok", "left")
     t = b.select("ctx", "tok", F.log(_prob(model)).alias("l"))
     pen = F.lit(float(params.repetition_penalty))
     t = t.withColumn("l", F.when(F.col("tok") == F.col("ctx"), F.when(F.col("l") < 0, F.col("l") * pen).otherwise(F.col("l") / pen)).otherwise(F.col("l")))
