@@ -23,7 +23,7 @@ def run_incremental(spark: SparkSession, input_dir: str, schema: str, output_dir
                     files_per_batch: int = 1, id_col: str = "doc_id", text_col: str = "text") -> int:
     """Score every file that has arrived in ``input_dir`` (availableNow), then stop.
 
-    Returns the number of micro-batches run in this call.
+    Returns the number of input rows scored in this call (0 when no new file arrived).
     """
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(input_dir)
     q = (
@@ -32,4 +32,4 @@ def run_incremental(spark: SparkSession, input_dir: str, schema: str, output_dir
         .trigger(availableNow=True).start(output_dir)
     )
     q.awaitTermination()
-    return len(q.recentProgress)
+    return int(sum(p["numInputRows"] for p in q.recentProgress))
