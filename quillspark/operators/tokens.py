@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,7 +37,8 @@ def build_vocab(df: DataFrame, tokens_col: str = "tokens", min_count: int = 1) -
     reserved = spark.createDataFrame(
         [(PAD, PAD_ID, 0), (UNK, UNK_ID, 0), (CLS, CLS_ID, 0), (SEP, SEP_ID, 0)], "token string, id long, count long"
     )
-    return reserved.unionByName(words)
+    # reused by the size check and the lookup join: computed once, kept spillable
+    return reserved.unionByName(words).persist(StorageLevel.MEMORY_AND_DISK)
 
 
 def lookup_ids(df: DataFrame, vocab: DataFrame, key: str, tokens_col: str = "tokens", out: str = "ids") -> DataFrame:

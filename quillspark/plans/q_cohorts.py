@@ -42,7 +42,7 @@ def q_a3(spark, sf_dir):
 @register("A4_above_mean")
 def q_a4(spark, sf_dir):
     rows = review_rows(spark, sf_dir)
-    rows = A.above_mean(A.above_mean(rows, "singleparent_share2010"), "perwht")
+    rows = A.above_mean(rows, ["singleparent_share2010", "perwht"])
     parts = [
         rows.groupBy(F.lit(cov).alias("covariate"), F.col(f"{cov}_aboveavg").alias("above"))
         .agg(F.count("correct").alias("n"), F.avg(F.col("correct").cast("double")).alias("accuracy"))

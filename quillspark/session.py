@@ -52,6 +52,23 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{base}/quill-{name}-{uuid.uuid4().hex[:12]}"
 
 
+# Text tables whose per-row work (tokenization) dominates; their scans are rebalanced when too coarse.
+TEXT_TABLES = frozenset({"documents", "conversations", "pages", "benchmark"})
+
+
+def balanced(df):
+    """Round-robin repartition only when the scan has fewer partitions than the session's parallelism.
+
+    A large input split over many files already has enough scan tasks and is left alone; a single
+    unsplittable file (one row group) would otherwise run all per-row work in one task.
+    """
+    target = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < target:
+        return df.repartition(target)
+    return df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str):
-    """Read one of the given parquet tables."""
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    """Read one of the given parquet tables (text tables rebalanced when under-partitioned)."""
+    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    return balanced(df) if name in TEXT_TABLES else df
