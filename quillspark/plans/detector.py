@@ -61,3 +61,25 @@ def review_rows(spark: SparkSession, sf_dir: str, t: float = REVIEW_THRESHOLD, m
     return scored.drop("review_text", "tokens", "l_fake", "l_real", "fake").withColumn(
         "correct", F.col("correct").cast("int")
     )
+
+
+def essay_dataset(spark: SparkSession, sf_dir: str, max_len: int = SCORE_MAX_LEN, skip_tokens: bool = False) -> DataFrame:
+    """P8 rows handed to a model: (id, token_ids, mask, label, text), label 1 (human essays).
+
+    T14: with ``skip_tokens`` the raw text comes back with empty id/mask arrays and no length
+    filter; the tokenization columns are then never computed (Catalyst prunes them).
+    """
+    from quillspark.functions.sequence import mask_ones, special_pad
+    from quillspark.operators.tokens import CLS_ID, SEP_ID, build_vocab, lookup_ids
+
+    rows = index_body(essay_index(spark, sf_dir), essay_bodies(spark, sf_dir), "filename")
+    if skip_tokens:
+        empty = F.array().cast("array<int>")
+        return rows.select(F.col("filename").alias("id"), empty.alias("token_ids"), empty.alias("mask"),
+                           F.lit(1).alias("label"), "text")
+    rows = rows.withColumn("tokens", tokens("text")).filter(F.size("tokens") >= max_len)
+    rows = rows.withColumn("tokens", truncate("tokens", max_len))
+    ids = lookup_ids(rows, build_vocab(rows), "filename")
+    out = rows.join(ids, "filename").withColumn("token_ids", special_pad("ids", max_len, CLS_ID, SEP_ID))
+    return out.select(F.col("filename").alias("id"), "token_ids", mask_ones("token_ids").alias("mask"),
+                      F.lit(1).alias("label"), F.array_join("tokens", " ").alias("text"))

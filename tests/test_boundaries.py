@@ -142,3 +142,14 @@ def test_whole_text_reader_keeps_newlines(spark, tmp_path):
     df = R.read_whole_texts(spark, str(tmp_path), glob="*.txt")
     got = {r["file_name"]: r["text"] for r in df.collect()}
     assert got == {f"e{i}.txt": f"line one {i}\nline two\n" for i in range(3)}
+
+
+def test_skip_tokens_returns_raw_text(spark):
+    from quillspark.plans.detector import essay_dataset
+
+    raw = essay_dataset(spark, "/root/testdata/sf0.001", skip_tokens=True)
+    full = essay_dataset(spark, "/root/testdata/sf0.001")
+    assert raw.count() >= full.count() > 0
+    r = full.first()
+    assert len(r["token_ids"]) == 130 and r["mask"] == [1] * 130
+    assert raw.filter(F.size("token_ids") > 0).count() == 0
