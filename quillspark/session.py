@@ -56,19 +56,30 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 TEXT_TABLES = frozenset({"documents", "conversations", "pages", "benchmark"})
 
 
-def balanced(df):
+_SCAN_PARTITIONS: dict[tuple[str, str], int] = {}
+
+
+def balanced(df, key: tuple[str, str] | None = None):
     """Round-robin repartition only when the scan has fewer partitions than the session's parallelism.
 
     A large input split over many files already has enough scan tasks and is left alone; a single
-    unsplittable file (one row group) would otherwise run all per-row work in one task.
+    unsplittable file (one row group) would otherwise run all per-row work in one task. The scan's
+    partition count is planned once per (application, path).
     """
     target = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < target:
-        return df.repartition(target)
-    return df
+    if key is not None and key in _SCAN_PARTITIONS:
+        n = _SCAN_PARTITIONS[key]
+    else:
+        n = df.rdd.getNumPartitions()
+        if key is not None:
+            _SCAN_PARTITIONS[key] = n
+    return df.repartition(target) if n < target else df
 
 
 def table(spark: SparkSession, sf_dir: str, name: str):
     """Read one of the given parquet tables (text tables rebalanced when under-partitioned)."""
-    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
-    return balanced(df) if name in TEXT_TABLES else df
+    path = f"{sf_dir.rstrip('/')}/{name}.parquet"
+    df = spark.read.parquet(path)
+    if name not in TEXT_TABLES:
+        return df
+    return balanced(df, (spark.sparkContext.applicationId, path))
