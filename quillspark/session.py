@@ -66,13 +66,16 @@ def balanced(df, key: tuple[str, str] | None = None):
     unsplittable file (one row group) would otherwise run all per-row work in one task. The scan's
     partition count is planned once per (application, path).
     """
-    target = df.sparkSession.sparkContext.defaultParallelism
-    if key is not None and key in _SCAN_PARTITIONS:
-        n = _SCAN_PARTITIONS[key]
-    else:
-        n = df.rdd.getNumPartitions()
-        if key is not None:
-            _SCAN_PARTITIONS[key] = n
+    try:
+        target = df.sparkSession.sparkContext.defaultParallelism
+        if key is not None and key in _SCAN_PARTITIONS:
+            n = _SCAN_PARTITIONS[key]
+        else:
+            n = df.rdd.getNumPartitions()
+            if key is not None:
+                _SCAN_PARTITIONS[key] = n
+    except Exception:  # noqa: BLE001 - sessions without RDD access (Spark Connect) keep the scan as is
+        return df
     return df.repartition(target) if n < target else df
 
 
