@@ -197,3 +197,16 @@ def test_chisq_closed_form(spark):
     stat = sum((obs[i][j] - rs[i] * cs[j] / n) ** 2 / (rs[i] * cs[j] / n) for i in range(3) for j in range(2))
     import math
     assert r["statistic"] == pytest.approx(stat) and r["dof"] == 2 and r["p_value"] == pytest.approx(math.exp(-stat / 2))
+
+
+@pytest.mark.parametrize("obs", [[[10, 20], [20, 10]], [[3, 1], [1, 3]], [[50, 48], [52, 50]]])
+def test_chisq_odd_dof_matches_erfc(spark, obs):
+    import math
+    ct = spark.createDataFrame([(f"l{i}", r[0], r[1]) for i, r in enumerate(obs)], "lvl string, correct_0 long, correct_1 long")
+    r = A.chisq(ct).first()
+    rs = [sum(x) for x in obs]
+    cs = [sum(x[j] for x in obs) for j in range(2)]
+    n = sum(rs)
+    stat = sum((obs[i][j] - rs[i] * cs[j] / n) ** 2 / (rs[i] * cs[j] / n) for i in range(2) for j in range(2))
+    assert r["dof"] == 1 and r["statistic"] == pytest.approx(stat)
+    assert r["p_value"] == pytest.approx(math.erfc(math.sqrt(stat / 2)), rel=1e-9, abs=1e-12)
