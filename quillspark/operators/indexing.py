@@ -27,7 +27,7 @@ def _partitions(df: DataFrame, num_partitions: int | None) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
-def _local_cumsum(keys: list[str], value: str):
+def _local_cumsum(keys: list[str], value: str, dtype: str = "int64"):
     """Exclusive running sum of ``value`` within each group, per partition (rows arrive sorted)."""
     sentinel = object()
 
@@ -35,9 +35,9 @@ def _local_cumsum(keys: list[str], value: str):
         last_key, carry = sentinel, 0
         for pdf in batches:
             if pdf.empty:
-                yield pdf.assign(_lcum=pd.Series([], dtype="int64"))
+                yield pdf.assign(_lcum=pd.Series([], dtype=dtype))
                 continue
-            v = pdf[value].fillna(0).astype("int64").to_numpy()
+            v = pdf[value].fillna(0).astype(dtype).to_numpy()
             if keys:
                 key_obj = pdf[keys].astype(object).where(pdf[keys].notna(), None)
                 tuples = list(key_obj.itertuples(index=False, name=None))
@@ -49,8 +49,8 @@ def _local_cumsum(keys: list[str], value: str):
             cs = np.cumsum(v) - v
             base = np.concatenate([[-carry], cs[np.flatnonzero(new)]])
             cum = cs - base[gid]
-            carry, last_key = int(cum[-1] + v[-1]), tuples[-1]
-            yield pdf.assign(_lcum=cum.astype("int64"))
+            carry, last_key = cum[-1] + v[-1], tuples[-1]
+            yield pdf.assign(_lcum=cum.astype(dtype))
 
     return run
 
@@ -79,22 +79,27 @@ def with_row_index(
         .withColumn("_pid", F.spark_partition_id())
         .withColumn("_lpos", F.monotonically_increasing_id() - F.shiftleft(F.spark_partition_id().cast("long"), 33))
     )
+    integral = True
     if cum_of is not None:
-        schema = T.StructType(ranged.schema.fields + [T.StructField("_lcum", T.LongType())])
-        ranged = ranged.mapInPandas(_local_cumsum(group_cols, cum_of), schema)
+        integral = isinstance(df.schema[cum_of].dataType, (T.ByteType, T.ShortType, T.IntegerType, T.LongType))
+        cum_type = T.LongType() if integral else T.DoubleType()
+        schema = T.StructType(ranged.schema.fields + [T.StructField("_lcum", cum_type)])
+        ranged = ranged.mapInPandas(_local_cumsum(group_cols, cum_of, "int64" if integral else "float64"), schema)
     # Pin the range bounds: the stats pass and the final pass must see the same partitions.
     ranged = ranged.persist(StorageLevel.MEMORY_AND_DISK)
 
     aggs = [F.count(F.lit(1)).alias("_cnt"), F.min("_lpos").alias("_first")]
     if cum_of is not None:
-        aggs.append(F.sum(F.coalesce(F.col(cum_of).cast("long"), F.lit(0))).alias("_sum"))
+        v = F.col(cum_of).cast("long" if integral else "double")
+        aggs.append(F.sum(F.coalesce(v, F.lit(0).cast("long" if integral else "double"))).alias("_sum"))
     stats = ranged.groupBy("_pid", *group_cols).agg(*aggs)
     w = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     if group_cols:
         w = Window.partitionBy(*group_cols).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     offsets = stats.withColumn("_off", F.coalesce(F.sum("_cnt").over(w), F.lit(0)))
     if cum_of is not None:
-        offsets = offsets.withColumn("_soff", F.coalesce(F.sum("_sum").over(w), F.lit(0)))
+        zero = F.lit(0).cast("long" if integral else "double")
+        offsets = offsets.withColumn("_soff", F.coalesce(F.sum("_sum").over(w), zero))
     offsets = offsets.drop("_cnt", "_sum")
 
     # Without groups the table has at most n rows; with groups its size is counted first.

@@ -13,10 +13,15 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillspark.operators.indexing import with_row_index
+
 # Begin-of-chunk context marker (the tokenizer can never produce it).
 BOS = "<s>"
 # Model tables up to this many rows are broadcast into joins; larger ones are shuffle-joined.
 MODEL_BROADCAST_ROWS = 2_000_000
+# A context with at most this many followers is ranked by a window inside one task; beyond it
+# (a hot context) the range-partitioned plan spreads the context over several tasks.
+CONTEXT_WINDOW_ROWS = 1_000_000
 
 
 def pairs(chunks_df: DataFrame, chunk_col: str = "chunk", keep=()) -> DataFrame:
@@ -36,6 +41,7 @@ class BigramModel:
     vocab: int           # V: distinct training targets
     bigram_rows: int
     context_rows: int
+    max_followers: int
     k: float = 1.0
 
 
@@ -44,12 +50,15 @@ def fit(chunks_df: DataFrame, chunk_col: str = "chunk", k: float = 1.0) -> Bigra
     p = pairs(chunks_df, chunk_col)
     # the count tables are reused by the size checks and every join: keep them (spillable)
     big = p.groupBy("ctx", "tok").agg(F.count(F.lit(1)).alias("n")).persist(StorageLevel.MEMORY_AND_DISK)
-    ctx = big.groupBy("ctx").agg(F.sum("n").alias("ctx_n")).persist(StorageLevel.MEMORY_AND_DISK)
+    ctx_f = big.groupBy("ctx").agg(F.sum("n").alias("ctx_n"), F.count(F.lit(1)).alias("_f"))
+    ctx_f = ctx_f.persist(StorageLevel.MEMORY_AND_DISK)
+    ctx = ctx_f.select("ctx", "ctx_n")
     uni = big.groupBy("tok").agg(F.sum("n").alias("u")).persist(StorageLevel.MEMORY_AND_DISK)
     stats = uni.agg(F.sum("u").alias("N"), F.count(F.lit(1)).alias("V")).first()
+    cstats = ctx_f.agg(F.count(F.lit(1)).alias("C"), F.sum("_f").alias("B"), F.max("_f").alias("F")).first()
     bigrams = big.join(ctx, "ctx")
     return BigramModel(bigrams, ctx, uni, int(stats["N"] or 0), int(stats["V"] or 0),
-                       big.count(), ctx.count(), k)
+                       int(cstats["B"] or 0), int(cstats["C"] or 0), int(cstats["F"] or 0), k)
 
 
 def _sized(df: DataFrame, rows: int) -> DataFrame:
@@ -91,22 +100,39 @@ class DecodeParams:
     top_p: float = 1.0
 
 
+def _per_ctx(model: BigramModel, df: DataFrame) -> DataFrame:
+    """A one-row-per-context table, broadcast when the (already counted) number of contexts is small."""
+    return _sized(df, model.context_rows)
+
+
 def decode_filter(model: BigramModel, params: DecodeParams) -> DataFrame:
     """M3: next-token distributions per context: penalty -> temperature -> top-k -> top-p -> renormalise.
 
     Candidates are the observed followers of each context. The repetition penalty applies to the
-    token equal to its context (the one history token a bigram context knows). top_k = 0 is off; the
-    nucleus keeps tokens whose preceding cumulative mass is <= top_p, so at least one stays.
+    token equal to its context (the one history token a bigram context knows). top_k = 0 is off and
+    keeps ties at the k-th value; the nucleus keeps tokens whose preceding cumulative mass is
+    <= top_p, so at least one stays.
+
+    When the largest context has at most CONTEXT_WINDOW_ROWS followers (counted at fit time),
+    per-context windows rank it inside one task (one shuffle). Otherwise positions and running mass
+    come from the range-partitioned index helper, so a hot context spans several tasks.
     """
     b = model.bigrams.join(_sized(model.unigrams, model.vocab), "tok", "left")
     t = b.select("ctx", "tok", F.log(_prob(model)).alias("l"))
     pen = F.lit(float(params.repetition_penalty))
-    t = t.withColumn("l", F.when(F.col("tok") == F.col("ctx"), F.when(F.col("l") < 0, F.col("l") * pen).otherwise(F.col("l") / pen)).otherwise(F.col("l")))
+    penalised = F.when(F.col("l") < 0, F.col("l") * pen).otherwise(F.col("l") / pen)
+    t = t.withColumn("l", F.when(F.col("tok") == F.col("ctx"), penalised).otherwise(F.col("l")))
     t = t.withColumn("l", F.col("l") / F.lit(float(params.temperature)))
+    if model.max_followers <= CONTEXT_WINDOW_ROWS:
+        return _filter_by_windows(t, params)
+    return _filter_by_index(model, t, params)
+
+
+def _filter_by_windows(t: DataFrame, params: DecodeParams) -> DataFrame:
     by_ctx = Window.partitionBy("ctx")
-    ordered = Window.partitionBy("ctx").orderBy(F.col("l").desc(), F.col("tok"))
+    ordered = by_ctx.orderBy(F.col("l").desc(), F.col("tok"))
     if params.top_k and params.top_k > 0:
-        t = t.withColumn("_r", F.rank().over(Window.partitionBy("ctx").orderBy(F.col("l").desc()))).filter(
+        t = t.withColumn("_r", F.rank().over(by_ctx.orderBy(F.col("l").desc()))).filter(
             F.col("_r") <= params.top_k).drop("_r")
     t = t.withColumn("_e", F.exp(F.col("l") - F.max("l").over(by_ctx)))
     t = t.withColumn("prob", F.col("_e") / F.sum("_e").over(by_ctx))
@@ -115,3 +141,28 @@ def decode_filter(model: BigramModel, params: DecodeParams) -> DataFrame:
         t = t.withColumn("_before", F.coalesce(before, F.lit(0.0))).filter(F.col("_before") <= params.top_p)
         t = t.withColumn("prob", F.col("prob") / F.sum("prob").over(by_ctx))
     return t.select("ctx", "tok", "prob")
+
+
+def _per_ctx(model: BigramModel, df: DataFrame) -> DataFrame:
+    """A one-row-per-context table, broadcast when the (already counted) number of contexts is small."""
+    return _sized(df, model.context_rows)
+
+
+def _filter_by_index(model: BigramModel, t: DataFrame, params: DecodeParams) -> DataFrame:
+    t = t.withColumn("_neg", -F.col("l"))
+    if params.top_k and params.top_k > 0:
+        ranked = with_row_index(t, ["_neg", "tok"], ["ctx"], out="_r")
+        kth = ranked.filter(F.col("_r") == params.top_k - 1).select("ctx", F.col("l").alias("_kth"))
+        t = ranked.join(_per_ctx(model, kth), "ctx", "left").filter(
+            F.col("_kth").isNull() | (F.col("l") >= F.col("_kth"))).drop("_r", "_kth")
+    mx = t.groupBy("ctx").agg(F.max("l").alias("_mx"))
+    t = t.join(_per_ctx(model, mx), "ctx").withColumn("_e", F.exp(F.col("l") - F.col("_mx")))
+    z = t.groupBy("ctx").agg(F.sum("_e").alias("_z"))
+    t = t.join(_per_ctx(model, z), "ctx").withColumn("prob", F.col("_e") / F.col("_z"))
+    if params.top_p < 1.0:
+        t = t.select("ctx", "tok", "_neg", "prob")
+        run = with_row_index(t, ["_neg", "tok"], ["ctx"], out="_r", cum_of="prob", cum_out="_before")
+        t = run.filter(F.col("_before") <= params.top_p)
+        kept = t.groupBy("ctx").agg(F.sum("prob").alias("_kz"))
+        t = t.join(_per_ctx(model, kept), "ctx").withColumn("prob", F.col("prob") / F.col("_kz"))
+    return t.select("ctx", "tok", "prob")

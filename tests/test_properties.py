@@ -210,3 +210,20 @@ def test_chisq_odd_dof_matches_erfc(spark, obs):
     stat = sum((obs[i][j] - rs[i] * cs[j] / n) ** 2 / (rs[i] * cs[j] / n) for i in range(2) for j in range(2))
     assert r["dof"] == 1 and r["statistic"] == pytest.approx(stat)
     assert r["p_value"] == pytest.approx(math.erfc(math.sqrt(stat / 2)), rel=1e-9, abs=1e-12)
+
+
+def test_hot_context_plan_equals_window_plan(spark, monkeypatch):
+    """The skew-safe (range-partitioned) filter and cumulative table equal the window versions."""
+    model = M.fit(corpus(spark))
+    params = M.DecodeParams(0.7, 1.3, 2, 0.9)
+    a = {(r["ctx"], r["tok"]): r["prob"] for r in M.decode_filter(model, params).collect()}
+    ta = {(r["ctx"], r["tok"]): (r["lo"], r["hi"], r["rank"]) for r in G.cumulative(M.decode_filter(model, params)).collect()}
+    monkeypatch.setattr(M, "CONTEXT_WINDOW_ROWS", 0)
+    monkeypatch.setattr(G, "CONTEXT_WINDOW_ROWS", 0)
+    b = {(r["ctx"], r["tok"]): r["prob"] for r in M.decode_filter(model, params).collect()}
+    tb = {(r["ctx"], r["tok"]): (r["lo"], r["hi"], r["rank"]) for r in G.cumulative(M.decode_filter(model, params)).collect()}
+    assert a.keys() == b.keys() and all(abs(a[k] - b[k]) < 1e-12 for k in a)
+    assert ta.keys() == tb.keys()
+    for k in ta:
+        assert ta[k][2] == tb[k][2] and abs(ta[k][0] - tb[k][0]) < 1e-12
+        assert ta[k][1] == tb[k][1] or abs(ta[k][1] - tb[k][1]) < 1e-12
