@@ -188,7 +188,7 @@ def q_k4(spark, sf_dir):
     path = scratch_path(spark, "prepared")
     rows = labelled(spark, sf_dir).withColumn("tokens", tokens("text"))
     vocab = TK.build_vocab(rows, min_count=2)
-    ids = TK.lookup_ids(rows, vocab, "id")
+    ids = TK.lookup_ids(rows.withColumn("tokens", F.slice("tokens", 1, 8)), vocab, "id")
     prepared = rows.select("id", "label").join(ids, "id").select(
         "id", "label", joined(F.slice("ids", 1, 8)).alias("head_ids"),
         F.when(F.col("label") == 1, "human").otherwise("gpt2_p100").alias("gen_method"),
