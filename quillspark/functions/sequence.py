@@ -36,8 +36,8 @@ def mask_ones(ids) -> Column:
 
 def mask_prefix(text_len, max_len: int) -> Column:
     """mask[i] = 1 for i < min(max_len+2, text_len); text_len excludes the special tokens."""
-    n = _c(text_len)
-    return F.transform(F.sequence(F.lit(0), F.lit(max_len + 1)), lambda i: F.when(i < n, 1).otherwise(0))
+    ones = F.least(F.greatest(_c(text_len), F.lit(0)), F.lit(max_len + 2))
+    return F.concat(F.array_repeat(F.lit(1), ones), F.array_repeat(F.lit(0), F.lit(max_len + 2) - ones))
 
 
 def chunks(toks, seq_len: int) -> Column:

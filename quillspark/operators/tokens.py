@@ -58,10 +58,13 @@ def lookup_ids(df: DataFrame, vocab: DataFrame, key: str, tokens_col: str = "tok
 
 
 def lines(text) -> F.Column:
-    """Lines as Python iterates a text file: universal newlines, no empty piece after a final newline."""
-    t = F.regexp_replace(text if not isinstance(text, str) else F.col(text), r"\r\n?", "\n")
-    parts = F.split(t, "\n", -1)
-    return F.when(F.element_at(parts, -1) == "", F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
+    """Lines as Python iterates a text file: universal newlines, no empty piece after a final newline.
+
+    ``text`` should be a column (not a nested expression): it is referenced twice.
+    """
+    t = F.col(text) if isinstance(text, str) else text
+    body = F.regexp_replace(F.regexp_replace(t, r"\r\n?", "\n"), r"\n\z", "")
+    return F.when(t == "", F.array().cast("array<string>")).otherwise(F.split(body, "\n", -1))
 
 
 def capped_texts(df: DataFrame, path_col: str, idx_col: str, chunks_col: str, n_batches: int) -> DataFrame:
@@ -83,11 +86,9 @@ def whole_mode_counts(df: DataFrame, text_col: str, seq_len: int, group_cols=())
     """T11 (whole-file mode): n_tokens (sum of chunk lengths), n_original_tokens, n_chunks."""
     from quillspark.functions.text import tokens
 
-    c = df.select(
-        *group_cols,
-        chunks(tokens(text_col), seq_len).alias("_chunks"),
-        space_pieces(py_strip(text_col)).alias("_orig"),
-    )
+    # tokens are a column of their own: the chunk expression references them several times
+    c = df.select(*group_cols, tokens(text_col).alias("_t"), space_pieces(py_strip(text_col)).alias("_orig"))
+    c = c.select(*group_cols, chunks("_t", seq_len).alias("_chunks"), "_orig")
     return c.groupBy(*group_cols).agg(
         F.sum(F.aggregate("_chunks", F.lit(0), lambda acc, x: acc + F.size(x))).cast("long").alias("n_tokens"),
         F.sum("_orig").cast("long").alias("n_original_tokens"),
@@ -101,9 +102,8 @@ def line_mode_counts(df: DataFrame, text_col: str, seq_len: int, group_cols=(),
     from quillspark.functions.text import tokens
 
     ls = df.select(*group_cols, F.explode(lines(text_col)).alias("line"))
-    nonblank = F.col("line").rlike(r"\S")
-    toks = tokens("line")
-    per_line = F.when(nonblank, F.array(head_chunk(toks, seq_len)) if fast else chunks(toks, seq_len))
+    ls = ls.select(*group_cols, "line", F.col("line").rlike(r"\S").alias("_nb"), tokens("line").alias("_t"))
+    per_line = F.when(F.col("_nb"), F.array(head_chunk("_t", seq_len)) if fast else chunks("_t", seq_len))
     c = ls.select(*group_cols, space_pieces("line").alias("_orig"), per_line.alias("_chunks"))
     return c.groupBy(*group_cols).agg(
         F.coalesce(F.sum(F.aggregate("_chunks", F.lit(0), lambda acc, x: acc + F.size(x))), F.lit(0)).cast("long").alias("n_tokens"),

@@ -55,14 +55,14 @@ def essay_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(url, review_text, singleparent_share2010, perwht, urbanicity)."""
-    d = table(spark, sf_dir, "documents").select("doc_id", "text", "n_chars")
+    d = table(spark, sf_dir, "documents").select("doc_id", "text", "n_chars", tokens("text").alias("_t"))
     return d.select(
         F.concat(F.lit("doc/"), F.col("doc_id").cast("string")).alias("url"),
         F.col("text").alias("review_text"),
         F.when(F.col("doc_id") % MISSING_COVARIATE_MODULUS == 0, F.lit(None).cast("double"))
         .otherwise(F.col("n_chars").cast("double"))
         .alias("singleparent_share2010"),
-        type_token_ratio(tokens("text")).alias("perwht"),
+        type_token_ratio("_t").alias("perwht"),
         (F.col("doc_id") % URBANICITY_MODULUS).cast("string").alias("urbanicity"),
     )
 

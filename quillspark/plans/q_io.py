@@ -6,6 +6,7 @@ and reads it back with the matching reader, so the work grows with the tables.
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import functions as F
 
 from quillspark.functions.text import joined, python_repr, tokens
@@ -186,7 +187,8 @@ def q_k2(spark, sf_dir):
 @register("K4_prepared_sink")
 def q_k4(spark, sf_dir):
     path = scratch_path(spark, "prepared")
-    rows = labelled(spark, sf_dir).withColumn("tokens", tokens("text"))
+    # tokenized once and reused by the vocabulary, the lookup and the final projection
+    rows = labelled(spark, sf_dir).withColumn("tokens", tokens("text")).persist(StorageLevel.MEMORY_AND_DISK)
     vocab = TK.build_vocab(rows, min_count=2)
     ids = TK.lookup_ids(rows.withColumn("tokens", F.slice("tokens", 1, 8)), vocab, "id")
     prepared = rows.select("id", "label").join(ids, "id").select(

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import functions as F
 
 from quillspark.functions import sequence as S
@@ -151,7 +152,8 @@ def q_p7(spark, sf_dir):
 
 @register("P8_output_projection")
 def q_p8(spark, sf_dir):
-    rows = labelled(spark, sf_dir).withColumn("tokens", tokens("text"))
+    # tokenized once and reused by the vocabulary, the lookup and the final projection
+    rows = labelled(spark, sf_dir).withColumn("tokens", tokens("text")).persist(StorageLevel.MEMORY_AND_DISK)
     vocab = TK.build_vocab(rows, min_count=2)
     rows = rows.filter(F.size("tokens") >= TRAIN_MAX_LEN).withColumn("tokens", S.truncate("tokens", TRAIN_MAX_LEN))
     ids = TK.lookup_ids(rows, vocab, "id")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import functions as F
 
 from quillspark.functions import sequence as S
@@ -24,8 +25,11 @@ TOKEN_CAP = 64
 BATCH_CAP = 3
 
 
-def doc_tokens(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", tokens("text").alias("tokens"))
+def doc_tokens(spark, sf_dir, shared: bool = False):
+    """(doc_id, tokens). ``shared`` keeps the tokenized corpus (spillable) when a query reads it more
+    than once: re-running the tokenizer over whole texts costs more than reading the cache."""
+    dt = table(spark, sf_dir, "documents").select("doc_id", tokens("text").alias("tokens"))
+    return dt.persist(StorageLevel.MEMORY_AND_DISK) if shared else dt
 
 
 def doc_ids(spark, sf_dir, head: int | None = None):
@@ -34,7 +38,7 @@ def doc_ids(spark, sf_dir, head: int | None = None):
     The vocabulary always counts whole texts; with ``head`` only the first ``head`` tokens of each
     document are looked up (what padding / model windows keep), which bounds the exploded rows.
     """
-    dt = doc_tokens(spark, sf_dir)
+    dt = doc_tokens(spark, sf_dir, shared=True)
     vocab = TK.build_vocab(dt, min_count=MIN_COUNT)
     if head is not None:
         dt = dt.withColumn("tokens", F.slice("tokens", 1, head))
@@ -111,7 +115,8 @@ def q_t9(spark, sf_dir):
 @register("T10_caps")
 def q_t10(spark, sf_dir):
     ls = doc_lines(spark, sf_dir).filter(F.col("line").rlike(r"\S"))
-    ls = ls.select("doc_id", "line_idx", S.chunks(F.slice(tokens("line"), 1, TOKEN_CAP), LM_SEQ_LEN).alias("chunks"))
+    ls = ls.select("doc_id", "line_idx", F.slice(tokens("line"), 1, TOKEN_CAP).alias("capped"))
+    ls = ls.select("doc_id", "line_idx", S.chunks("capped", LM_SEQ_LEN).alias("chunks"))
     kept = TK.capped_texts(ls, "doc_id", "line_idx", "chunks", BATCH_CAP)
     return kept.select("doc_id", "line_idx", F.size("chunks").cast("long").alias("n_chunks"))
 
@@ -139,7 +144,7 @@ def q_t12(spark, sf_dir):
 
 @register("T13_model_window")
 def q_t13(spark, sf_dir):
-    counts = doc_tokens(spark, sf_dir).select("doc_id", F.size("tokens").cast("long").alias("all_tokens"))
+    counts = doc_tokens(spark, sf_dir, shared=True).select("doc_id", F.size("tokens").cast("long").alias("all_tokens"))
     ids = doc_ids(spark, sf_dir, head=MODEL_MAX - 2).join(counts, "doc_id")
     return ids.select(
         "doc_id", "all_tokens",
