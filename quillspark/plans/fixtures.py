@@ -48,14 +48,14 @@ def essay_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def essay_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(filename, text): one body per document."""
-    return table(spark, sf_dir, "documents").select(
+    return table(spark, sf_dir, "documents", balance=True).select(
         F.col("doc_id").cast("string").alias("filename"), "text"
     )
 
 
 def reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(url, review_text, singleparent_share2010, perwht, urbanicity)."""
-    d = table(spark, sf_dir, "documents").select("doc_id", "text", "n_chars", tokens("text").alias("_t"))
+    d = table(spark, sf_dir, "documents", balance=True).select("doc_id", "text", "n_chars", tokens("text").alias("_t"))
     return d.select(
         F.concat(F.lit("doc/"), F.col("doc_id").cast("string")).alias("url"),
         F.col("text").alias("review_text"),
@@ -69,14 +69,14 @@ def reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def real_web_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(id, ended, text) of the real side."""
-    return table(spark, sf_dir, "documents").select(
+    return table(spark, sf_dir, "documents", balance=True).select(
         F.col("doc_id").cast("string").alias("id"), F.lit(True).alias("ended"), "text"
     )
 
 
 def generated_web_text(spark: SparkSession, sf_dir: str, roles=("assistant",)) -> DataFrame:
     """(id, text) of the generated side: conversation turns, id = conv_id '-' turn."""
-    c = table(spark, sf_dir, "conversations")
+    c = table(spark, sf_dir, "conversations", balance=True)
     if roles:
         c = c.filter(F.col("role").isin(*roles))
     return c.select(

@@ -131,7 +131,7 @@ def q_d6(spark, sf_dir):
 
 @register("D7_last_write")
 def q_d7(spark, sf_dir):
-    c = table(spark, sf_dir, "conversations").select(
+    c = table(spark, sf_dir, "conversations", balance=True).select(
         F.col("conv_id").cast("string").alias("id"), "turn", tokens("text").alias("tokens")
     )
     c = D.softmax(D.lexical_logits(c))
@@ -140,5 +140,5 @@ def q_d7(spark, sf_dir):
 
 @register("D10_lexical_score")
 def q_d10(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").select("doc_id", tokens("text").alias("tokens"))
+    d = table(spark, sf_dir, "documents", balance=True).select("doc_id", tokens("text").alias("tokens"))
     return rounded(D.lexical_logits(d).select("doc_id", "l_fake", "l_real"))

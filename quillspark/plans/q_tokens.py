@@ -28,7 +28,7 @@ BATCH_CAP = 3
 def doc_tokens(spark, sf_dir, shared: bool = False):
     """(doc_id, tokens). ``shared`` keeps the tokenized corpus (spillable) when a query reads it more
     than once: re-running the tokenizer over whole texts costs more than reading the cache."""
-    dt = table(spark, sf_dir, "documents").select("doc_id", tokens("text").alias("tokens"))
+    dt = table(spark, sf_dir, "documents", balance=True).select("doc_id", tokens("text").alias("tokens"))
     return dt.persist(StorageLevel.MEMORY_AND_DISK) if shared else dt
 
 
@@ -96,7 +96,7 @@ def q_t8(spark, sf_dir):
 
 
 def doc_lines(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(TK.lines("text")).alias("line_idx", "line"))
+    d = table(spark, sf_dir, "documents", balance=True).select("doc_id", F.posexplode(TK.lines("text")).alias("line_idx", "line"))
     return d.withColumn("line_idx", F.col("line_idx").cast("long"))
 
 

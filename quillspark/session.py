@@ -52,8 +52,6 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{base}/quill-{name}-{uuid.uuid4().hex[:12]}"
 
 
-# Text tables whose per-row work (tokenization) dominates; their scans are rebalanced when too coarse.
-TEXT_TABLES = frozenset({"documents", "conversations", "pages", "benchmark"})
 
 
 _SCAN_PARTITIONS: dict[tuple[str, str], int] = {}
@@ -79,10 +77,12 @@ def balanced(df, key: tuple[str, str] | None = None):
     return df.repartition(target) if n < target else df
 
 
-def table(spark: SparkSession, sf_dir: str, name: str):
-    """Read one of the given parquet tables (text tables rebalanced when under-partitioned)."""
+def table(spark: SparkSession, sf_dir: str, name: str, balance: bool = False):
+    """Read one of the given parquet tables.
+
+    ``balance`` is for reads that feed heavy per-row work (tokenization): such a scan is rebalanced
+    when it has too few partitions. Thin reads (ids, labels) are left as scanned.
+    """
     path = f"{sf_dir.rstrip('/')}/{name}.parquet"
     df = spark.read.parquet(path)
-    if name not in TEXT_TABLES:
-        return df
-    return balanced(df, (spark.sparkContext.applicationId, path))
+    return balanced(df, (spark.sparkContext.applicationId, path)) if balance else df
