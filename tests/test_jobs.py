@@ -47,3 +47,23 @@ def test_user_scorer_path(spark):
     out = DT.score_with(df, lambda s: np.stack([np.zeros(len(s)), s.str.len().to_numpy() - 2.0], axis=1)).collect()
     got = {r["id"]: (round(r["real"], 6), r["correct"]) for r in out}
     assert got == {"a": (round(1 / (1 + np.exp(-3.0)), 6), True), "b": (round(1 / (1 + np.exp(1.0)), 6), True)}
+
+
+def test_queries_run_outside_the_repo_directory(tmp_path):
+    """Python-worker kernels must not depend on the package being importable on the executors."""
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    repo = str(Path(__file__).resolve().parents[1])
+    code = (
+        "import sys; sys.path.insert(0, %r)\n"
+        "from pyspark.sql import SparkSession\n"
+        "s = SparkSession.builder.master('local[2]').config('spark.ui.enabled', 'false')"
+        ".config('spark.sql.shuffle.partitions', '2').getOrCreate()\n"
+        "import __spark_entry__ as e\n"
+        "print('ROWS', e.queries()['M4_generate'](s, %r).count())\n" % (repo, SF)
+    )
+    out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True, timeout=600)
+    assert out.returncode == 0, out.stderr[-2000:]
+    assert "ROWS " in out.stdout and int(out.stdout.split("ROWS ")[1].split()[0]) > 0
