@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm import decontaminate, exact_dedup, mixing
+from quillspark.llm import decontaminate, exact_dedup, mixing, ngram_join
 from quillspark.llm.sql import SQL  # noqa: F401
 from quillspark.llm.store import read_documents
 
@@ -22,6 +22,12 @@ def register(fn):
     return fn
 
 
+@register
+def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three-word shingles, 100 * intersection >= 90 * union."""
+    return ngram_join.jaccard_components(read_documents(spark, sf_dir).select("doc_id", "text"), n=3, num=9, den=10)
+
+
 @register
 def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One source for each document; the mix takes 150% of all words, by weights 5, 2, 1 over the sources in order."""
