@@ -89,11 +89,13 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     r = with_identifiers(recipes(docs, id_col, text_col))
     key = F.xxhash64("recipe").alias("key")
     best = F.max(F.struct("n_chars", (-F.col("doc_id")).alias("neg"), (-F.col("row")).alias("negrow")))
-    groups = r.groupBy(key, "recipe").agg(F.count("*").alias("group_size"), best.alias("best"))
-    groups = groups.select(F.col("key").alias("gkey"), F.col("recipe").alias("grecipe"), "group_size", (-F.col("best.neg")).alias("keep_id"), (-F.col("best.negrow")).alias("keep_row"))
+    groups = r.groupBy(key, "recipe").agg(F.count("*").alias("size"), best.alias("best")).where("size > 1")
+    groups = groups.select(F.col("key").alias("gkey"), F.col("recipe").alias("grecipe"), "size", F.col("best.neg").alias("neg"), F.col("best.negrow").alias("negrow"))
+    groups = written(groups, "groups")  # a plain table on this side lets Spark split a large group's rows
     rows = r.select("row", "doc_id", "n_chars", "text_sha256", "recipe", key)
-    joined = rows.join(groups, (F.col("key") == F.col("gkey")) & (F.col("recipe") == F.col("grecipe")))
-    return joined.select("doc_id", "keep_id", "group_size", (F.col("row") == F.col("keep_row")).alias("kept"), "text_sha256", "n_chars")
+    joined = rows.join(groups, (F.col("key") == F.col("gkey")) & (F.col("recipe") == F.col("grecipe")), "left")
+    keep_id, keep_row = F.when(F.col("size").isNull(), F.col("doc_id")).otherwise(-F.col("neg")), F.coalesce(-F.col("negrow"), F.col("row"))
+    return joined.select("doc_id", keep_id.alias("keep_id"), F.coalesce("size", F.lit(1)).cast("long").alias("group_size"), (F.col("row") == keep_row).alias("kept"), "text_sha256", "n_chars")
 
 
 def keep_distinct(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
