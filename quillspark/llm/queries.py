@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm import decontaminate, exact_dedup, mixing, ngram_join
+from quillspark.llm import decontaminate, exact_dedup, mixing, ngram_join, substring_dedup
 from quillspark.llm.sql import SQL  # noqa: F401
 from quillspark.llm.store import read_documents
 
@@ -36,6 +36,12 @@ def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "source_size", F.round("target", 3).alias("target"), "taken")
 
 
+@register
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows of 20 words."""
+    return substring_dedup.without_repeats(read_documents(spark, sf_dir).select("doc_id", "text")).drop("removed")
+
+
 @register
 def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, bench = read_documents(spark, sf_dir).select("doc_id", "text"), read_documents(spark, sf_dir, "benchmark")
