@@ -52,9 +52,9 @@ def _decode(part: bytes) -> np.ndarray:
 PARTIALS = "block int, part binary"
 
 
-def summed(df: DataFrame, length: int, block: int, dtype, parts: int = 32) -> np.ndarray:
-    """Sum of the partial vectors of ``df`` (rows of ``partials``): blocks are dealt out, each task adds up what comes
-    in, row by row, and the driver gets one vector of the given fixed length. ``|`` instead of ``+`` for booleans."""
+def summed(df: DataFrame, length: int, block: int, dtype, bits: bool = False, parts: int = 32) -> np.ndarray:
+    """Sum (with ``bits``: bitwise or) of the partial vectors of ``df`` (rows of ``partials``): blocks are dealt out, each task
+    adds up what comes in, row by row, and the driver gets one vector of the given fixed length."""
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
@@ -63,8 +63,8 @@ def summed(df: DataFrame, length: int, block: int, dtype, parts: int = 32) -> np
                 v = _decode(part)
                 if k not in sums:
                     sums[k] = np.zeros(len(v), dtype)
-                if np.dtype(dtype) == np.bool_:
-                    sums[k] |= v.astype(bool)
+                if bits:
+                    sums[k] |= v
                 else:
                     sums[k] += v
         yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([v.tobytes() for v in sums.values()], pa.binary())], ["block", "part"])
@@ -94,7 +94,7 @@ def id_filter(ids: DataFrame, expected: int) -> Callable[[np.ndarray], np.ndarra
                 seen[s] = True
         yield partials(np.packbits(seen), block)
 
-    packed = summed(ids.mapInArrow(fill, PARTIALS), 1 << (bits - 3), block, np.uint8) if expected else np.zeros(1 << (bits - 3), np.uint8)
+    packed = summed(ids.mapInArrow(fill, PARTIALS), 1 << (bits - 3), block, np.uint8, bits=True) if expected else np.zeros(1 << (bits - 3), np.uint8)
     return _Filter(packed, bits)
 
 
