@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm import decontaminate, exact_dedup, mixing, ngram_join, substring_dedup
+from quillspark.llm import decontaminate, exact_dedup, language_id, mixing, ngram_join, quality, substring_dedup
 from quillspark.llm.sql import SQL  # noqa: F401
 from quillspark.llm.store import read_documents
 
@@ -22,6 +22,11 @@ def register(fn):
     return fn
 
 
+@register
+def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_scores(read_documents(spark, sf_dir).select("doc_id", "text"), read_documents(spark, sf_dir, "labels"))
+
+
 @register
 def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three-word shingles, 100 * intersection >= 90 * union."""
@@ -50,6 +55,11 @@ def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return found.select("doc_id", "n_words", n.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (n > 0).alias("contaminated"))
 
 
+@register
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.language_scores(read_documents(spark, sf_dir).select("doc_id", "text", "lang"))
+
+
 @register
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(read_documents(spark, sf_dir).select("doc_id", "text")).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
