@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm import decontaminate, exact_dedup, language_id, mixing, ngram_join, quality, substring_dedup
+from quillspark.llm import decontaminate, exact_dedup, language_id, line_dedup, lm_scoring, mixing, ngram_join, quality, substring_dedup
 from quillspark.llm.sql import SQL  # noqa: F401
 from quillspark.llm.store import read_documents
 
@@ -55,11 +55,24 @@ def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return found.select("doc_id", "n_words", n.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (n > 0).alias("contaminated"))
 
 
+@register
+def op6_fuzzy_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = line_dedup.fuzzy_line_dedup(read_documents(spark, sf_dir).select("doc_id", "text"))
+    return out.withColumn("removed", F.array_join("removed", ","))
+
+
 @register
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.language_scores(read_documents(spark, sf_dir).select("doc_id", "text", "lang"))
 
 
+@register
+def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Target: the texts of ``conversations``; background: all documents."""
+    out = lm_scoring.cross_entropy_difference(read_documents(spark, sf_dir).select("doc_id", "text"), read_documents(spark, sf_dir, "conversations").select("text"))
+    return out.select("doc_id", "n_words", *(F.round(c, 6).alias(c) for c in ("loss_target", "loss_background", "score")))
+
+
 @register
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(read_documents(spark, sf_dir).select("doc_id", "text")).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
