@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm import decontaminate, exact_dedup, language_id, line_dedup, lm_scoring, mixing, ngram_join, quality, substring_dedup
+from quillspark.llm import decontaminate, exact_dedup, language_id, line_dedup, lm_scoring, mixing, ngram_join, pii, quality, substring_dedup
 from quillspark.llm.sql import SQL  # noqa: F401
 from quillspark.llm.store import read_documents
 
@@ -76,3 +76,18 @@ def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(read_documents(spark, sf_dir).select("doc_id", "text")).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+
+
+@register
+def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """n_* count the base spans; ``spans`` also has what was discovered."""
+    out = pii.personal_data(read_documents(spark, sf_dir).select("doc_id", "text"))
+    return out.select("doc_id", *(f"n_{k}" for k in pii.KINDS), F.sha2(pii.span_text("base"), 256).alias("base_sha256"), pii.span_text("spans").alias("spans"))
+
+
+@register
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages of ``corpus_pipeline.py``."""
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
