@@ -35,10 +35,12 @@ from quillspark.llm.components import connected
 from quillspark.llm.store import PARTIALS, id_filter, partials, summed, written
 from quillspark.llm.words import Words, batch_words, mix
 
-#: Buckets of the shingle counts (as a power of two) and of the suffix filter's histogram.
-SKETCH_BITS, BLOCK, BINS = 20, 4096, 16
+#: Buckets of the shingle counts (as a power of two), 64-bit words of the suffix filter's parities, and its counted parts
+#: for sets of at least LONG shingles, whose differences are too many for the parities.
+SKETCH_BITS, BLOCK, WORDS, PARTS, LONG = 20, 4096, 8, 256, 512
+PARITY = [f"k{i}" for i in range(WORDS)]
 
-PREFIX = "row long, doc_id long, n long, sig1 long, sig2 long, prefix array<long>, bins array<short>"
+PREFIX = "row long, doc_id long, n long, sig1 long, sig2 long, prefix array<long>, " + ", ".join(f"{k} long" for k in PARITY) + ", parts array<int>"
 SETS = "row long, shingles array<long>"
 
 
@@ -70,6 +72,17 @@ def _keys(ids: pa.Array, sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
+def _parity(s: np.ndarray) -> np.ndarray:
+    """For each of 512 fixed parts of the shingle space, whether the set has an odd number there."""
+    odd = np.bincount((mix(s) & np.uint64(64 * WORDS - 1)).astype(np.int64), minlength=64 * WORDS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
+def _parts(s: np.ndarray) -> np.ndarray:
+    """How many shingles of a long set fall into each of fixed parts; nothing for a short one."""
+    return np.bincount((mix(s) >> np.uint64(40) & np.uint64(PARTS - 1)).astype(np.int64), minlength=PARTS).astype(np.int32) if len(s) >= LONG else np.zeros(0, np.int32)
+
+
 def _bucket(h: np.ndarray) -> np.ndarray:
     return (h >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
 
@@ -90,7 +103,7 @@ def _prefixes(n: int, num: int, den: int, counts: np.ndarray):
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i, j, w in batch_words(b.column(1), "space_lower"):
-                sets, size, sig1, sig2, prefix, bins = list(doc_sets(w, n)), [], [], [], [], []
+                sets, size, sig1, sig2, prefix, odd, parts = list(doc_sets(w, n)), [], [], [], [], [], []
                 for s in sets:
                     p = len(s) - (num * len(s) + den - 1) // den + 1 if len(s) else 0
                     head = s[np.lexsort((s, counts[_bucket(s)]))[:p]]
@@ -98,11 +111,12 @@ def _prefixes(n: int, num: int, den: int, counts: np.ndarray):
                     sig1.append(_signature(s))
                     sig2.append(int(np.bitwise_xor.reduce(mix(s ^ np.uint64(0xA5A5A5A55A5A5A5A)), initial=np.uint64(0))))
                     prefix.append(head.view(np.int64))
-                    bins.append(np.minimum(np.bincount((s & np.uint64(BINS - 1)).astype(np.int64), minlength=BINS), 32767).astype(np.int16))
+                    odd.append(_parity(s))
+                    parts.append(_parts(s))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(_keys(b.column(0)[i:j], sets), pa.int64()), b.column(0)[i:j], pa.array(size, pa.int64()), pa.array(np.array(sig1, np.uint64).view(np.int64)), pa.array(np.array(sig2, np.uint64).view(np.int64)),
-                     pa.array(prefix, pa.list_(pa.int64())), pa.array(bins, pa.list_(pa.int16()))],
-                    ["row", "doc_id", "n", "sig1", "sig2", "prefix", "bins"],
+                     pa.array(prefix, pa.list_(pa.int64())), *(pa.array(x) for x in np.array(odd, np.int64).reshape(-1, WORDS).T), pa.array(parts, pa.list_(pa.int32()))],
+                    ["row", "doc_id", "n", "sig1", "sig2", "prefix", *PARITY, "parts"],
                 )
 
     return make
@@ -137,21 +151,30 @@ def _may_link(a: str, b: str, num: int, den: int) -> Column:
     return length & (bound >= _need(na, nb, num, den))
 
 
+def _close(a: str, b: str, num: int, den: int) -> Column:
+    """Suffix filter: sets whose counts differ in parity in some parts differ by at least as many shingles."""
+    apart = sum((F.bit_count(F.col(f"{a}.{k}").bitwiseXOR(F.col(f"{b}.{k}"))) for k in PARITY), F.lit(0))
+    na, nb = F.col(f"{a}.n"), F.col(f"{b}.n")
+    return na + nb - apart >= 2 * _need(na, nb, num, den)
+
+
 class _Join:
     def __init__(self, texts: DataFrame, reps: DataFrame, n: int, num: int, den: int):
         self.texts, self.reps, self.n, self.num, self.den = texts, reps, n, num, den
 
+    def close(self, pairs: DataFrame) -> DataFrame:
+        """Pairs (a, b) that pass the suffix filter. An id with several texts has several sets; one pair of them is enough."""
+        sets = self.reps.select("row", F.struct("n", *PARITY, "parts").alias("k"))
+        two = pairs.join(sets.select(F.col("row").alias("a"), F.col("k").alias("ka")), "a").join(sets.select(F.col("row").alias("b"), F.col("k").alias("kb")), "b")
+        na, nb = F.col("ka.n"), F.col("kb.n")
+        apart = F.aggregate(F.zip_with("ka.parts", "kb.parts", lambda x, y: F.abs(x - y)), F.lit(0), lambda s, x: s + x)
+        long_close = (F.least(na, nb) < LONG) | (na + nb - apart >= 2 * _need(na, nb, self.num, self.den))
+        return two.where(_close("ka", "kb", self.num, self.den) & long_close).select("a", "b").distinct()
+
     def verified(self, pairs: DataFrame, name: str) -> DataFrame:
-        """The pairs (a, b) that link: suffix filter, then the whole sets."""
+        """The pairs (a, b) that link, by their whole sets."""
         num, den = self.num, self.den
-        bins = self.reps.select("row", "n", "bins")
-        # an id with several texts has several sets here; the pair links if two of them do
-        two = pairs.join(bins.select(F.col("row").alias("a"), F.col("n").alias("na"), F.col("bins").alias("bins_a")), "a")
-        two = two.join(bins.select(F.col("row").alias("b"), F.col("n").alias("nb"), F.col("bins").alias("bins_b")), "b")
-        # the sets' shingles fall into fixed parts; what the parts' counts differ by, the sets differ by at least
-        apart = F.aggregate(F.zip_with("bins_a", "bins_b", lambda x, y: F.abs(x.cast("int") - y.cast("int"))), F.lit(0), lambda s, x: s + x)
-        need = _need(F.col("na"), F.col("nb"), num, den)
-        left = written(two.where(F.col("na") + F.col("nb") - apart >= 2 * need).select("a", "b").distinct(), name)
+        left = written(pairs, name)
         ids = left.select(F.explode(F.array("a", "b")).alias("row")).distinct()
         wanted = id_filter(ids, ids.count())
         sets = written(self.texts.mapInArrow(_set_maker(self.n, wanted), SETS), f"{name}-sets")
@@ -168,26 +191,27 @@ def jaccard_links(docs: DataFrame, n: int = 5, num: int = 4, den: int = 5, id_co
     counts = summed(texts.mapInArrow(_counter(n), PARTIALS), 1 << SKETCH_BITS, BLOCK, np.int64).astype(np.int32)
     made = written(texts.mapInArrow(_prefixes(n, num, den, counts), PREFIX), "prefixes")
     same = ["sig1", "sig2", "n"]
-    reps = written(made.where("n > 0").groupBy(*same).agg(F.min(F.struct("row", "prefix", "bins")).alias("r")).select(*same, "r.*"), "classes")
+    reps = written(made.where("n > 0").groupBy(*same).agg(F.min(F.struct("row", "prefix", *PARITY, "parts")).alias("r")).select(*same, "r.*"), "classes")
 
     entries = reps.select("row", "n", F.posexplode("prefix").alias("pos", "token"))
     groups = entries.groupBy("token").agg(F.count("*").alias("held"), F.min(F.struct("pos", "n", "row")).alias("hub")).where("held > 1").select("token", "hub")
     shared = written(entries.join(groups, "token").select("token", F.struct("row", "n", "pos").alias("e"), "hub"), "shared")
 
     join = _Join(texts, reps, n, num, den)
-    near = shared.where(F.col("e.row") != F.col("hub.row")).where(_may_link("e", "hub", num, den))
-    stars = written(join.verified(near.select(F.col("hub.row").alias("a"), F.col("e.row").alias("b")).distinct(), "stars"), "star-links")
+    near = shared.where((F.col("e.row") != F.col("hub.row")) & _may_link("e", "hub", num, den)).select(F.col("hub.row").alias("a"), F.col("e.row").alias("b"))
+    stars = written(join.verified(join.close(near.distinct()), "stars"), "star-links")
     merged = connected(stars)
 
-    label = shared.select("token", "e", F.col("e.row").alias("id")).join(merged, "id", "left").select("token", "e", F.coalesce("component", "id").alias("c"))
-    label = written(label, "labelled")
+    known = reps.select(F.col("row").alias("id"), F.col("n").alias("size"), *PARITY).join(merged, "id", "left")
+    label = shared.select("token", "e", F.col("e.row").alias("id")).join(known, "id").where("e.n = size")
+    label = written(label.select("token", F.struct("e.row", "e.n", "e.pos", *PARITY).alias("e"), F.coalesce("component", "id").alias("c")), "labelled")
     largest = label.groupBy("token", "c").agg(F.count("*").alias("k")).groupBy("token").agg(F.max(F.struct("k", "c")).alias("top"), F.count("*").alias("cs")).where("cs > 1")
     mixed = label.join(largest.select("token", F.col("top.c").alias("main")), "token")
     few = mixed.where("c <> main").select("token", F.col("e").alias("x"), F.col("c").alias("cx"))
     pairs = few.join(mixed.select("token", F.col("e").alias("y"), F.col("c").alias("cy"), "main"), "token")
-    pairs = pairs.where((F.col("cx") != F.col("cy")) & ((F.col("cy") == F.col("main")) | (F.col("x.row") < F.col("y.row"))) & _may_link("x", "y", num, den))
+    pairs = pairs.where((F.col("cx") != F.col("cy")) & ((F.col("cy") == F.col("main")) | (F.col("x.row") < F.col("y.row"))) & _may_link("x", "y", num, den) & _close("x", "y", num, den))
     rest = pairs.select(F.least("x.row", "y.row").alias("a"), F.greatest("x.row", "y.row").alias("b")).distinct()
-    links = written(stars.unionAll(join.verified(rest, "rest")), "links")
+    links = written(stars.unionAll(join.verified(join.close(rest), "rest")), "links")
 
     rows = written(made.select("row", "doc_id", "n", "sig1", "sig2").join(reps.select(*same, F.col("row").alias("class")), same, "left").select("row", "doc_id", F.col("n").alias("n_shingles"), "class"), "rows")
     texts_of = rows.groupBy("row").agg(F.min("class").alias("a"), F.max("class").alias("z")).where("a < z").select("row", "a")
