@@ -167,6 +167,7 @@ def repeated_ranges(docs: DataFrame, n: int = WINDOW, k: int = KMER, id_col: str
     made = written(texts.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text").mapInArrow(_path_rows(n, k), PATHS), "paths")
     rows = made.select("row", "doc", "doc_id", "n_words", "words_sha256", "words_key")
     twice = made.select(F.explode("minimizers").alias("m")).groupBy("m").agg(F.count("*").alias("held")).where("held > 1").select("m")
+    twice = written(twice, "twice")  # a plain table on this side lets Spark split a hot minimizer's rows
     each = made.select("doc", "row", F.explode(F.arrays_zip("minimizers", "contents", "starts", "counts")).alias("p"))
     each = each.select("doc", "row", F.col("p.minimizers").alias("m"), F.col("p.contents").alias("content"), F.col("p.starts").alias("start"), F.col("p.counts").alias("windows"))
     shared = written(each.join(twice, "m"), "shared")
