@@ -3,8 +3,8 @@
 A target and a background model are matched: the same vocabulary, order and smoothing, each counted over its whole corpus. A
 document's score is the mean difference of its words' losses, background minus target; the higher, the more it is like the target.
 
-The models are class bigrams: p(w | v) = p(class w | class v) p(w | class w). The most frequent words of both corpora together are
-classes of their own, the other words of the vocabulary share one, and all words outside it another. Words and pairs of classes are
+The models are class bigrams: p(w | v) = p(class w | class v) p(w | class w). The vocabulary is the words that occur often
+enough in both corpora together; the most frequent are classes of their own, the others share one, and all words outside it another. Words and pairs of classes are
 counted by Spark; what the driver gets is bounded by the vocabulary and the square of the number of classes.
 
 Words are lower-cased (A-Z) runs of other than ASCII space and 0x09-0x0D. Null and empty texts have no words and score 0; with no
@@ -21,10 +21,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillspark.llm.store import written
 from quillspark.llm.words import Words, batch_words
 
 #: Words of the vocabulary, of which so many are classes of their own; smoothing counts of words and of classes after a class.
 VOCABULARY, SINGLE, ADDED, PRIOR = 1 << 16, 1022, 0.5, 20.0
+#: Occurrences up to which the words are told apart in the search for the vocabulary's least count.
+COUNTED = 100_000
 RARE, OUTSIDE, START = SINGLE, SINGLE + 1, SINGLE + 2
 CLASSES = SINGLE + 3
 
@@ -98,7 +101,12 @@ def cross_entropy_difference(docs: DataFrame, target: DataFrame, id_col: str = "
     back, aim = docs.select(F.col(text_col).alias("text")), target.select(F.col(target_text).alias("text"))
     kind = "h long, t long, b long"
     counted = back.mapInArrow(_unigrams(False), kind).unionAll(aim.mapInArrow(_unigrams(True), kind)).groupBy("h").agg(F.sum("t").alias("t"), F.sum("b").alias("b"))
-    top = counted.orderBy((F.col("t") + F.col("b")).desc(), "h").limit(VOCABULARY).toPandas()
+    counted = written(counted, "word-counts")
+    # the vocabulary: all words that occur at least so often that there are at most VOCABULARY of them
+    often = counted.groupBy(F.least(F.col("t") + F.col("b"), F.lit(COUNTED)).alias("n")).count().orderBy(F.desc("n")).toPandas()
+    fits = often[often["count"].cumsum() <= VOCABULARY]
+    least = int(fits["n"].min()) if len(fits) else COUNTED
+    top = counted.where(F.col("t") + F.col("b") >= least).orderBy((F.col("t") + F.col("b")).desc(), "h").limit(VOCABULARY).toPandas()
     vocabulary = Vocabulary(top["h"].to_numpy(np.int64).view(np.uint64))
     kind = "pair int, t long, b long"
     both = back.mapInArrow(_pairs(False, vocabulary), kind).unionAll(aim.mapInArrow(_pairs(True, vocabulary), kind)).groupBy("pair").agg(F.sum("t").alias("t"), F.sum("b").alias("b")).toPandas()
