@@ -13,5 +13,5 @@ try:
     from pyspark import cloudpickle as _cloudpickle
 
     _cloudpickle.register_pickle_by_value(_sys.modules[__name__])
-except Exception:  # noqa: BLE001 - older serializers: the package must then be on the workers' path
+except (ImportError, AttributeError):  # older serializers: the package must then be on the workers' path
     pass

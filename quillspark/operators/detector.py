@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from quillspark.functions.labels import correct_rule
 
-NUM_FEATURES = 1 << 16
+NUM_FEATURES = 1 << 18
 REG_GRID = (0.0, 0.01, 0.1)
 
 
@@ -34,7 +34,7 @@ def _pipeline(reg: float) -> Pipeline:
     return Pipeline(stages=[
         HashingTF(inputCol="tokens", outputCol="tf", numFeatures=NUM_FEATURES),
         IDF(inputCol="tf", outputCol="features"),
-        LogisticRegression(featuresCol="features", labelCol="label", regParam=reg, maxIter=30),
+        LogisticRegression(featuresCol="features", labelCol="label", regParam=reg, maxIter=100),
     ])
 
 

@@ -67,3 +67,13 @@ def test_queries_run_outside_the_repo_directory(tmp_path):
     out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True, timeout=600)
     assert out.returncode == 0, out.stderr[-2000:]
     assert "ROWS " in out.stdout and int(out.stdout.split("ROWS ")[1].split()[0]) > 0
+
+
+def test_incremental_count_past_the_progress_window(spark, tmp_path):
+    from quillspark.streaming.incremental import run_incremental
+
+    src, out, ck = (str(tmp_path / x) for x in ("in", "out", "ck"))
+    spark.createDataFrame([(i, "some words here") for i in range(110)], "doc_id long, text string").repartition(110).write.parquet(src)
+    files = len([f for f in (tmp_path / "in").iterdir() if f.name.startswith("part-")])
+    assert run_incremental(spark, src, "doc_id long, text string", out, ck, files_per_batch=max(1, files // 105)) == 110
+    assert run_incremental(spark, src, "doc_id long, text string", out, ck) == 0
