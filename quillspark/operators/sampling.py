@@ -34,8 +34,9 @@ def sample_n(df: DataFrame, id_col: str, n: int, seed: str = "42") -> DataFrame:
 
 
 def position_split(df: DataFrame, order_cols: Sequence[str], bounds: Sequence[int],
-                   names: Sequence[str] = ("train", "valid", "test"), group_cols: Sequence[str] = ()) -> DataFrame:
-    """L3: rows [0,b1) -> names[0], [b1,b2) -> names[1], ... ; rows past the last bound are dropped."""
+                   names: Sequence[str] = ("train", "valid", "test"), group_cols: Sequence[str] = (),
+                   rest: str = "unused") -> DataFrame:
+    """L3: rows [0,b1) -> names[0], [b1,b2) -> names[1], ... ; rows past the last bound are kept as ``rest``."""
     idx = with_row_index(df, order_cols, group_cols)
     expr = None
     lo = 0
@@ -43,7 +44,7 @@ def position_split(df: DataFrame, order_cols: Sequence[str], bounds: Sequence[in
         cond = (F.col("row_idx") >= lo) & (F.col("row_idx") < b)
         expr = F.when(cond, F.lit(name)) if expr is None else expr.when(cond, F.lit(name))
         lo = b
-    return idx.withColumn("split", expr).filter(F.col("split").isNotNull())
+    return idx.withColumn("split", expr.otherwise(F.lit(rest)))
 
 
 def range_shard(df: DataFrame, idx_col: str = "row_idx", start: int | None = None, end: int | None = None,

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from quillspark.plans.oracle import ESSAY, IDX, ORACLE, REVIEWS, tok, ttr
 from quillspark.plans.oracle_prep import LAB, NEWS
-from quillspark.plans.oracle_tokens import LM_SPLIT
+from quillspark.plans.oracle_tokens import LM_SPLIT, pad
 
 GEN = """g AS (
   SELECT CAST(conv_id AS VARCHAR) || '-' || CAST(turn AS VARCHAR) AS id, text,
@@ -47,13 +47,15 @@ FROM (VALUES ('parquet'), ('json'), ('csv'), ('text')) f(format)"""
 ORACLE["K4_prepared_sink"] = f"""WITH {LAB},
 cnt AS (SELECT token, count(*) AS cnt FROM (SELECT unnest(tokens) AS token FROM lt) GROUP BY token),
 vocab AS (SELECT token, 3 + row_number() OVER (ORDER BY cnt DESC, token) AS id FROM cnt WHERE cnt >= 2),
-ex AS (SELECT id, unnest(tokens) AS token, unnest(range(len(tokens))) AS pos FROM lt),
+rows AS (SELECT id, label, label_text, list_slice(tokens, 1, 192) AS t FROM lt WHERE len(tokens) >= 192),
+ex AS (SELECT id, unnest(t) AS token, unnest(range(len(t))) AS pos FROM rows),
 li AS (SELECT e.id, list(coalesce(v.id, 1) ORDER BY e.pos) AS ids FROM ex e LEFT JOIN vocab v ON e.token = v.token
        GROUP BY e.id)
-SELECT lt.id, lt.label, array_to_string(list_slice(coalesce(li.ids, []), 1, 8), ' ') AS head_ids,
-       CASE WHEN lt.label = 1 THEN 'human' ELSE 'gpt2_p100' END AS gen_method
-FROM lt LEFT JOIN li ON lt.id = li.id
-WHERE substr(md5('42:' || lt.id), 1, 1) < 'd'"""
+SELECT r.id, r.label, r.label_text, array_to_string({pad('li.ids', 192)}, ' ') AS token_ids,
+       array_to_string(r.t, ' ') AS text,
+       CASE WHEN r.label = 1 THEN 'human' ELSE 'gpt2_p100' END AS gen_method,
+       CASE WHEN substr(md5('42:' || r.id), 1, 1) < 'd' THEN 'train' ELSE 'test' END AS split
+FROM rows r JOIN li ON r.id = li.id"""
 ORACLE["K5_metric_log"] = f"""WITH {LM_SPLIT},
 v AS (SELECT 8.0 * ({ttr(tok('text'))} - 0.45) AS z FROM sp WHERE split = 'valid'),
 l AS (SELECT avg(greatest(0.0, z) + ln(exp(0.0 - greatest(0.0, z)) + exp(z - greatest(0.0, z))) - z) AS loss FROM v)

@@ -31,8 +31,8 @@ ORACLE["L3_position_split"] = """WITH u AS (
   SELECT 'generated', CAST(conv_id AS VARCHAR) || '-' || CAST(turn AS VARCHAR), conv_id, turn FROM conversations),
 r AS (SELECT *, row_number() OVER (PARTITION BY origin ORDER BY k1, k2) - 1 AS row_idx FROM u)
 SELECT origin, id, row_idx,
-       CASE WHEN row_idx < 300 THEN 'train' WHEN row_idx < 400 THEN 'valid' ELSE 'test' END AS split
-FROM r WHERE row_idx < 500"""
+       CASE WHEN row_idx < 300 THEN 'train' WHEN row_idx < 400 THEN 'valid' WHEN row_idx < 500 THEN 'test' ELSE 'unused' END AS split
+FROM r"""
 ORACLE["L4_range_shard"] = f"WITH {PROMPTS} SELECT doc_id, row_idx, row_idx // 100 AS shard FROM pr"
 ORACLE["L5_mini_batch"] = f"WITH {PROMPTS} SELECT doc_id, row_idx // 10 AS batch_id, row_idx % 10 AS batch_pos FROM pr"
 ORACLE["L6_epoch_order"] = f"""WITH {LM_SPLIT}, e AS (SELECT sp.doc_id, sp.split, t.epoch FROM sp, range(3) t(epoch))

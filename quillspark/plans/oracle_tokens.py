@@ -54,7 +54,7 @@ ORACLE["T9_chunk_fast"] = f"""WITH {LINES}, nb AS (SELECT doc_id, line_idx, list
   FROM lines WHERE regexp_matches(line, '\\S'))
 SELECT doc_id, CAST(line_idx AS BIGINT) AS line_idx, CAST(len(h) AS BIGINT) AS n, array_to_string(h, ' ') AS text FROM nb"""
 ORACLE["T10_caps"] = f"""WITH {LINES}, nb AS (
-  SELECT doc_id, line_idx, len({chunks(f"list_slice({tok('line')}, 1, 64)", 256)}) AS n_chunks
+  SELECT doc_id, line_idx, len({chunks(f"list_slice({tok('line')}, 1, 64)", 4)}) AS n_chunks
   FROM lines WHERE regexp_matches(line, '\\S')),
 r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY line_idx) AS ti,
              coalesce(sum(n_chunks) OVER (PARTITION BY doc_id ORDER BY line_idx

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark import StorageLevel
 from pyspark.sql import functions as F
 
+from quillspark.functions import sequence as S
 from quillspark.functions.text import joined, python_repr, tokens
 from quillspark.operators import tokens as TK
 from quillspark.operators.indexing import with_row_index
@@ -16,7 +17,7 @@ from quillspark.operators.sampling import shuffle_split
 from quillspark.operators.scoring import cross_entropy, lexical_logits
 from quillspark.plans.detector import essay_scores
 from quillspark.plans.fixtures import essay_bodies, essay_index, news, real_web_text, reviews
-from quillspark.plans.q_prep import DECODE_SETTINGS, labelled
+from quillspark.plans.q_prep import DECODE_SETTINGS, TRAIN_MAX_LEN, labelled
 from quillspark.plans.registry import register, rounded
 from quillspark.session import scratch_path, table
 from quillspark.sources import readers as R
@@ -190,14 +191,17 @@ def q_k4(spark, sf_dir):
     # tokenized once and reused by the vocabulary, the lookup and the final projection
     rows = labelled(spark, sf_dir).withColumn("tokens", tokens("text")).persist(StorageLevel.MEMORY_AND_DISK)
     vocab = TK.build_vocab(rows, min_count=2)
-    ids = TK.lookup_ids(rows.withColumn("tokens", F.slice("tokens", 1, 8)), vocab, "id")
-    prepared = rows.select("id", "label").join(ids, "id").select(
-        "id", "label", joined(F.slice("ids", 1, 8)).alias("head_ids"),
+    rows = rows.filter(F.size("tokens") >= TRAIN_MAX_LEN).withColumn("tokens", S.truncate("tokens", TRAIN_MAX_LEN))
+    ids = TK.lookup_ids(rows, vocab, "id")
+    prepared = rows.join(ids, "id").select(
+        "id", "label", "label_text",
+        S.special_pad("ids", TRAIN_MAX_LEN, TK.CLS_ID, TK.SEP_ID).alias("token_ids"),
+        F.array_join("tokens", " ").alias("text"),
         F.when(F.col("label") == 1, "human").otherwise("gpt2_p100").alias("gen_method"),
         F.when(F.substring(F.md5(F.concat(F.lit("42:"), F.col("id"))), 1, 1) < "d", "train")
         .otherwise("test").alias("split"))
     K.write_prepared(prepared, path)
-    return spark.read.parquet(path).filter(F.col("split") == "train").select("id", "label", "head_ids", "gen_method")
+    return spark.read.parquet(path).select("id", "label", "label_text", joined("token_ids").alias("token_ids"), "text", "gen_method", "split")
 
 
 @register("K5_metric_log")

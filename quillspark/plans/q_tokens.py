@@ -21,7 +21,9 @@ LM_SEQ_LEN = 256
 MIN_COUNT = 2
 MODEL_MAX = 512
 LM_BATCH = 4
+# A line of up to TOKEN_CAP tokens has several chunks, so the batch cap can be overshot
 TOKEN_CAP = 64
+CAP_SEQ_LEN = 4
 BATCH_CAP = 3
 
 
@@ -116,7 +118,7 @@ def q_t9(spark, sf_dir):
 def q_t10(spark, sf_dir):
     ls = doc_lines(spark, sf_dir).filter(F.col("line").rlike(r"\S"))
     ls = ls.select("doc_id", "line_idx", F.slice(tokens("line"), 1, TOKEN_CAP).alias("capped"))
-    ls = ls.select("doc_id", "line_idx", S.chunks("capped", LM_SEQ_LEN).alias("chunks"))
+    ls = ls.select("doc_id", "line_idx", S.chunks("capped", CAP_SEQ_LEN).alias("chunks"))
     kept = TK.capped_texts(ls, "doc_id", "line_idx", "chunks", BATCH_CAP)
     return kept.select("doc_id", "line_idx", F.size("chunks").cast("long").alias("n_chunks"))
 

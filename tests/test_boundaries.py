@@ -153,3 +153,19 @@ def test_skip_tokens_returns_raw_text(spark):
     r = full.first()
     assert len(r["token_ids"]) == 130 and r["mask"] == [1] * 130
     assert raw.filter(F.size("token_ids") > 0).count() == 0
+
+
+def test_position_split_keeps_the_rest(spark):
+    from quillspark.operators.sampling import position_split
+
+    got = {r.k: r.split for r in position_split(spark.range(6).toDF("k"), ["k"], (2, 3, 4)).collect()}
+    assert got == {0: "train", 1: "train", 2: "valid", 3: "test", 4: "unused", 5: "unused"}
+
+
+def test_batch_cap_keeps_the_text_that_overshoots(spark):
+    from quillspark.operators.tokens import capped_texts
+
+    rows = [("a", 0, 2), ("a", 1, 4), ("a", 2, 1), ("b", 0, 9), ("b", 1, 1)]
+    df = spark.createDataFrame([(p, i, [[0]] * n) for p, i, n in rows], "path string, idx long, chunks array<array<int>>")
+    got = {(r.path, r.idx) for r in capped_texts(df, "path", "idx", "chunks", 3).collect()}
+    assert got == {("a", 0), ("a", 1), ("b", 0)}
