@@ -143,11 +143,6 @@ def _filter_by_windows(t: DataFrame, params: DecodeParams) -> DataFrame:
     return t.select("ctx", "tok", "prob")
 
 
-def _per_ctx(model: BigramModel, df: DataFrame) -> DataFrame:
-    """A one-row-per-context table, broadcast when the (already counted) number of contexts is small."""
-    return _sized(df, model.context_rows)
-
-
 def _filter_by_index(model: BigramModel, t: DataFrame, params: DecodeParams) -> DataFrame:
     t = t.withColumn("_neg", -F.col("l"))
     if params.top_k and params.top_k > 0:
