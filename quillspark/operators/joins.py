@@ -11,17 +11,17 @@ def missing_partners(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     return left.select(key).join(right.select(key), key, "left_anti")
 
 
-def index_body(index: DataFrame, bodies: DataFrame, key: str = "filename", check: bool = True,
-               text_col: str = "text") -> DataFrame:
+def index_body(index: DataFrame, bodies: DataFrame, key: str = "filename", check: bool = True) -> DataFrame:
     """Join each index row to its body; a missing body fails the query naming the key.
 
-    The check rides along in the same join (left join + ``raise_error``), so it costs no extra job.
+    The check is a filter on a marker of the body side, in the same left join: it costs no extra job,
+    holds whichever columns are selected later, and accepts a body whose text is null.
     """
     if not check:
         return index.join(bodies, key, "inner")
-    j = index.join(bodies, key, "left")
-    missing = F.raise_error(F.concat(F.lit(f"no body for {key}="), F.col(key).cast("string")))
-    return j.withColumn(text_col, F.when(F.col(text_col).isNull(), missing).otherwise(F.col(text_col)))
+    j = index.join(bodies.withColumn("_body", F.lit(True)), key, "left")
+    missing = F.raise_error(F.concat(F.lit(f"no body for {key}="), F.coalesce(F.col(key).cast("string"), F.lit("null"))))
+    return j.filter(F.when(F.col("_body").isNull(), missing).otherwise(F.col("_body"))).drop("_body")
 
 
 def attach_scores(meta: DataFrame, scores: DataFrame, key: str) -> DataFrame:

@@ -20,12 +20,19 @@ def hash_key(id_col: str, seed: str, *extra) -> F.Column:
 
 def shuffle_split(df: DataFrame, id_col: str, frac: float = 0.9, seed: str = "42",
                   names: tuple[str, str] = ("train", "valid")) -> DataFrame:
-    """L1: random permutation by hash key; the first floor(frac*n) rows train, the rest valid."""
-    n = df.count()
-    cut = int(frac * n)
-    keyed = df.withColumn("_k", hash_key(id_col, seed))
-    idx = with_row_index(keyed, ["_k", id_col], out="_pos")
-    return idx.withColumn("split", F.when(F.col("_pos") < cut, F.lit(names[0])).otherwise(F.lit(names[1]))).drop("_k", "_pos")
+    """L1: random permutation by hash key; the first floor(frac*n) rows train, the rest valid.
+
+    Only the ids are ranked. The row at the cut gives a bound, and the flag is a comparison with it on the
+    scan, so no other column moves. Rows that repeat an id stay together; null ids come first.
+    """
+    key = F.coalesce(hash_key(id_col, seed), F.lit(""))
+    ids = df.select(id_col, key.alias("_k"))
+    cut = int(frac * ids.count())
+    bound = with_row_index(ids, ["_k", id_col], out="_pos").filter(F.col("_pos") == cut).first()
+    if bound is None:
+        return df.withColumn("split", F.lit(names[0]))
+    before = (key < bound["_k"]) | ((key == bound["_k"]) & (F.col(id_col) < F.lit(bound[id_col])))
+    return df.withColumn("split", F.when(before, F.lit(names[0])).otherwise(F.lit(names[1])))
 
 
 def sample_n(df: DataFrame, id_col: str, n: int, seed: str = "42") -> DataFrame:

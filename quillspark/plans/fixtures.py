@@ -85,12 +85,15 @@ def generated_web_text(spark: SparkSession, sf_dir: str, roles=("assistant",)) -
 
 
 def news(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """News rows: article = text, domain = source, split by position, label from quality."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    """News rows: article = text, domain = source, split by position, label from quality.
+
+    Positions are taken on the ids alone; text is joined to them and pruned where it is not used.
+    """
+    docs = table(spark, sf_dir, "documents", balance=True).select("doc_id", "text", "source")
     labels = table(spark, sf_dir, "labels").select("doc_id", "quality")
-    indexed = with_row_index(docs, ["doc_id"])
+    indexed = with_row_index(table(spark, sf_dir, "documents").select("doc_id"), ["doc_id"])
     m = F.col("row_idx") % NEWS_SPLIT_MODULUS
-    return indexed.join(labels, "doc_id", "left").select(
+    return docs.join(indexed, "doc_id").join(labels, "doc_id", "left").select(
         F.col("doc_id").cast("string").alias("url"),
         F.col("source").alias("domain"),
         F.when(m == 0, F.lit("val")).when(m == 1, F.lit("test")).otherwise(F.lit("train")).alias("split"),
