@@ -8,6 +8,11 @@ from pyspark.sql import functions as F
 # The word/punctuation token pattern (a run of letters, digits and marks, or one
 # character that is neither such a character nor whitespace). Shared verbatim with the SQL oracle.
 TOKEN_PATTERN = r"[\p{L}\p{N}\p{M}]+|[^\p{L}\p{N}\p{M}\s]"
+# The characters of Python's ``str.isspace`` and those that ``repr`` escapes by code point
+# (controls, format and private-use characters, separators other than the space), as regex classes.
+PY_SPACE = r"\t-\r\x1c-\x20\x85\xa0\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+NOT_PRINTABLE = (r"\p{Cc}\p{Cf}\p{Co}\p{Zl}\p{Zp}"
+                 r"\xa0\x{1680}\x{2000}-\x{200a}\x{202f}\x{205f}\x{3000}")
 
 
 def _c(c) -> Column:
@@ -25,13 +30,18 @@ def token_len(toks) -> Column:
 
 
 def first_word(text) -> Column:
-    """First whitespace-delimited word; '' for blank text (ASCII whitespace, as the oracle)."""
-    return F.regexp_extract(_c(text), r"\S+", 0)
+    """First whitespace-delimited word; '' for blank text."""
+    return F.regexp_extract(_c(text), f"[^{PY_SPACE}]+", 0)
+
+
+def nonblank(text) -> Column:
+    """the text has a character that is not white space."""
+    return _c(text).rlike(f"[^{PY_SPACE}]")
 
 
 def py_strip(text) -> Column:
-    """Python ``str.strip()`` over ASCII whitespace (Spark ``trim`` removes spaces only)."""
-    return F.regexp_replace(_c(text), r"^\s+|\s+$", "")
+    """Python ``str.strip()`` (Spark ``trim`` removes spaces only)."""
+    return F.regexp_replace(_c(text), rf"\A[{PY_SPACE}]+|[{PY_SPACE}]+\z", "")
 
 
 def space_pieces(text) -> Column:
@@ -39,17 +49,27 @@ def space_pieces(text) -> Column:
     return F.size(F.split(_c(text), " ", -1))
 
 
+def _code_point_escape(c: Column) -> Column:
+    n = F.ascii(c)
+    return (F.when(n < 0x100, F.format_string("\\x%02x", n)).when(n < 0x10000, F.format_string("\\u%04x", n))
+            .otherwise(F.format_string("\\U%08x", n)))
+
+
 def python_repr(text) -> Column:
-    """K3: Python ``repr`` of a string for the characters that matter on a line-based sink.
+    """K3: Python ``repr`` of a string.
 
-    Backslash first, then newline, carriage return and tab. Outer double quotes only when the
-    text holds a single quote and no double quote; otherwise single quotes with inner ones escaped.
+    Backslash first, then newline, carriage return and tab, then other characters that do not print, by
+    code point. Outer double quotes only when the text holds a single quote and no double quote; otherwise
+    single quotes with inner ones escaped.
     """
     t = _c(text)
     body = F.regexp_replace(t, r"\\", r"\\\\")
     body = F.regexp_replace(body, "\n", r"\\n")
     body = F.regexp_replace(body, "\r", r"\\r")
     body = F.regexp_replace(body, "\t", r"\\t")
+    hidden = f"[{NOT_PRINTABLE}]"
+    body = F.when(body.rlike(hidden), F.array_join(F.transform(
+        F.split(body, ""), lambda c: F.when(c.rlike(hidden), _code_point_escape(c)).otherwise(c)), "")).otherwise(body)
     use_double = F.instr(t, "'") > 0
     use_double = use_double & (F.instr(t, '"') == 0)
     return F.when(use_double, F.concat(F.lit('"'), body, F.lit('"'))).otherwise(

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.functions.sequence import chunks
-from quillspark.functions.text import py_strip, space_pieces
+from quillspark.functions.text import nonblank, py_strip, space_pieces
 from quillspark.operators.indexing import with_row_index
 
 # Reserved vocabulary entries and their ids.
@@ -102,7 +102,7 @@ def line_mode_counts(df: DataFrame, text_col: str, seq_len: int, group_cols=(),
     from quillspark.functions.text import tokens
 
     ls = df.select(*group_cols, F.explode(lines(text_col)).alias("line"))
-    ls = ls.select(*group_cols, "line", F.col("line").rlike(r"\S").alias("_nb"), tokens("line").alias("_t"))
+    ls = ls.select(*group_cols, "line", nonblank("line").alias("_nb"), tokens("line").alias("_t"))
     per_line = F.when(F.col("_nb"), F.array(head_chunk("_t", seq_len)) if fast else chunks("_t", seq_len))
     c = ls.select(*group_cols, space_pieces("line").alias("_orig"), per_line.alias("_chunks"))
     return c.groupBy(*group_cols).agg(

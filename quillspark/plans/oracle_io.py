@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from quillspark.functions.text import NOT_PRINTABLE
 from quillspark.plans.oracle import ESSAY, IDX, ORACLE, REVIEWS, tok, ttr
 from quillspark.plans.oracle_prep import LAB, NEWS
 from quillspark.plans.oracle_tokens import LM_SPLIT, pad
@@ -13,10 +14,14 @@ GEN = """g AS (
 gs AS (SELECT *, CASE row_idx % 10 WHEN 0 THEN 'valid' WHEN 1 THEN 'test' ELSE 'train' END AS split,
               row_idx // 100 AS shard FROM g)"""
 
-REPR = """CASE WHEN strpos(text, '''') > 0 AND strpos(text, '"') = 0
-     THEN '"' || replace(replace(replace(replace(text, '\\', '\\\\'), chr(10), '\\n'), chr(13), '\\r'), chr(9), '\\t') || '"'
-     ELSE '''' || replace(replace(replace(replace(replace(text, '\\', '\\\\'), chr(10), '\\n'), chr(13), '\\r'), chr(9), '\\t'),
-                          '''', '\\''') || '''' END"""
+_ESC = "replace(replace(replace(replace(text, '\\', '\\\\'), chr(10), '\\n'), chr(13), '\\r'), chr(9), '\\t')"
+_CODE = """CASE WHEN unicode(c) < 256 THEN '\\x' || lpad(lower(to_hex(unicode(c))), 2, '0')
+     WHEN unicode(c) < 65536 THEN '\\u' || lpad(lower(to_hex(unicode(c))), 4, '0')
+     ELSE '\\U' || lpad(lower(to_hex(unicode(c))), 8, '0') END"""
+_BODY = f"""array_to_string(list_transform(regexp_extract_all({_ESC}, '(?s).'),
+     lambda c: CASE WHEN regexp_matches(c, '[{NOT_PRINTABLE}]') THEN {_CODE} ELSE c END), '')"""
+REPR = f"""CASE WHEN strpos(text, '''') > 0 AND strpos(text, '"') = 0 THEN '"' || {_BODY} || '"'
+     ELSE '''' || replace({_BODY}, '''', '\\''') || '''' END"""
 
 
 def digest(c: str = "text") -> str:

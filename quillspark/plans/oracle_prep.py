@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+from quillspark.functions.text import PY_SPACE
 from quillspark.plans.oracle import ESSAY, IDX, ORACLE, REVIEWS, essay_rows, tok
 from quillspark.plans.oracle_tokens import LM_SPLIT, pad
 
-PROMPTS = """p AS (SELECT doc_id, regexp_extract(text, '\\S+', 0) AS prefix FROM documents
-          WHERE regexp_extract(text, '\\S+', 0) <> ''),
+PROMPTS = f"""p AS (SELECT doc_id, regexp_extract(text, '[^{PY_SPACE}]+', 0) AS prefix FROM documents
+          WHERE regexp_extract(text, '[^{PY_SPACE}]+', 0) <> ''),
 pr AS (SELECT *, row_number() OVER (ORDER BY doc_id) - 1 AS row_idx FROM p)"""
 
 NEWS = """nw AS (
@@ -22,8 +23,8 @@ LAB = f"""lab AS (
   FROM conversations WHERE role = 'assistant'),
 lt AS (SELECT id, label, label_text, {tok('text')} AS tokens FROM lab)"""
 
-ORACLE["L1_shuffle_split"] = f"WITH {LM_SPLIT} SELECT doc_id, split FROM sp"
-ORACLE["L2_sample_n"] = f"""WITH {LM_SPLIT} SELECT doc_id, split FROM sp WHERE split = 'train'
+ORACLE["L1_shuffle_split"] = f"WITH {LM_SPLIT} SELECT doc_id, split, CAST(42 AS BIGINT) AS seed FROM sp"
+ORACLE["L2_sample_n"] = f"""WITH {LM_SPLIT} SELECT doc_id, split, CAST(43 AS BIGINT) AS seed FROM sp WHERE split = 'train'
 ORDER BY md5('43:' || CAST(doc_id AS VARCHAR)), doc_id LIMIT 500"""
 ORACLE["L3_position_split"] = """WITH u AS (
   SELECT 'human' AS origin, CAST(doc_id AS VARCHAR) AS id, doc_id AS k1, CAST(0 AS BIGINT) AS k2 FROM documents
@@ -36,7 +37,7 @@ FROM r"""
 ORACLE["L4_range_shard"] = f"WITH {PROMPTS} SELECT doc_id, row_idx, row_idx // 100 AS shard FROM pr"
 ORACLE["L5_mini_batch"] = f"WITH {PROMPTS} SELECT doc_id, row_idx // 10 AS batch_id, row_idx % 10 AS batch_pos FROM pr"
 ORACLE["L6_epoch_order"] = f"""WITH {LM_SPLIT}, e AS (SELECT sp.doc_id, sp.split, t.epoch FROM sp, range(3) t(epoch))
-SELECT split, epoch, doc_id,
+SELECT split, epoch, doc_id, CAST(42 AS BIGINT) AS seed,
   CASE WHEN split = 'train'
        THEN row_number() OVER (PARTITION BY split, epoch
                                ORDER BY md5('42:' || CAST(epoch AS VARCHAR) || ':' || CAST(doc_id AS VARCHAR)), doc_id)
@@ -49,7 +50,7 @@ n AS (SELECT count(*) AS n FROM t),
 pd AS (SELECT doc_id, i FROM t
        UNION ALL
        SELECT t.doc_id, t.i + n.n FROM t, n WHERE t.i < ((n.n + 6) // 7) * 7 - n.n)
-SELECT doc_id, i % 7 AS replica, i // 7 AS slot FROM pd"""
+SELECT doc_id, i % 7 AS replica, i // 7 AS slot, CAST(42 AS BIGINT) AS seed FROM pd"""
 ORACLE["L8_sorted_groups"] = f"""WITH {REVIEWS}, g AS (SELECT urbanicity, round(avg(CAST(correct AS DOUBLE)), 6) AS accuracy
   FROM rev GROUP BY urbanicity)
 SELECT urbanicity, accuracy, row_number() OVER (ORDER BY urbanicity) - 1 AS pos FROM g"""
@@ -77,6 +78,8 @@ SELECT r.id, array_to_string({pad('li.ids', 192)}, ' ') AS token_ids,
        r.label, array_to_string(r.t, ' ') AS text
 FROM rows r JOIN li ON r.id = li.id"""
 
+ORACLE["T14_skip_tokens"] = """SELECT CAST(d.doc_id AS VARCHAR) AS id, 0 AS n_ids, 0 AS n_mask, 1 AS label, d.text
+FROM documents d JOIN labels l ON d.doc_id = l.doc_id"""
 ORACLE["F1_min_tokens"] = f"""WITH {LAB} SELECT id, label, CAST(len(tokens) AS BIGINT) AS text_len FROM lt
 WHERE len(tokens) >= 192"""
 ORACLE["F2_split_filter"] = f"WITH {NEWS} SELECT url, split FROM nw WHERE split = 'train'"

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from quillspark.functions.text import PY_SPACE
 from quillspark.plans.oracle import ORACLE, tok
 
 DT = f"dt AS (SELECT doc_id, {tok('text')} AS tokens FROM documents)"
@@ -49,13 +50,13 @@ u AS (SELECT doc_id, unnest(ch) AS chunk, unnest(range(len(ch))) AS chunk_idx FR
 SELECT doc_id, CAST(chunk_idx AS BIGINT) AS chunk_idx, CAST(len(chunk) AS BIGINT) AS n,
        array_to_string(chunk, ' ') AS text FROM u"""
 ORACLE["F3_nonblank"] = f"""WITH {LINES}
-SELECT doc_id, CAST(line_idx AS BIGINT) AS line_idx, line FROM lines WHERE regexp_matches(line, '\\S')"""
+SELECT doc_id, CAST(line_idx AS BIGINT) AS line_idx, line FROM lines WHERE regexp_matches(line, '[^{PY_SPACE}]')"""
 ORACLE["T9_chunk_fast"] = f"""WITH {LINES}, nb AS (SELECT doc_id, line_idx, list_slice({tok('line')}, 1, 256) AS h
-  FROM lines WHERE regexp_matches(line, '\\S'))
+  FROM lines WHERE regexp_matches(line, '[^{PY_SPACE}]'))
 SELECT doc_id, CAST(line_idx AS BIGINT) AS line_idx, CAST(len(h) AS BIGINT) AS n, array_to_string(h, ' ') AS text FROM nb"""
 ORACLE["T10_caps"] = f"""WITH {LINES}, nb AS (
   SELECT doc_id, line_idx, len({chunks(f"list_slice({tok('line')}, 1, 64)", 4)}) AS n_chunks
-  FROM lines WHERE regexp_matches(line, '\\S')),
+  FROM lines WHERE regexp_matches(line, '[^{PY_SPACE}]')),
 r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY line_idx) AS ti,
              coalesce(sum(n_chunks) OVER (PARTITION BY doc_id ORDER BY line_idx
                                           ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM nb)
@@ -69,12 +70,12 @@ LM_SPLIT = """sp AS (
 
 ORACLE["T11_corpus_counts"] = f"""WITH {LM_SPLIT},
 w AS (SELECT split, {chunks(tok('text'), 256)} AS ch,
-             len(string_split(regexp_replace(text, '^\\s+|\\s+$', '', 'g'), ' ')) AS orig FROM sp),
+             len(string_split(regexp_replace(text, '\\A[{PY_SPACE}]+|[{PY_SPACE}]+\\z', '', 'g'), ' ')) AS orig FROM sp),
 l0 AS (SELECT split, string_split(regexp_replace(text, '\r\n?', chr(10), 'g'), chr(10)) AS ls FROM sp),
 l1 AS (SELECT split, unnest(CASE WHEN ls[-1] = '' THEN list_slice(ls, 1, len(ls) - 1) ELSE ls END) AS line FROM l0),
 l2 AS (SELECT split, len(string_split(line, ' ')) AS orig,
-              CASE WHEN regexp_matches(line, '\\S') THEN {chunks(tok('line'), 256)} END AS ch,
-              CASE WHEN regexp_matches(line, '\\S') THEN [list_slice({tok('line')}, 1, 256)] END AS fch FROM l1)
+              CASE WHEN regexp_matches(line, '[^{PY_SPACE}]') THEN {chunks(tok('line'), 256)} END AS ch,
+              CASE WHEN regexp_matches(line, '[^{PY_SPACE}]') THEN [list_slice({tok('line')}, 1, 256)] END AS fch FROM l1)
 SELECT split, CAST(sum(list_sum(list_transform(ch, lambda c: len(c)))) AS BIGINT) AS n_tokens,
        CAST(sum(orig) AS BIGINT) AS n_original_tokens, CAST(sum(len(ch)) AS BIGINT) AS n_chunks, 'whole' AS mode
 FROM w GROUP BY split

@@ -14,7 +14,7 @@ from quillspark.operators import tokens as TK
 from quillspark.operators.indexing import with_row_index
 from quillspark.operators.joins import attach_scores, index_body, missing_partners, pair_outputs, union_origins
 from quillspark.operators.scoring import threshold
-from quillspark.plans.detector import ESSAY_THRESHOLD, essay_cohort_rows, essay_scores, review_rows
+from quillspark.plans.detector import ESSAY_THRESHOLD, essay_cohort_rows, essay_dataset, essay_scores, review_rows
 from quillspark.plans.fixtures import essay_bodies, essay_index, generated_web_text, news, order_key, real_web_text
 from quillspark.plans.registry import register, rounded
 from quillspark.session import table
@@ -35,6 +35,11 @@ def docs(spark, sf_dir):
     return table(spark, sf_dir, "documents")
 
 
+def with_seed(df, seed: int):
+    """M7: the seed of a random choice stays with its rows."""
+    return df.withColumn("seed", F.lit(seed).cast("long"))
+
+
 def lm_split(spark, sf_dir):
     return L.shuffle_split(docs(spark, sf_dir).select("doc_id"), "doc_id", 0.9)
 
@@ -47,13 +52,13 @@ def prompts(spark, sf_dir):
 
 @register("L1_shuffle_split")
 def q_l1(spark, sf_dir):
-    return lm_split(spark, sf_dir)
+    return with_seed(lm_split(spark, sf_dir), 42)
 
 
 @register("L2_sample_n")
 def q_l2(spark, sf_dir):
     train = lm_split(spark, sf_dir).filter(F.col("split") == "train")
-    return L.sample_n(train, "doc_id", SAMPLE_N, seed="43")
+    return with_seed(L.sample_n(train, "doc_id", SAMPLE_N, seed="43"), 43)
 
 
 @register("L3_position_split")
@@ -84,13 +89,13 @@ def q_l6(spark, sf_dir):
     s = lm_split(spark, sf_dir)
     train = L.epoch_order(s.filter(F.col("split") == "train"), "doc_id", EPOCHS, shuffle=True)
     valid = L.epoch_order(s.filter(F.col("split") == "valid"), "doc_id", EPOCHS, shuffle=False)
-    return train.unionByName(valid).select("split", "epoch", "doc_id", "pos")
+    return with_seed(train.unionByName(valid).select("split", "epoch", "doc_id", "pos"), 42)
 
 
 @register("L7_replica_shard")
 def q_l7(spark, sf_dir):
     train = lm_split(spark, sf_dir).filter(F.col("split") == "train")
-    return L.replica_shard(train, "doc_id", REPLICAS, shuffle=True).select("doc_id", "replica", "slot")
+    return with_seed(L.replica_shard(train, "doc_id", REPLICAS, shuffle=True).select("doc_id", "replica", "slot"), 42)
 
 
 @register("L8_sorted_groups")
@@ -164,6 +169,12 @@ def q_p8(spark, sf_dir):
         "label", F.array_join("tokens", " ").alias("text"))
 
 
+@register("T14_skip_tokens")
+def q_t14(spark, sf_dir):
+    rows = essay_dataset(spark, sf_dir, skip_tokens=True)
+    return rows.select("id", F.size("token_ids").alias("n_ids"), F.size("mask").alias("n_mask"), "label", "text")
+
+
 @register("F1_min_tokens")
 def q_f1(spark, sf_dir):
     rows = labelled(spark, sf_dir).select("id", "label", F.size(tokens("text")).cast("long").alias("text_len"))

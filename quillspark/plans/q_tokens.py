@@ -6,7 +6,7 @@ from pyspark import StorageLevel
 from pyspark.sql import functions as F
 
 from quillspark.functions import sequence as S
-from quillspark.functions.text import joined, tokens
+from quillspark.functions.text import joined, nonblank, tokens
 from quillspark.operators import tokens as TK
 from quillspark.operators.indexing import with_row_index
 from quillspark.operators.sampling import mini_batch, shuffle_split
@@ -80,8 +80,8 @@ def q_t5(spark, sf_dir):
 
 @register("T6_mask_ones")
 def q_t6(spark, sf_dir):
-    ids = doc_ids(spark, sf_dir, head=MAX_LEN).select("doc_id", S.special_pad("ids", MAX_LEN, TK.CLS_ID, TK.SEP_ID).alias("p"))
-    return ids.select("doc_id", joined(S.mask_ones("p")).alias("mask"))
+    # every padded row has the same length, so no token needs to be read
+    return table(spark, sf_dir, "documents").select("doc_id", joined(F.array_repeat(F.lit(1), MAX_LEN + 2)).alias("mask"))
 
 
 @register("T7_mask_prefix")
@@ -104,19 +104,19 @@ def doc_lines(spark, sf_dir):
 
 @register("F3_nonblank")
 def q_f3(spark, sf_dir):
-    return doc_lines(spark, sf_dir).filter(F.col("line").rlike(r"\S"))
+    return doc_lines(spark, sf_dir).filter(nonblank("line"))
 
 
 @register("T9_chunk_fast")
 def q_t9(spark, sf_dir):
-    ls = doc_lines(spark, sf_dir).filter(F.col("line").rlike(r"\S"))
+    ls = doc_lines(spark, sf_dir).filter(nonblank("line"))
     h = S.head_chunk(tokens("line"), LM_SEQ_LEN)
     return ls.select("doc_id", "line_idx", F.size(h).cast("long").alias("n"), F.array_join(h, " ").alias("text"))
 
 
 @register("T10_caps")
 def q_t10(spark, sf_dir):
-    ls = doc_lines(spark, sf_dir).filter(F.col("line").rlike(r"\S"))
+    ls = doc_lines(spark, sf_dir).filter(nonblank("line"))
     ls = ls.select("doc_id", "line_idx", F.slice(tokens("line"), 1, TOKEN_CAP).alias("capped"))
     ls = ls.select("doc_id", "line_idx", S.chunks("capped", CAP_SEQ_LEN).alias("chunks"))
     kept = TK.capped_texts(ls, "doc_id", "line_idx", "chunks", BATCH_CAP)

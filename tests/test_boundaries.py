@@ -1,11 +1,13 @@
 """Exact small cases at the boundaries (handwritten rows)."""
 
+import hashlib
+
 import pytest
 from pyspark.sql import functions as F
 
 from quillspark.functions import sequence as S
 from quillspark.functions.labels import correct_rule, gen_method
-from quillspark.functions.text import first_word, python_repr, space_pieces, tokens
+from quillspark.functions.text import first_word, nonblank, py_strip, python_repr, space_pieces, tokens
 from quillspark.operators import cohorts as A
 from quillspark.operators import scoring as D
 from quillspark.operators import tokens as TK
@@ -65,15 +67,20 @@ def test_line_mode_counts_blank_lines(spark):
 
 
 def test_python_repr_matches_python(spark):
-    cases = ["plain", "it's", 'say "hi"', "both ' and \"", "back\\slash", "tab\tnew\nline\rcr", ""]
+    cases = ["plain", "it's", 'say "hi"', "both ' and \"", "back\\slash", "tab\tnew\nline\rcr", "",
+             "nbsp\xa0zero\u200bvt\x0bls\u2028", "\U000e0001 tag \U0001f600 face", "del\x7f \x85"]
     df = spark.createDataFrame([(c,) for c in cases], "t string")
     got = [r["r"] for r in df.select(python_repr("t").alias("r")).collect()]
     assert got == [repr(c) for c in cases]
 
 
 def test_first_word_blank_and_leading_space(spark):
-    df = spark.createDataFrame([("  hello world",), ("   ",), ("",)], "t string")
-    assert [r["p"] for r in df.select(first_word("t").alias("p")).collect()] == ["hello", "", ""]
+    cases = ["  hello world", "   ", "", "\xa0nb\xa0sp", "\u2003\x1c\x85", "zero\u200bwidth x"]
+    df = spark.createDataFrame([(c,) for c in cases], "t string")
+    got = df.select(first_word("t").alias("p"), nonblank("t").alias("nb"), py_strip("t").alias("s")).collect()
+    assert [r["p"] for r in got] == [(c.split() or [""])[0] for c in cases]
+    assert [r["nb"] for r in got] == [bool(c.strip()) for c in cases]
+    assert [r["s"] for r in got] == [c.strip() for c in cases]
 
 
 def test_correct_rule_tie_is_incorrect(spark):
@@ -118,6 +125,25 @@ def test_missing_body_is_an_error(spark):
     bodies = spark.createDataFrame([("a", "text")], "filename string, text string")
     with pytest.raises(Exception, match="no body for filename=b"):
         index_body(idx, bodies).collect()
+    with pytest.raises(Exception, match="no body for filename=b"):
+        index_body(idx, bodies).select("filename").collect()
+    empty = spark.createDataFrame([("a", None), ("b", "x")], "filename string, text string")
+    assert {r["filename"]: r["text"] for r in index_body(idx, empty).collect()} == {"a": None, "b": "x"}
+
+
+def test_split_compares_with_one_bound(spark):
+    """Ranking by hash and comparing with the row at the cut agree; odd ids and tiny tables are defined."""
+    from quillspark.operators.sampling import shuffle_split
+
+    df = spark.range(101).select(F.col("id").alias("k"), F.lit("text").alias("text"))
+    got = {r["k"]: r["split"] for r in shuffle_split(df, "k", 0.9).collect()}
+    order = sorted(got, key=lambda k: (hashlib.md5(f"42:{k}".encode()).hexdigest(), k))
+    assert [got[k] for k in order] == ["train"] * 90 + ["valid"] * 11
+    assert shuffle_split(df.limit(0), "k", 0.9).collect() == []
+    odd = spark.createDataFrame([(None,), (None,), (1,), (1,)], "k long")
+    assert {r["split"] for r in shuffle_split(odd, "k", 1.0).collect()} == {"train"}
+    half = shuffle_split(odd, "k", 0.5).collect()
+    assert sorted((r["k"] is None, r["split"]) for r in half) == [(False, "valid")] * 2 + [(True, "train")] * 2
 
 
 def test_unknown_extension_is_an_error(spark, tmp_path):
