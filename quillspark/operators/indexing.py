@@ -29,27 +29,29 @@ def _partitions(df: DataFrame, num_partitions: int | None) -> int:
 
 def _local_cumsum(keys: list[str], value: str, dtype: str = "int64"):
     """Exclusive running sum of ``value`` within each group, per partition (rows arrive sorted)."""
-    sentinel = object()
+
+    def changes(pdf):
+        """Does row i + 1 start another group than row i (null equals null)?"""
+        out = np.zeros(max(0, len(pdf) - 1), dtype=bool)
+        for k in keys:
+            v, na = pdf[k].to_numpy(), pdf[k].isna().to_numpy()
+            out |= (na[1:] != na[:-1]) | (~na[1:] & ~na[:-1] & (v[1:] != v[:-1]))
+        return out
 
     def run(batches):
-        last_key, carry = sentinel, 0
+        last_key, carry = None, 0
         for pdf in batches:
             if pdf.empty:
                 yield pdf.assign(_lcum=pd.Series([], dtype=dtype))
                 continue
             v = pdf[value].fillna(0).astype(dtype).to_numpy()
-            if keys:
-                key_obj = pdf[keys].astype(object).where(pdf[keys].notna(), None)
-                tuples = list(key_obj.itertuples(index=False, name=None))
-            else:
-                tuples = [()] * len(pdf)
-            prev = [last_key] + tuples[:-1]
-            new = np.fromiter((a != b for a, b in zip(tuples, prev)), dtype=bool, count=len(tuples))
+            ends = [tuple(None if pd.isna(pdf[k].iloc[i]) else pdf[k].iloc[i] for k in keys) for i in (0, -1)]
+            new = np.r_[ends[0] != last_key, changes(pdf)]
             gid = np.cumsum(new)
             cs = np.cumsum(v) - v
             base = np.concatenate([[-carry], cs[np.flatnonzero(new)]])
             cum = cs - base[gid]
-            carry, last_key = cum[-1] + v[-1], tuples[-1]
+            carry, last_key = cum[-1] + v[-1], ends[1]
             yield pdf.assign(_lcum=cum.astype(dtype))
 
     return run
