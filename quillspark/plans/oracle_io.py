@@ -47,8 +47,10 @@ ORACLE["K2_result_sink"] = ORACLE["S8_json_map"]
 ORACLE["K3_text_sink"] = f"WITH {LM_SPLIT} SELECT split, {REPR} AS line FROM sp"
 ORACLE["S9_text_corpus"] = f"""WITH {LM_SPLIT}
 SELECT split, count(*) AS n_lines, CAST(sum(length({REPR}) + 1) AS BIGINT) AS n_chars FROM sp GROUP BY split"""
-ORACLE["S10_format_dispatch"] = """SELECT f.format, (SELECT count(*) FROM documents) AS n_rows
-FROM (VALUES ('parquet'), ('json'), ('csv'), ('text')) f(format)"""
+ORACLE["S10_format_dispatch"] = f"""WITH t AS (SELECT text, {REPR} AS line FROM documents),
+f AS (SELECT unnest(['parquet', 'json', 'csv', 'text']) AS format, unnest([text, text, text, line]) AS t FROM t)
+SELECT format, count(*) AS n_rows, CAST(sum(length(t)) AS BIGINT) AS n_chars,
+       CAST(sum(CAST('0x' || substr(md5(t), 1, 8) AS BIGINT)) AS BIGINT) AS text_sum FROM f GROUP BY format"""
 ORACLE["K4_prepared_sink"] = f"""WITH {LAB},
 cnt AS (SELECT token, count(*) AS cnt FROM (SELECT unnest(tokens) AS token FROM lt) GROUP BY token),
 vocab AS (SELECT token, 3 + row_number() OVER (ORDER BY cnt DESC, token) AS id FROM cnt WHERE cnt >= 2),
@@ -61,7 +63,3 @@ SELECT r.id, r.label, r.label_text, array_to_string({pad('li.ids', 192)}, ' ') A
        CASE WHEN r.label = 1 THEN 'human' ELSE 'gpt2_p100' END AS gen_method,
        CASE WHEN substr(md5('42:' || r.id), 1, 1) < 'd' THEN 'train' ELSE 'test' END AS split
 FROM rows r JOIN li ON r.id = li.id"""
-ORACLE["K5_metric_log"] = f"""WITH {LM_SPLIT},
-v AS (SELECT 8.0 * ({ttr(tok('text'))} - 0.45) AS z FROM sp WHERE split = 'valid'),
-l AS (SELECT avg(greatest(0.0, z) + ln(exp(0.0 - greatest(0.0, z)) + exp(z - greatest(0.0, z))) - z) AS loss FROM v)
-SELECT e.epoch, round(l.loss, 6) AS val_loss, round(exp(l.loss), 6) AS val_ppl FROM l, range(3) e(epoch)"""

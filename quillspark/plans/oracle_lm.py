@@ -32,15 +32,17 @@ ORACLE["M2_ngram_loss"] = f"""WITH {LOSSES}
 SELECT doc_id, CAST(chunk_idx AS BIGINT) AS chunk_idx, CAST(n_tokens AS BIGINT) AS n_tokens,
        round(loss_sum / n_tokens, 6) AS loss FROM cl"""
 
-ORACLE["A10_perplexity"] = f"""WITH {LOSSES},
+METRICS = f"""{LOSSES},
 r AS (SELECT *, (row_number() OVER (ORDER BY doc_id, chunk_idx) - 1) // 4 AS batch_id FROM cl),
 bl AS (SELECT batch_id, sum(loss_sum) / sum(n_tokens) AS loss FROM r GROUP BY batch_id),
 w AS (SELECT {chunks(tok('text'), 256)} AS ch, len(string_split(regexp_replace(text, '\\A[{PY_SPACE}]+|[{PY_SPACE}]+\\z', '', 'g'), ' ')) AS orig
       FROM sp WHERE split = 'valid'),
 cnt AS (SELECT sum(list_sum(list_transform(ch, lambda c: len(c)))) AS n_tokens, sum(orig) AS n_orig FROM w),
-m AS (SELECT avg(loss) AS loss FROM bl)
-SELECT 'valid' AS split, round(m.loss, 6) AS loss, round(exp(m.loss), 6) AS ppl,
-       round(exp(m.loss * (cnt.n_tokens - 1) / (cnt.n_orig - 1)), 6) AS adjusted_ppl FROM m, cnt"""
+m AS (SELECT avg(loss) AS loss FROM bl),
+a10 AS (SELECT 'valid' AS split, round(m.loss, 6) AS loss, round(exp(m.loss), 6) AS ppl,
+       round(exp(m.loss * (cnt.n_tokens - 1) / (cnt.n_orig - 1)), 6) AS adjusted_ppl FROM m, cnt)"""
+
+ORACLE["A10_perplexity"] = f"WITH {METRICS} SELECT * FROM a10"
 
 ORACLE["M3_decode_filter"] = f"""WITH {LM},
 bt AS (SELECT b.ctx, b.tok, ln({PROB}) AS l FROM big b JOIN cx c ON b.ctx = c.ctx LEFT JOIN uni u ON b.tok = u.tok
@@ -55,15 +57,25 @@ cu AS (SELECT *, coalesce(sum(prob) OVER (PARTITION BY ctx ORDER BY l DESC, tok
 kept AS (SELECT ctx, tok, prob FROM cu WHERE before <= 0.96)
 SELECT ctx, tok, round(prob / sum(prob) OVER (PARTITION BY ctx), 6) AS prob FROM kept"""
 
-ORACLE["M6_greedy_sample"] = f"""WITH RECURSIVE {LM},
-best AS (SELECT ctx, tok FROM (SELECT b.ctx, b.tok, row_number() OVER (
+BEST = """best AS MATERIALIZED (SELECT ctx, tok FROM (SELECT b.ctx, b.tok, row_number() OVER (
            PARTITION BY b.ctx ORDER BY b.n + (u.u + 1) / (st.nn + st.vv + 1) DESC, b.tok) AS r
-         FROM big b JOIN uni u ON b.tok = u.tok CROSS JOIN st) WHERE r = 1),
+         FROM big b JOIN uni u ON b.tok = u.tok CROSS JOIN st) WHERE r = 1)"""
+
+ORACLE["M6_greedy_sample"] = f"""WITH RECURSIVE {LM},
+{BEST},
 p0 AS (SELECT CAST(doc_id AS VARCHAR) AS id, {tok(f"regexp_extract(text, '[^{PY_SPACE}]+', 0)")} AS toks FROM documents),
 g AS (SELECT id, toks FROM p0 WHERE len(toks) > 0
       UNION ALL
       SELECT g.id, list_append(g.toks, best.tok) FROM g JOIN best ON g.toks[-1] = best.ctx WHERE len(g.toks) < 32)
 SELECT id, array_to_string(arg_max(toks, len(toks)), ' ') AS text FROM g GROUP BY id"""
 
+ORACLE["K5_metric_log"] = f"""WITH RECURSIVE {METRICS},
+{BEST},
+g AS (SELECT '<s>' AS last, CAST([] AS VARCHAR[]) AS toks
+      UNION ALL
+      SELECT best.tok, list_append(g.toks, best.tok) FROM g JOIN best ON g.last = best.ctx WHERE len(g.toks) < 32)
+SELECT CAST(0 AS BIGINT) AS epoch, loss AS val_loss, ppl AS val_ppl, adjusted_ppl AS val_adjusted_ppl,
+       (SELECT array_to_string(arg_max(toks, len(toks)), ' ') FROM g) AS sample FROM a10"""
+
 # D11 must equal the batch stand-in scorer (D10) on the same documents.
 ORACLE["D11_incremental_score"] = ORACLE["D10_lexical_score"]

@@ -12,11 +12,13 @@ from pyspark.sql import functions as F
 from quillspark.functions import sequence as S
 from quillspark.functions.text import joined, python_repr, tokens
 from quillspark.operators import tokens as TK
+from quillspark.operators.generate import generate
 from quillspark.operators.indexing import with_row_index
+from quillspark.operators.ngram import decode_filter
 from quillspark.operators.sampling import shuffle_split
-from quillspark.operators.scoring import cross_entropy, lexical_logits
 from quillspark.plans.detector import essay_scores
 from quillspark.plans.fixtures import essay_bodies, essay_index, news, real_web_text, reviews
+from quillspark.plans.q_lm import GENERATE, GREEDY_LEN, lm_metrics, lm_model
 from quillspark.plans.q_prep import DECODE_SETTINGS, TRAIN_MAX_LEN, labelled
 from quillspark.plans.registry import register, rounded
 from quillspark.session import scratch_path, table
@@ -168,8 +170,11 @@ def q_s10(spark, sf_dir):
     for ext in ("parquet", "json", "csv", "txt"):
         path = f"{base}/docs.{ext}"
         K.save(d.select(python_repr("text").alias("value")) if ext == "txt" else d, path)
-        out.append(R.load(spark, path).agg(F.count(F.lit(1)).alias("n_rows")).select(
-            F.lit(R.format_of(path)).alias("format"), "n_rows"))
+        t = F.col("value" if ext == "txt" else "text")
+        out.append(R.load(spark, path, d.schema).agg(
+            F.count(F.lit(1)).alias("n_rows"), F.sum(F.length(t)).cast("long").alias("n_chars"),
+            F.sum(F.conv(F.substring(F.md5(t), 1, 8), 16, 10).cast("long")).alias("text_sum"),
+        ).select(F.lit(R.format_of(path)).alias("format"), "n_rows", "n_chars", "text_sum"))
     res = out[0]
     for o in out[1:]:
         res = res.unionByName(o)
@@ -206,13 +211,16 @@ def q_k4(spark, sf_dir):
 
 @register("K5_metric_log")
 def q_k5(spark, sf_dir):
+    """The language model's row of an evaluation: losses of the held-out texts and a greedy sample."""
     path = scratch_path(spark, "metrics")
-    docs = lm_docs(spark, sf_dir).filter(F.col("split") == "valid").select(
-        F.lit(1).alias("label"), tokens("text").alias("tokens"))
-    loss = cross_entropy(lexical_logits(docs)).first()["loss"]
-    for epoch in range(3):
-        row = spark.range(1).select(
-            F.lit(epoch).cast("long").alias("epoch"), F.lit(loss).alias("val_loss"),
-            F.exp(F.lit(loss)).alias("val_ppl"))
-        K.append_metrics(row, path)
+    model = lm_model(spark, sf_dir)
+    prompt = spark.range(1).select("id", F.array().cast("array<string>").alias("prompt_tokens"))
+    sample = generate(prompt, decode_filter(model, GENERATE), sample_len=GREEDY_LEN, do_sample=False)
+    # (epoch, metric columns) and (epoch, sample) become one row by epoch
+    epoch = F.lit(0).cast("long").alias("epoch")
+    metrics = lm_metrics(spark, sf_dir, model).select(
+        epoch, F.col("loss").alias("val_loss"), F.col("ppl").alias("val_ppl"), F.col("adjusted_ppl").alias("val_adjusted_ppl"))
+    both = metrics.unionByName(sample.select(epoch, F.col("text").alias("sample")), allowMissingColumns=True)
+    K.append_metrics(both.groupBy("epoch").agg(
+        *[F.max(c).alias(c) for c in ("val_loss", "val_ppl", "val_adjusted_ppl", "sample")]), path)
     return rounded(spark.read.parquet(path))

@@ -84,12 +84,13 @@ def read_text_corpus(spark: SparkSession, path: str, whole: bool = False) -> Dat
     return spark.read.text(path, wholetext=whole, pathGlobFilter="*.txt")
 
 
-# One reader per format; an unknown format is an error.
+# One reader per format, each with the caller's schema; an unknown format is an error.
 READERS = {
-    "parquet": lambda spark, path: spark.read.parquet(path),
-    "json": lambda spark, path: spark.read.json(path),
-    "csv": lambda spark, path: spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path),
-    "text": lambda spark, path: spark.read.text(path),
+    "parquet": lambda read, path: read.parquet(path),
+    "json": lambda read, path: read.option("mode", "FAILFAST").json(path),
+    "csv": lambda read, path: (read.option("header", True).option("multiLine", True).option("escape", '"')
+                               .option("mode", "FAILFAST").csv(path)),
+    "text": lambda read, path: read.text(path),
 }
 
 
@@ -101,6 +102,10 @@ def format_of(path: str) -> str:
     return fmt
 
 
-def load(spark: SparkSession, path: str) -> DataFrame:
-    """Read by extension."""
-    return READERS[format_of(path)](spark, path)
+def load(spark: SparkSession, path: str, schema: T.StructType | str | None = None) -> DataFrame:
+    """Read by extension. JSON needs a schema (finding one would scan all rows); CSV without one
+    gives strings, Parquet holds its own, and text has the one column ``value``."""
+    fmt = format_of(path)
+    if fmt == "json" and schema is None:
+        raise ValueError("JSON needs a schema")
+    return READERS[fmt](spark.read if schema is None or fmt == "text" else spark.read.schema(schema), path)

@@ -152,6 +152,26 @@ def test_unknown_extension_is_an_error(spark, tmp_path):
         K.save(df, str(tmp_path / "out.pkl"))
     with pytest.raises(ValueError):
         R.load(spark, str(tmp_path / "in.html"))
+    with pytest.raises(ValueError):
+        R.load(spark, str(tmp_path / "in.json"))
+
+
+@pytest.mark.parametrize("ext", ["parquet", "json", "csv"])
+def test_dispatch_round_trip_keeps_texts(spark, tmp_path, ext):
+    df = spark.createDataFrame([(1, "  spaced  "), (2, 'quo"te, comma'), (3, "line\r\nline"), (4, None)], "k int, text string")
+    path = str(tmp_path / f"t.{ext}")
+    K.save(df, path)
+    assert sorted(R.load(spark, path, df.schema).collect()) == sorted(df.collect())
+
+
+def test_running_sum_over_null_and_wide_groups(spark):
+    """Groups are told apart exactly: null is a group of its own, and near-equal large longs differ."""
+    from quillspark.operators.indexing import with_row_index
+
+    rows = [(g, k, 1) for g in (None, 2**60, 2**60 + 1) for k in range(5)]
+    df = spark.createDataFrame(rows, "g long, k int, v int")
+    got = with_row_index(df, ["k"], ["g"], cum_of="v", num_partitions=4).collect()
+    assert {(r["g"], r["k"]): (r["row_idx"], r["cum_before"]) for r in got} == {(g, k): (k, k) for g, k, _ in rows}
 
 
 def test_csv_reader_quotes_commas_newlines(spark, tmp_path):
