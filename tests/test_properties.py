@@ -212,6 +212,22 @@ def test_chisq_odd_dof_matches_erfc(spark, obs):
     assert r["p_value"] == pytest.approx(math.erfc(math.sqrt(stat / 2)), rel=1e-9, abs=1e-12)
 
 
+@pytest.mark.parametrize("levels,scale", [(2, 1), (2, 1000), (3, 1), (4, 1), (4, 50), (5, 3), (2, 10**9), (40, 1), (40, 60)])
+def test_chisq_upper_tail(spark, levels, scale):
+    """Against the recurrence Q(a+1, x) = Q(a, x) + x^a e^-x / Gamma(a+1); large statistics give 0, not NaN."""
+    import math
+
+    obs = [((30 + 5 * i) * scale, (40 - (7 * i) % 11) * scale) for i in range(levels)]
+    ct = spark.createDataFrame([(f"l{i}", *r) for i, r in enumerate(obs)], "lvl string, correct_0 long, correct_1 long")
+    r = A.chisq(ct).first()
+    x, dof = r["statistic"] / 2, levels - 1
+    a, want = (1.0, math.exp(-x)) if dof % 2 == 0 else (0.5, math.erfc(math.sqrt(x)))
+    while a < dof / 2:
+        want += math.exp(a * math.log(x) - x - math.lgamma(a + 1))
+        a += 1
+    assert r["dof"] == dof and r["p_value"] == pytest.approx(want, rel=1e-9, abs=1e-300)
+
+
 def test_hot_context_plan_equals_window_plan(spark, monkeypatch):
     """The skew-safe (range-partitioned) filter and cumulative table equal the window versions."""
     model = M.fit(corpus(spark))
