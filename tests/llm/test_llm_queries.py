@@ -258,6 +258,51 @@ def test_line_dedup(spark, odd, many_partitions):
     assert line_dedup.fuzzy_line_dedup(odd).count() == len(odd_rows())
 
 
+def edit_distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+def test_line_dedup_finds_what_edit_similarity_finds(spark, many_partitions):
+    """Real lines beside copies with as many random edits as the threshold allows, or with replaced words: at least 97% of the linked copies are found."""
+    import random
+
+    rng, lines = random.Random(3), set()
+    for r in spark.read.parquet(f"{SF[:-5]}0.01/documents.parquet").select("text").orderBy("doc_id").limit(250).collect():
+        lines |= {" ".join(re.sub("[0-9]", "0", x).lower().split()) for x in r["text"].split("\n") if x.isascii()}
+    bases = rng.sample(sorted(x for x in lines if 10 <= len(x) <= 160), 300)
+    pairs = []
+    for k, x in enumerate(bases):
+        most, y = len(x) // 10, list(x)
+        if k % 3:
+            for _ in range(most if k % 3 == 1 else max(1, most // 2)):
+                at = rng.randrange(len(y))
+                y[at : at + 1] = rng.choice([[], [rng.choice("qzxvk")], [y[at], rng.choice("qzxvk")]])
+            y = "".join(y)
+        else:
+            y = x.split()
+            while True:
+                z = list(y)
+                z[rng.randrange(len(z))] = "".join(rng.choices("qzxvk", k=4))
+                if edit_distance(x, " ".join(z)) > most or sum(a != b for a, b in zip(x.split(), y)) > 5:
+                    break
+                y = z
+            y = " ".join(y)
+        y = " ".join(y.split())
+        if x != y and edit_distance(x, y) <= math.floor(0.1 * max(len(x), len(y)) + 1e-9):
+            pairs.append((x, y))
+    assert len(pairs) > 200 and min(len(x) for x, _ in pairs) < 20
+    rows = [(2 * k + side, pair[side]) for k, pair in enumerate(pairs) for side in (0, 1)]
+    out = {r["doc_id"]: r["n_removed"] for r in line_dedup.fuzzy_line_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    found = sum(out[2 * k + 1] for k in range(len(pairs))) / len(pairs)
+    print(f"recall {found:.3f} of {len(pairs)}")
+    assert found >= 0.97
+
+
 PLAIN = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
 
 
