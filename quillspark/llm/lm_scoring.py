@@ -3,13 +3,13 @@
 A target and a background model are matched: the same vocabulary, order and smoothing, each counted over its whole corpus. A
 document's score is the mean difference of its words' losses, background minus target; the higher, the more it is like the target.
 
-The models are class bigrams: p(w | v) = p(class w | class v) p(w | class w). The vocabulary is the words that occur often
-enough in both corpora together; the most frequent are classes of their own, the others share one, and all words outside it another. Words and pairs of classes are
-counted by Spark; what the driver gets is bounded by the vocabulary and the square of the number of classes.
+The models are word bigrams: p(w | v) = (c(v, w) + PRIOR p(w)) / (c(v) + PRIOR), p(w) = (c(w) + ADDED) / (c + ADDED V). The vocabulary
+is every word of both corpora (a least count of one), so all words of a scored document are in it. Counts are Spark tables that grow
+with the corpora: words, contexts and pairs. A document's pairs are counted before they are joined with the pairs' losses, so
+a frequent pair has one row for each document, which Spark's skew join can split. The driver gets three numbers.
 
-Words are lower-cased (A-Z) runs of other than ASCII space and 0x09-0x0D. Null and empty texts have no words and score 0; with no
-target words every score is that of two models without counts, that is 0. Repeated rows count each. Extra columns are
-ignored. An empty table gives no rows.
+Words are lower-cased (A-Z) runs of other than ASCII space and 0x09-0x0D. Null and empty texts have no words and score 0; a corpus without
+words has a uniform model. Repeated rows count each. Extra columns are ignored. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -18,112 +18,81 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.llm.store import written
-from quillspark.llm.words import Words, batch_words
+from quillspark.llm.words import _R, Words, batch_words, mix
 
-#: Words of the vocabulary, of which so many are classes of their own; smoothing counts of words and of classes after a class.
-VOCABULARY, SINGLE, ADDED, PRIOR = 1 << 16, 1022, 0.5, 20.0
-#: Occurrences up to which the words are told apart in the search for the vocabulary's least count.
-COUNTED = 100_000
-RARE, OUTSIDE, START = SINGLE, SINGLE + 1, SINGLE + 2
-CLASSES = SINGLE + 3
+#: Smoothing counts of words and of words after a word.
+ADDED, PRIOR = 0.5, 20.0
+#: Context of a document's first word.
+START = np.uint64(0)
 
+COUNTS = "key long, v long, w long, t long, b long"
+USES = "row long, doc_id long, key long, n long"
 
-def _unigrams(target: bool):
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for _, _, w in batch_words(b.column(0), "space_lower"):
-                h, n = np.unique(w.h, return_counts=True)
-                zero = np.zeros(len(h), np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n if target else zero), pa.array(zero if target else n)], ["h", "t", "b"])
-
-    return count
-
-
-class Vocabulary:
-    """Class and rank of word hashes."""
 
-    def __init__(self, hashes: np.ndarray):
-        self.order = np.argsort(hashes)
-        self.sorted = hashes[self.order]
+def _pairs(w: Words) -> tuple[np.ndarray, np.ndarray]:
+    """(context, hash of context and word) of each word."""
+    before = np.empty_like(w.h)
+    before[1:] = w.h[:-1]
+    before[w.first[:-1][np.diff(w.first) > 0]] = START
+    return before, mix(before * _R + w.h)
 
-    def ranks(self, h: np.ndarray) -> np.ndarray:
-        """Rank by frequency; the vocabulary's size for a word outside it."""
-        if not len(self.sorted):
-            return np.zeros(len(h), np.int64)
-        at = np.minimum(np.searchsorted(self.sorted, h), len(self.sorted) - 1)
-        return np.where(self.sorted[at] == h, self.order[at], len(self.sorted))
 
-    def classes(self, ranks: np.ndarray) -> np.ndarray:
-        return np.where(ranks >= len(self.sorted), OUTSIDE, np.minimum(ranks, RARE))
+def _counter(target: bool):
+    """Rows of COUNTS for the pairs of each slice of texts."""
 
-    def steps(self, w: Words) -> tuple[np.ndarray, np.ndarray]:
-        """(rank, pair of classes) of each word; a document's first word follows START."""
-        ranks = self.ranks(w.h)
-        c = self.classes(ranks)
-        before = np.empty_like(c)
-        before[1:] = c[:-1]
-        before[w.first[:-1][np.diff(w.first) > 0]] = START
-        return ranks, before * CLASSES + c
-
-
-def _pairs(target: bool, vocabulary: Vocabulary):
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for _, _, w in batch_words(b.column(0), "space_lower"):
-                pair, n = np.unique(vocabulary.steps(w)[1], return_counts=True)
-                zero = np.zeros(len(pair), np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(pair.astype(np.int32)), pa.array(n if target else zero), pa.array(zero if target else n)], ["pair", "t", "b"])
+                before, pair = _pairs(w)
+                key, at, n = np.unique(pair, return_index=True, return_counts=True)
+                zero = np.zeros(len(key), np.int64)
+                columns = [key.view(np.int64), before[at].view(np.int64), w.h[at].view(np.int64), n if target else zero, zero if target else n]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["key", "v", "w", "t", "b"])
 
     return count
 
 
-def log_models(words: np.ndarray, pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(log p of a class after a class [pairs], log p of a word in its class [rank, and outside]) from the counts of one corpus."""
-    n = pairs.reshape(CLASSES, CLASSES).astype(float)
-    one = n.sum(0) + ADDED
-    one[START] = 0
-    one /= one.sum()
-    two = (n + PRIOR * one) / (n.sum(1, keepdims=True) + PRIOR)
-    two[:, START] = 1  # never asked for
-    inside = np.zeros(len(words) + 1)
-    rare = words[SINGLE:].astype(float) + ADDED
-    if len(rare):
-        inside[SINGLE:-1] = np.log(rare / rare.sum())
-    return np.log(two).ravel(), inside
+def _uses(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of USES: each pair of each document, and one row with the document's id and no words, under a key of its own."""
+    for b in batches:
+        for i, j, w in batch_words(b.column(2), "space_lower"):
+            doc, pair = np.repeat(np.arange(len(w)), np.diff(w.first)), _pairs(w)[1]
+            order = np.lexsort((pair, doc))
+            doc, pair = doc[order], pair[order]
+            new = np.flatnonzero(np.concatenate([[True], (np.diff(doc) != 0) | (pair[1:] != pair[:-1])])) if len(doc) else np.zeros(0, np.int64)
+            row = b.column(0)[i:j].to_numpy()
+            none = np.zeros(j - i, np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(row), b.column(1)[i:j], pa.array(mix(row.view(np.uint64) + _R).view(np.int64)), pa.array(none)], ["row", "doc_id", "key", "n"])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(row[doc[new]]), pa.nulls(len(new), pa.int64()), pa.array(pair[new].view(np.int64)), pa.array(np.diff(np.append(new, len(doc))))], ["row", "doc_id", "key", "n"]
+            )
+
+
+def pair_losses(docs: DataFrame, target: DataFrame) -> DataFrame:
+    """(key, loss_t, loss_b) of every pair of words of both corpora (each one column, the text)."""
+    counted = docs.mapInArrow(_counter(False), COUNTS).unionAll(target.mapInArrow(_counter(True), COUNTS))
+    counted = written(counted.groupBy("key", "v", "w").agg(F.sum("t").alias("t"), F.sum("b").alias("b")), "pair-counts")
+    words = written(counted.groupBy("w").agg(F.sum("t").alias("wt"), F.sum("b").alias("wb")), "word-counts")
+    contexts = written(counted.groupBy("v").agg(F.sum("t").alias("vt"), F.sum("b").alias("vb")), "context-counts")
+    size, all_t, all_b = words.agg(F.count("*"), F.coalesce(F.sum("wt"), F.lit(0)), F.coalesce(F.sum("wb"), F.lit(0))).first()
+
+    def loss(c: str, total: int) -> Column:
+        one = (F.col(f"w{c}") + ADDED) / F.lit(float(max(total + ADDED * size, 1)))
+        return (F.log(F.col(f"v{c}") + PRIOR) - F.log(F.col(c) + PRIOR * one)).alias(f"loss_{c}")
+
+    return counted.join(words, "w").join(contexts, "v").select("key", loss("t", all_t), loss("b", all_b))
 
 
 def cross_entropy_difference(docs: DataFrame, target: DataFrame, id_col: str = "doc_id", text_col: str = "text", target_text: str = "text") -> DataFrame:
     """(doc_id, n_words, loss_target, loss_background, score) of every row; losses are nats a word."""
-    back, aim = docs.select(F.col(text_col).alias("text")), target.select(F.col(target_text).alias("text"))
-    kind = "h long, t long, b long"
-    counted = back.mapInArrow(_unigrams(False), kind).unionAll(aim.mapInArrow(_unigrams(True), kind)).groupBy("h").agg(F.sum("t").alias("t"), F.sum("b").alias("b"))
-    counted = written(counted, "word-counts")
-    # the vocabulary: all words that occur at least so often that there are at most VOCABULARY of them
-    often = counted.groupBy(F.least(F.col("t") + F.col("b"), F.lit(COUNTED)).alias("n")).count().orderBy(F.desc("n")).toPandas()
-    fits = often[often["count"].cumsum() <= VOCABULARY]
-    least = int(fits["n"].min()) if len(fits) else COUNTED
-    top = counted.where(F.col("t") + F.col("b") >= least).orderBy((F.col("t") + F.col("b")).desc(), "h").limit(VOCABULARY).toPandas()
-    vocabulary = Vocabulary(top["h"].to_numpy(np.int64).view(np.uint64))
-    kind = "pair int, t long, b long"
-    both = back.mapInArrow(_pairs(False, vocabulary), kind).unionAll(aim.mapInArrow(_pairs(True, vocabulary), kind)).groupBy("pair").agg(F.sum("t").alias("t"), F.sum("b").alias("b")).toPandas()
-    models = []
-    for c in ("t", "b"):
-        pairs = np.zeros(CLASSES * CLASSES)
-        pairs[both["pair"].to_numpy(int)] = both[c].to_numpy(float)
-        models.append(log_models(top[c].to_numpy(float), pairs))
-    models = [(p.astype(np.float32), u) for p, u in models]
-
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for i, j, w in batch_words(b.column(1), "space_lower"):
-                ranks, pair = vocabulary.steps(w)
-                n, doc = np.diff(w.first), np.repeat(np.arange(len(w)), np.diff(w.first))
-                loss = [-np.bincount(doc, p[pair] + u[ranks], len(w)) / np.maximum(n, 1) for p, u in models]
-                yield pa.RecordBatch.from_arrays([b.column(0)[i:j], pa.array(n, pa.int64()), pa.array(loss[0]), pa.array(loss[1]), pa.array(loss[1] - loss[0])], ["doc_id", "n_words", "loss_target", "loss_background", "score"])
-
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(score, "doc_id long, n_words long, loss_target double, loss_background double, score double")
+    losses = pair_losses(docs.select(F.col(text_col).alias("text")), target.select(F.col(target_text).alias("text")))
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    used = rows.mapInArrow(_uses, USES).join(losses, "key", "left")
+    parts = [F.coalesce(F.sum(F.col("n") * F.col(f"loss_{c}")), F.lit(0.0)).alias(c) for c in ("t", "b")]
+    total = used.groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.sum("n").alias("n_words"), *parts)
+    mean = [F.col(c) / F.greatest("n_words", F.lit(1)) for c in ("t", "b")]
+    return total.select("doc_id", "n_words", mean[0].alias("loss_target"), mean[1].alias("loss_background"), (mean[1] - mean[0]).alias("score"))

@@ -249,6 +249,31 @@ def test_lm_scores_prefer_the_target(spark, odd):
     assert lm_scoring.cross_entropy_difference(odd, target.limit(0)).count() == len(odd_rows())
 
 
+def test_lm_scores_equal_bigram_models_of_all_words(spark, odd, many_partitions):
+    aim = ["alpha beta gamma delta " * 50, None, "rare1 rare2 alpha"]
+    many = [(100 + k, f"word{k} word{k + 1} rare{k % 3} the the") for k in range(400)]
+    rows = [(i, t) for i, t in odd_rows() if i != 6] + many
+    fold = {c: c + 32 for c in range(65, 91)}
+    back, front = ([[x.translate(fold) for x in words(t)] for t in texts] for texts in ([t for _, t in rows], aim))
+    vocabulary = {x for ws in back + front for x in ws}
+
+    def model(corpus):
+        one, two, before = Counter(), Counter(), Counter()
+        for ws in corpus:
+            for v, x in zip([None, *ws], ws):
+                one[x] += 1
+                two[v, x] += 1
+                before[v] += 1
+        p = lambda x: (one[x] + 0.5) / (one.total() + 0.5 * len(vocabulary))
+        return lambda ws: -sum(math.log((two[v, x] + 20 * p(x)) / (before[v] + 20)) for v, x in zip([None, *ws], ws)) / max(1, len(ws))
+
+    target, background = model(front), model(back)
+    want = sorted([(i, len(ws), round(target(ws), 6), round(background(ws), 6)) for (i, _), ws in zip(rows, back)], key=str)
+    out = lm_scoring.cross_entropy_difference(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), spark.createDataFrame([(t,) for t in aim], "text string")).collect()
+    got = sorted([(r["doc_id"], r["n_words"], round(r["loss_target"], 6), round(r["loss_background"], 6)) for r in out], key=str)
+    assert len(got) == len(want) and all(a[:2] == b[:2] and abs(a[2] - b[2]) < 1e-5 and abs(a[3] - b[3]) < 1e-5 for a, b in zip(got, want))
+
+
 def test_line_dedup(spark, odd, many_partitions):
     long = "this long line tells about the many harbours and the ships that lie in them during winter until the ice has gone away"
     rows = [(1, f"{long}\nother words here\n\n"), (2, f"\n{long.upper()}"), (3, long.replace("winter", "winters") + "\nOther  words here"), (4, None), (5, ""), (None, long), (6, "page 12 of 30\npage 13 of 30")]
