@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillspark.llm.store import written
 from quillspark.llm.words import batch_words
 
 #: Words in a window; bytes of benchmark text in one automaton. A larger benchmark is cut into several, each scanned for.
@@ -119,31 +120,66 @@ def benchmark_hits(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, id_co
         own = items.where(F.pmod(F.xxhash64("id", "text"), F.lit(shards)) == k)
         part = rows.mapInArrow(_scanner(patterns([tuple(r) for r in own.toLocalIterator()], n)), FOUND)
         found = part if found is None else found.unionAll(part)
-    merged = found.groupBy("doc_id").agg(
-        F.max("n_words").alias("n_words"), *(F.array_sort(F.array_distinct(F.flatten(F.collect_list(c)))).alias(c) for c in ("hits", "items", "spans")))
+    lists = (F.array_sort(F.array_distinct(F.flatten(F.collect_list(c)))).alias(c) for c in ("hits", "items"))
+    parts = F.collect_list(F.when(F.size("hits") > 0, F.struct("hits", "spans"))).alias("parts")
+    merged = found.groupBy("doc_id").agg(F.max("n_words").alias("n_words"), *lists, parts)
+    merged = merged.mapInArrow(_merged, FOUND)
     ids = docs.select(F.monotonically_increasing_id().alias("__row"), F.col(id_col).cast("long").alias("id"))
     return merged.join(ids, F.col("__row") == F.col("doc_id")).select(F.col("id").alias("doc_id"), "n_words", "hits", "items", "spans")
 
 
+def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of FOUND whose spans are the runs of all hit words: pieces of several automata that touch or overlap become one."""
+    for b in batches:
+        spans = []
+        for parts in b.column(4).to_pylist():
+            pieces, out = [], []
+            for x in parts:
+                words = np.array(x["hits"])
+                first = words[np.concatenate([[True], np.diff(words) > 1])]
+                last = words[np.concatenate([np.diff(words) > 1, [True]])]
+                pieces += [(int(p), int(q), s["start"], s["end"]) for p, q, s in zip(first, last, x["spans"])]
+            until = None
+            for p, q, start, end in sorted(pieces):
+                if until is not None and p <= until + 1:
+                    out[-1]["end"] = max(out[-1]["end"], end)
+                    until = max(until, q)
+                else:
+                    out.append({"start": start, "end": end})
+                    until = q
+            spans.append(out)
+        kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
+        yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(spans, kind)], ["doc_id", "n_words", "hits", "items", "spans"])
+
+
 def items_digest(items: list[str]) -> str:
     return hashlib.sha256(",".join(items).encode()).hexdigest()
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without the documents that hold a benchmark window; the scan runs beside the rows, so no text is shuffled."""
+    """``docs`` without the rows that hold a benchmark window, whatever their ids; the scan runs beside the rows, so no text is shuffled.
+
+    Above ``AUTOMATON_BYTES`` the rows pass one automaton after the other; what is left is written in between, so that a task holds
+    one automaton at a time."""
     items = benchmark.select(F.col("item_id").cast("string").alias("id"), F.col("text").alias("text"))
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    if total > AUTOMATON_BYTES:
-        bad = benchmark_hits(docs, benchmark, n, id_col, text_col).where(F.size("hits") > 0).select(F.col("doc_id").alias("__id")).distinct()
-        return docs.join(bad, docs[id_col].cast("long") == F.col("__id"), "left_anti")
-    table, at = patterns([tuple(r) for r in items.collect()], n), docs.columns.index(text_col)
+    shards, at = 1 + total // AUTOMATON_BYTES, docs.columns.index(text_col)
 
-    def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        auto = _automaton(table)
-        for b in batches:
-            if b.num_rows:
-                found = _scan(auto, pa.nulls(b.num_rows, pa.int64()), b.column(at))
-                hit = np.concatenate([x.column(2).value_lengths().to_numpy() for x in found])
-                yield b.filter(pa.array(hit == 0))
+    def cleaner(table: dict[str, tuple[int, list[str]]]):
+        def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            auto = _automaton(table)
+            for b in batches:
+                if b.num_rows:
+                    found = _scan(auto, pa.nulls(b.num_rows, pa.int64()), b.column(at))
+                    hit = np.concatenate([x.column(2).value_lengths().to_numpy() for x in found])
+                    yield b.filter(pa.array(hit == 0))
+
+        return clean
 
-    return docs.mapInArrow(clean, docs.schema)
+    out = docs
+    for k in range(int(shards)):
+        own = items.where(F.pmod(F.xxhash64("id", "text"), F.lit(shards)) == k)
+        out = out.mapInArrow(cleaner(patterns([tuple(r) for r in own.toLocalIterator()], n)), docs.schema)
+        if k + 1 < shards:
+            out = written(out, "clean")
+    return out

@@ -181,6 +181,20 @@ def test_decontamination_spans_lead_to_the_original_text(spark, odd, monkeypatch
     assert all(again[k]["hits"] == found[k]["hits"] and again[k]["items"] == found[k]["items"] for k in found)
 
 
+def test_decontamination_by_several_automata_equals_one(spark, monkeypatch):
+    """Null and repeated ids decide nothing, and windows of different automata that overlap or touch are one span."""
+    run, other = LOREM.split()[:24], "one two three four five six seven eight nine ten"
+    bench = spark.createDataFrame([(k, " ".join(run[k : k + 10])) for k in range(0, 14, 2)] + [(50, " ".join(run[14:24])), (60, other)], "item_id long, text string")
+    rows = [(None, "x " + " ".join(run) + " y"), (None, "clean"), (1, " ".join(run[:10])), (1, "clean too"), (2, f"{other} x {' '.join(run[2:16])}"), (3, " ".join(run[:9])), (4, None), (4, "")]
+    docs = spark.createDataFrame([(i, t, k) for k, (i, t) in enumerate(rows)], "doc_id long, text string, row int").repartition(3).cache()
+    hits = lambda: Counter(map(repr, decontaminate.benchmark_hits(docs, bench).collect()))
+    kept = lambda: sorted(r["row"] for r in decontaminate.drop_contaminated(docs, bench).collect())
+    one = hits(), kept()
+    assert one[1] == [1, 3, 5, 6, 7]
+    monkeypatch.setattr(decontaminate, "AUTOMATON_BYTES", 60)
+    assert (hits(), kept()) == one
+
+
 def test_flow_prefers_first_copies_of_overlapping_sources():
     out = flow.route([100, 50, 30], [150, 60, 10], [[0], [0, 1], [1, 2]], 2)
     by_source = [sum(sum(p[s]) for p in out) for s in range(3)]
