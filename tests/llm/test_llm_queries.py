@@ -141,6 +141,14 @@ def test_jaccard_join_odd_rows_and_near_copies(spark, odd, many_partitions, n, n
     assert ngram_join.keep_one_of_each(odd, n, num, den).columns == odd.columns
 
 
+def test_near_stage_keeps_one_row_of_each_component_whatever_the_ids(spark, many_partitions):
+    other = " ".join(f"w{k}" for k in range(40))
+    rows = [(None, LOREM), (4, LOREM), (None, LOREM + " extra"), (None, other), (None, other + " more"), (7, "alone here"), (7, LOREM), (2, LOREM), (None, ""), (None, None), (8, "")]
+    docs = spark.createDataFrame([(i, t, k) for k, (i, t) in enumerate(rows)], "doc_id long, text string, n int").coalesce(1)
+    kept = ngram_join.keep_one_of_each(store.written(docs, "t-near"))
+    assert kept.columns == docs.columns and sorted(r["n"] for r in kept.collect()) == [3, 5, 7, 8, 9, 10]
+
+
 def brute_repeats(rows, n):
     seen, out = {}, []
     for i, t in rows:
