@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm import decontaminate, exact_dedup, language_id, line_dedup, lm_scoring, mixing, ngram_join, pii, quality, substring_dedup
+from quillspark.llm import alignment, decontaminate, exact_dedup, hard_negatives, language_id, line_dedup, lm_scoring, mixing, ngram_join, pii, quality, substring_dedup, suffix_dedup
 from quillspark.llm.sql import SQL  # noqa: F401
 from quillspark.llm.store import read_documents
 
@@ -85,6 +85,25 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", *(f"n_{k}" for k in pii.KINDS), F.sha2(pii.span_text("base"), 256).alias("base_sha256"), pii.span_text("spans").alias("spans"))
 
 
+@register
+def op11_hard_negative_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels of every seventh vector are moved on by one; components become whole numbers."""
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label").cast("long") + 1) % 10).otherwise(F.col("label").cast("long"))
+    rows = read_documents(spark, sf_dir, "embeddings").select("vec_id", moved.alias("label"), hard_negatives.quantised("embedding").alias("vector"))
+    return hard_negatives.hard_negatives(rows)
+
+
+@register
+def op12_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows of 100 bytes."""
+    return suffix_dedup.without_repeats(read_documents(spark, sf_dir).select("doc_id", "text")).drop("spans")
+
+
+@register
+def op13_cross_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.cross_tokenizer_alignment(read_documents(spark, sf_dir).select("doc_id", "text"))
+
+
 @register
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages of ``corpus_pipeline.py``."""
