@@ -24,8 +24,20 @@ MODEL_BROADCAST_ROWS = 2_000_000
 CONTEXT_WINDOW_ROWS = 1_000_000
 
 
-def pairs(chunks_df: DataFrame, chunk_col: str = "chunk", keep=()) -> DataFrame:
-    """(keep..., ctx, tok) for every token of every chunk; ctx of the first token is BOS."""
+# Parts that a hot context is dealt over when unseen pairs look it up by a shuffle.
+CONTEXT_SALT = 16
+# Whole-number mass of the likeliest candidate of a context, and parts of a nucleus bound.
+UNIT, PARTS = 1 << 40, 1_000_000
+
+
+def whole_mass(x) -> F.Column:
+    """A share in (0, 1] as a whole number of at least one: sums do not depend on their order."""
+    return F.greatest(F.floor(x * float(UNIT)), F.lit(1)).cast("long")
+
+
+def pairs(chunks_df: DataFrame, chunk_col: str = "chunk", keep=(), end: str | None = None) -> DataFrame:
+    """(keep..., ctx, tok) for every token of every chunk; ctx of the first token is BOS. ``end`` is a marker put after the last one."""
+    chunks_df = chunks_df if end is None else chunks_df.withColumn(chunk_col, F.array_append(chunk_col, end))
     c = F.col(chunk_col)
     ctxs = F.transform(c, lambda t, i: F.when(i == 0, F.lit(BOS)).otherwise(F.element_at(c, i)))
     z = F.arrays_zip(ctxs.alias("ctx"), c.alias("tok"))
@@ -45,9 +57,10 @@ class BigramModel:
     k: float = 1.0
 
 
-def fit(chunks_df: DataFrame, chunk_col: str = "chunk", k: float = 1.0) -> BigramModel:
-    """M1: bigram and unigram counts (map-side combined aggregations)."""
-    p = pairs(chunks_df, chunk_col)
+def fit(chunks_df: DataFrame, chunk_col: str = "chunk", k: float = 1.0, end: str | None = None) -> BigramModel:
+    """M1: bigram and unigram counts (map-side combined aggregations). ``end``: an end-of-text marker that the model learns
+    after every chunk, for generation that stops there."""
+    p = pairs(chunks_df, chunk_col, end=end)
     # the count tables are reused by the size checks and every join: keep them (spillable)
     big = p.groupBy("ctx", "tok").agg(F.count(F.lit(1)).alias("n")).persist(StorageLevel.MEMORY_AND_DISK)
     ctx_f = big.groupBy("ctx").agg(F.sum("n").alias("ctx_n"), F.count(F.lit(1)).alias("_f"))
@@ -67,12 +80,24 @@ def _sized(df: DataFrame, rows: int) -> DataFrame:
 
 
 def token_probs(model: BigramModel, ctx_tok: DataFrame) -> DataFrame:
-    """Attach p(tok | ctx) to rows holding (ctx, tok); unseen pairs / contexts / tokens are smoothed."""
-    j = (
-        ctx_tok.join(_sized(model.bigrams.select("ctx", "tok", "n"), model.bigram_rows), ["ctx", "tok"], "left")
-        .join(_sized(model.contexts, model.context_rows), "ctx", "left")
-        .join(_sized(model.unigrams, model.vocab), "tok", "left")
-    )
+    """Attach p(tok | ctx) to rows holding (ctx, tok); unseen pairs / contexts / tokens are smoothed.
+
+    One main join on (ctx, tok) brings all counts of a pair that was seen. Only rows of unseen pairs look up their context and
+    token: against broadcast tables while these are small (counted), else by two joins that salt the context.
+    """
+    carried = model.bigrams.join(_sized(model.unigrams, model.vocab), "tok", "left")
+    j = ctx_tok.join(_sized(carried, model.bigram_rows), ["ctx", "tok"], "left")
+    own = [c for c in ctx_tok.columns if c not in ("ctx", "tok")]
+    uni, ctx = model.unigrams.withColumnRenamed("u", "_u"), model.contexts.withColumnRenamed("ctx_n", "_c")
+    both = [F.coalesce("ctx_n", "_c").alias("ctx_n"), F.coalesce("u", "_u").alias("u")]
+    if model.context_rows <= MODEL_BROADCAST_ROWS and model.vocab <= MODEL_BROADCAST_ROWS:
+        j = j.join(F.broadcast(ctx), "ctx", "left").join(F.broadcast(uni), "tok", "left").select("ctx", "tok", *own, "n", *both)
+    else:
+        j = j.persist(StorageLevel.MEMORY_AND_DISK)  # read for the seen and for the unseen pairs
+        salt = F.pmod(F.xxhash64("tok"), F.lit(CONTEXT_SALT)).cast("int").alias("_salt")
+        spread = ctx.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(CONTEXT_SALT - 1))))
+        unseen = j.filter(F.col("n").isNull()).select("*", salt).join(spread, ["ctx", "_salt"], "left").join(_sized(uni, model.vocab), "tok", "left")
+        j = j.filter(F.col("n").isNotNull()).select("ctx", "tok", *own, "n", "ctx_n", "u").unionAll(unseen.select("ctx", "tok", *own, "n", *both))
     return j.withColumn("p", _prob(model)).drop("n", "ctx_n", "u")
 
 
@@ -106,41 +131,55 @@ def _per_ctx(model: BigramModel, df: DataFrame) -> DataFrame:
 
 
 def decode_filter(model: BigramModel, params: DecodeParams) -> DataFrame:
-    """M3: next-token distributions per context: penalty -> temperature -> top-k -> top-p -> renormalise.
+    """M3: (ctx, tok, prob, mass), next-token distributions per context: penalty -> temperature -> top-k -> top-p -> renormalise.
 
     Candidates are the observed followers of each context. The repetition penalty applies to the
     token equal to its context (the one history token a bigram context knows). top_k = 0 is off and
     keeps ties at the k-th value; the nucleus keeps tokens whose preceding cumulative mass is
     <= top_p, so at least one stays.
 
+    Mass is a whole number, so no result depends on the order of summation: without penalty and temperature it is the exact
+    n (N + V + 1) + u + 1, to which the probability is proportional (while the corpus is below 2^31 tokens), otherwise the likelihood
+    relative to the context's best in steps of 2^-40.
+
     When the largest context has at most CONTEXT_WINDOW_ROWS followers (counted at fit time),
     per-context windows rank it inside one task (one shuffle). Otherwise positions and running mass
-    come from the range-partitioned index helper, so a hot context spans several tasks.
+    come from the range-partitioned index helper, so a hot context spans several tasks. Both give the same table.
     """
     b = model.bigrams.join(_sized(model.unigrams, model.vocab), "tok", "left")
-    t = b.select("ctx", "tok", F.log(_prob(model)).alias("l"))
-    pen = F.lit(float(params.repetition_penalty))
-    penalised = F.when(F.col("l") < 0, F.col("l") * pen).otherwise(F.col("l") / pen)
-    t = t.withColumn("l", F.when(F.col("tok") == F.col("ctx"), penalised).otherwise(F.col("l")))
-    t = t.withColumn("l", F.col("l") / F.lit(float(params.temperature)))
+    exact = params.temperature == 1 and params.repetition_penalty == 1 and model.k == 1 and model.total + model.vocab < 1 << 31
+    whole = F.col("n") * F.lit(model.total + model.vocab + 1) + F.coalesce(F.col("u"), F.lit(0)) + 1
+    t = b.select("ctx", "tok", F.log(_prob(model)).alias("l"), *([whole.cast("long").alias("mass")] if exact else []))
+    if not exact:
+        pen = F.lit(float(params.repetition_penalty))
+        penalised = F.when(F.col("l") < 0, F.col("l") * pen).otherwise(F.col("l") / pen)
+        t = t.withColumn("l", F.when(F.col("tok") == F.col("ctx"), penalised).otherwise(F.col("l")))
+        t = t.withColumn("l", F.col("l") / F.lit(float(params.temperature)))
     if model.max_followers <= CONTEXT_WINDOW_ROWS:
         return _filter_by_windows(t, params)
     return _filter_by_index(model, t, params)
 
 
+def _in_nucleus(top_p: float) -> F.Column:
+    """Whole-number form of before / total <= top_p."""
+    wide = lambda c: F.col(c).cast("decimal(38,0)")
+    return wide("_before") * PARTS <= wide("_total") * round(top_p * PARTS)
+
+
 def _filter_by_windows(t: DataFrame, params: DecodeParams) -> DataFrame:
     by_ctx = Window.partitionBy("ctx")
-    ordered = by_ctx.orderBy(F.col("l").desc(), F.col("tok"))
     if params.top_k and params.top_k > 0:
         t = t.withColumn("_r", F.rank().over(by_ctx.orderBy(F.col("l").desc()))).filter(
             F.col("_r") <= params.top_k).drop("_r")
-    t = t.withColumn("_e", F.exp(F.col("l") - F.max("l").over(by_ctx)))
-    t = t.withColumn("prob", F.col("_e") / F.sum("_e").over(by_ctx))
+    if "mass" not in t.columns:
+        t = t.withColumn("mass", whole_mass(F.exp(F.col("l") - F.max("l").over(by_ctx))))
+    t = t.withColumn("_total", F.sum("mass").over(by_ctx))
     if params.top_p < 1.0:
-        before = F.sum("prob").over(ordered.rowsBetween(Window.unboundedPreceding, -1))
-        t = t.withColumn("_before", F.coalesce(before, F.lit(0.0))).filter(F.col("_before") <= params.top_p)
-        t = t.withColumn("prob", F.col("prob") / F.sum("prob").over(by_ctx))
-    return t.select("ctx", "tok", "prob")
+        ordered = by_ctx.orderBy(F.col("mass").desc(), F.col("l").desc(), F.col("tok"))
+        before = F.sum("mass").over(ordered.rowsBetween(Window.unboundedPreceding, -1))
+        t = t.withColumn("_before", F.coalesce(before, F.lit(0))).filter(_in_nucleus(params.top_p))
+        t = t.withColumn("_total", F.sum("mass").over(by_ctx))
+    return t.select("ctx", "tok", (F.col("mass") / F.col("_total")).alias("prob"), "mass")
 
 
 def _filter_by_index(model: BigramModel, t: DataFrame, params: DecodeParams) -> DataFrame:
@@ -150,14 +189,13 @@ def _filter_by_index(model: BigramModel, t: DataFrame, params: DecodeParams) ->
         kth = ranked.filter(F.col("_r") == params.top_k - 1).select("ctx", F.col("l").alias("_kth"))
         t = ranked.join(_per_ctx(model, kth), "ctx", "left").filter(
             F.col("_kth").isNull() | (F.col("l") >= F.col("_kth"))).drop("_r", "_kth")
-    mx = t.groupBy("ctx").agg(F.max("l").alias("_mx"))
-    t = t.join(_per_ctx(model, mx), "ctx").withColumn("_e", F.exp(F.col("l") - F.col("_mx")))
-    z = t.groupBy("ctx").agg(F.sum("_e").alias("_z"))
-    t = t.join(_per_ctx(model, z), "ctx").withColumn("prob", F.col("_e") / F.col("_z"))
+    if "mass" not in t.columns:
+        mx = t.groupBy("ctx").agg(F.max("l").alias("_mx"))
+        t = t.join(_per_ctx(model, mx), "ctx").withColumn("mass", whole_mass(F.exp(F.col("l") - F.col("_mx"))))
+    total = lambda d: _per_ctx(model, d.groupBy("ctx").agg(F.sum("mass").alias("_total")))
+    t = t.select("ctx", "tok", "_neg", "mass")
     if params.top_p < 1.0:
-        t = t.select("ctx", "tok", "_neg", "prob")
-        run = with_row_index(t, ["_neg", "tok"], ["ctx"], out="_r", cum_of="prob", cum_out="_before")
-        t = run.filter(F.col("_before") <= params.top_p)
-        kept = t.groupBy("ctx").agg(F.sum("prob").alias("_kz"))
-        t = t.join(_per_ctx(model, kept), "ctx").withColumn("prob", F.col("prob") / F.col("_kz"))
-    return t.select("ctx", "tok", "prob")
+        run = with_row_index(t.withColumn("_least", -F.col("mass")), ["_least", "_neg", "tok"], ["ctx"], out="_r", cum_of="mass", cum_out="_before")
+        t = run.join(total(t), "ctx").filter(_in_nucleus(params.top_p)).drop("_total")
+    t = t.join(total(t), "ctx")
+    return t.select("ctx", "tok", (F.col("mass") / F.col("_total")).alias("prob"), "mass")

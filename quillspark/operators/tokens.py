@@ -14,8 +14,10 @@ from quillspark.operators.indexing import with_row_index
 PAD, UNK, CLS, SEP = "[PAD]", "[UNK]", "[CLS]", "[SEP]"
 PAD_ID, UNK_ID, CLS_ID, SEP_ID = 0, 1, 2, 3
 FIRST_ID = 4
-# Vocabularies up to this many entries are broadcast to the token lookup; larger ones shuffle.
-VOCAB_BROADCAST_ROWS = 2_000_000
+# The most frequent entries, of at most so many bytes each, go to every task (at most 8 MB); only rarer or longer tokens are joined.
+HEAD_ROWS, HEAD_TOKEN_BYTES = 100_000, 64
+# Salt of the tail join: one long token may be frequent.
+TAIL_SALT = 16
 
 
 def build_vocab(df: DataFrame, tokens_col: str = "tokens", min_count: int = 1) -> DataFrame:
@@ -42,19 +44,50 @@ def build_vocab(df: DataFrame, tokens_col: str = "tokens", min_count: int = 1) -
 
 
 def lookup_ids(df: DataFrame, vocab: DataFrame, key: str, tokens_col: str = "tokens", out: str = "ids") -> DataFrame:
-    """Tokens -> ids (unknown -> [UNK]), order kept; rows with no tokens get an empty list.
+    """(key, ids), tokens -> ids (unknown -> [UNK]), order kept; rows with no tokens get an empty list. ``key`` is unique.
 
-    Exploded (key, pos, token) rows join the vocabulary; it is broadcast only after its size is
-    checked, otherwise a shuffle join runs and AQE splits hot tokens. The ids are regrouped by key
-    and ordered by position (collect_list alone has no order).
+    Ids are dense by falling frequency, so the entries with the smallest ids hold nearly all occurrences: they are looked up inside
+    the row, batch by batch, in an array of bounded size that every task has. Only the other tokens are exploded, joined (salted)
+    with the rest of the vocabulary and put back at their places; the corpus itself is never shuffled by token.
     """
-    exploded = df.select(key, F.posexplode_outer(tokens_col).alias("pos", "token"))
-    v = vocab.select("token", F.col("id").cast("int").alias("tid"))
-    small = vocab.count() <= VOCAB_BROADCAST_ROWS
-    joined = exploded.join(F.broadcast(v) if small else v, "token", "left")
-    item = F.when(F.col("pos").isNotNull(), F.struct("pos", F.coalesce("tid", F.lit(UNK_ID)).alias("tid")))
-    grouped = joined.groupBy(key).agg(F.array_sort(F.collect_list(item)).alias("_pairs"))
-    return grouped.select(key, F.transform("_pairs", lambda x: x["tid"]).alias(out))
+    head_of = (F.col("id") < HEAD_ROWS) & (F.octet_length("token") <= HEAD_TOKEN_BYTES)
+    head = vocab.filter(head_of).select("token", F.col("id").cast("int").alias("id")).toArrow().combine_chunks()
+    bound = df.sparkSession.sparkContext.broadcast((head.column("token").combine_chunks(), head.column("id").combine_chunks()))
+    rest = vocab.count() - head.num_rows
+    kind = df.schema[key].dataType.simpleString()
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        words, ids = bound.value
+        words = words.combine_chunks() if isinstance(words, pa.ChunkedArray) else words
+        ids = ids.combine_chunks() if isinstance(ids, pa.ChunkedArray) else ids
+        for b in batches:
+            lists = b.column(1)
+            sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy()
+            flat = lists.flatten().cast(words.type)
+            found = pc.fill_null(ids.take(pc.index_in(flat, value_set=words)), -1)
+            ends = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+            miss = np.flatnonzero(found.to_numpy(zero_copy_only=False) == -1)
+            own = np.repeat(np.arange(len(sizes)), sizes)[miss]
+            per = np.concatenate([[0], np.cumsum(np.bincount(own, minlength=len(sizes)))]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0), pa.ListArray.from_arrays(pa.array(ends), found), pa.ListArray.from_arrays(pa.array(per), pa.array((miss - ends[own]).astype(np.int32))),
+                 pa.ListArray.from_arrays(pa.array(per), flat.take(pa.array(miss)))], [key, "_ids", "_pos", "_tok"])
+
+    mapped = df.select(key, tokens_col).mapInArrow(run, f"`{key}` {kind}, _ids array<int>, _pos array<int>, _tok array<string>")
+    known = F.transform("_ids", lambda x: F.when(x < 0, F.lit(UNK_ID)).otherwise(x))
+    if not rest:
+        return mapped.select(key, known.alias(out))
+    mapped = mapped.persist(StorageLevel.MEMORY_AND_DISK)  # read for the tail and for the result
+    tail = vocab.filter(~head_of).select("token", F.col("id").cast("int").alias("_tid"), F.explode(F.sequence(F.lit(0), F.lit(TAIL_SALT - 1))).alias("_salt"))
+    asked = mapped.filter(F.size("_tok") > 0).select(key, F.explode(F.arrays_zip("_pos", "_tok")).alias("m")).select(key, "m._pos", F.col("m._tok").alias("token"))
+    asked = asked.withColumn("_salt", F.pmod(F.xxhash64(key, "_pos"), F.lit(TAIL_SALT)).cast("int"))
+    hits = asked.join(tail, ["token", "_salt"]).groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("_pos", "_tid"))).alias("_late"))
+    late = lambda x, i: F.when(x < 0, F.coalesce(F.try_element_at("_late", i), F.lit(UNK_ID))).otherwise(x)
+    return mapped.join(hits, key, "left").select(key, F.when(F.col("_late").isNull(), known).otherwise(F.transform("_ids", late)).alias(out))
 
 
 def lines(text) -> F.Column:

@@ -128,12 +128,18 @@ ORACLE["A8_ttest_pairs"] = "WITH " + essay_rows(0.5) + """,
 g AS (SELECT score_level, count(correct) AS n, avg(CAST(correct AS DOUBLE)) AS m,
              var_samp(CAST(correct AS DOUBLE)) AS v FROM essay_rows GROUP BY score_level),
 pairs AS (SELECT * FROM (VALUES ('high-medium', 'high', 'medium'), ('medium-low', 'medium', 'low'),
-                                ('high-low', 'high', 'low')) v(pair, g1, g2))
-SELECT p.pair,
-       round((s1.m - s2.m) / sqrt(((s1.n - 1) * s1.v + (s2.n - 1) * s2.v) / (s1.n + s2.n - 2)
-             * (1.0 / s1.n + 1.0 / s2.n)), 6) AS t,
+                                ('high-low', 'high', 'low')) v(pair, g1, g2)),
+tt AS (SELECT p.pair, (s1.m - s2.m) / sqrt(((s1.n - 1) * s1.v + (s2.n - 1) * s2.v) / (s1.n + s2.n - 2) * (1.0 / s1.n + 1.0 / s2.n)) AS t,
        CAST(s1.n + s2.n - 2 AS BIGINT) AS dof
-FROM pairs p JOIN g s1 ON s1.score_level = p.g1 JOIN g s2 ON s2.score_level = p.g2"""
+FROM pairs p JOIN g s1 ON s1.score_level = p.g1 JOIN g s2 ON s2.score_level = p.g2),
+-- the finite sums of Student's distribution for whole degrees of freedom
+th AS (SELECT *, atan(abs(t) / sqrt(dof)) AS th FROM tt),
+js AS (SELECT pair, dof, th, unnest(range(0, dof // 2)) AS j FROM th WHERE dof > 1),
+sm AS (SELECT pair, sum(CASE WHEN dof % 2 = 0 THEN exp(lgamma(j + 0.5) - lgamma(j + 1.0)) / sqrt(pi()) * cos(th) ** (2 * j)
+                             ELSE exp(lgamma(j + 1.0) + lgamma(1.5) - lgamma(j + 1.5)) * cos(th) ** (2 * j + 1) END) AS s FROM js GROUP BY pair)
+SELECT pair, round(t, 6) AS t, dof,
+       round(CASE WHEN dof <= 0 OR t IS NULL THEN NULL WHEN dof % 2 = 0 THEN 1 - sin(th) * s ELSE 1 - 2 / pi() * (th + sin(th) * coalesce(s, 0)) END, 6) AS p_value
+FROM th LEFT JOIN sm USING (pair)"""
 
 ORACLE["A9_chisq"] = "WITH " + essay_rows(0.5) + ",\n" + CROSSTAB + """,
 tot AS (SELECT sum(correct_0) AS c0, sum(correct_1) AS c1, count(*) AS levels FROM ct

@@ -69,6 +69,37 @@ g AS (SELECT id, toks FROM p0 WHERE len(toks) > 0
       SELECT g.id, list_append(g.toks, best.tok) FROM g JOIN best ON g.toks[-1] = best.ctx WHERE len(g.toks) < 32)
 SELECT id, array_to_string(arg_max(toks, len(toks)), ' ') AS text FROM g GROUP BY id"""
 
+# whole-number mass of every candidate, the nucleus, and the ranges of draws cut into cells (one row for each cell a range touches)
+CELLS = f"""{LM},
+wm AS (SELECT b.ctx, b.tok, b.n::HUGEINT * (st.nn + st.vv + 1) + u.u + 1 AS w FROM big b JOIN uni u ON b.tok = u.tok CROSS JOIN st),
+wb AS (SELECT *, coalesce(sum(w) OVER (PARTITION BY ctx ORDER BY w DESC, tok ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before,
+              sum(w) OVER (PARTITION BY ctx) AS total FROM wm),
+wk AS (SELECT ctx, tok, w FROM wb WHERE before * 1000000 <= total * 960000),
+wc AS (SELECT ctx, tok, w, sum(w) OVER (PARTITION BY ctx ORDER BY w DESC, tok ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS top,
+              sum(w) OVER (PARTITION BY ctx) AS total, count(*) OVER (PARTITION BY ctx) AS followers FROM wk),
+rg AS (SELECT ctx, tok, followers, (((top - w) * 4294967296 + total - 1) // total)::BIGINT AS lo, ((top * 4294967296 + total - 1) // total)::BIGINT AS hi FROM wc),
+fo AS MATERIALIZED (SELECT DISTINCT ctx, followers FROM rg),
+ce AS MATERIALIZED (SELECT ctx, tok, lo, hi, unnest(range((lo * followers) >> 32, (((hi - 1) * followers) >> 32) + 1)) AS cell FROM rg WHERE hi > lo)"""
+
+
+def samples(prompts: str, length: int = 192) -> str:
+    """Replays the draws; ``prompts``: (id, toks)."""
+    return f"""WITH RECURSIVE {CELLS},
+p0 AS ({prompts}),
+g AS (SELECT id, 0 AS step, coalesce(toks[-1], '<s>') AS last, {length} - len(toks) AS steps FROM p0
+      UNION ALL
+      SELECT h.id, h.step + 1, ce.tok, h.steps
+      FROM (SELECT g.*, fo.followers, ('0x' || substr(md5('42:' || id || ':0:' || step), 1, 8))::BIGINT AS u FROM g JOIN fo ON g.last = fo.ctx WHERE step < steps) h
+      JOIN ce ON ce.ctx = h.last AND ce.cell = (h.u * h.followers) >> 32 AND h.u >= ce.lo AND h.u < ce.hi),
+d AS (SELECT id, list(last ORDER BY step) FILTER (step > 0) AS drawn FROM g GROUP BY id)
+SELECT p0.id, CAST(0 AS INTEGER) AS sample_idx, array_to_string(list_concat(p0.toks, coalesce(d.drawn, [])), ' ') AS text, CAST(42 AS BIGINT) AS seed
+FROM p0 JOIN d ON p0.id = d.id"""
+
+
+FIRST_WORDS = f"""SELECT * FROM (SELECT CAST(doc_id AS VARCHAR) AS id, {tok(f"regexp_extract(text, '[^{PY_SPACE}]+', 0)")} AS toks FROM documents) WHERE len(toks) > 0"""
+ORACLE["M4_generate"] = samples(FIRST_WORDS)
+ORACLE["M5_generate_uncond"] = samples("SELECT CAST(doc_id AS VARCHAR) AS id, CAST([] AS VARCHAR[]) AS toks FROM sp WHERE split = 'valid'")
+
 ORACLE["K5_metric_log"] = f"""WITH RECURSIVE {METRICS},
 {BEST},
 g AS (SELECT '<s>' AS last, CAST([] AS VARCHAR[]) AS toks
@@ -77,5 +108,30 @@ g AS (SELECT '<s>' AS last, CAST([] AS VARCHAR[]) AS toks
 SELECT CAST(0 AS BIGINT) AS epoch, loss AS val_loss, ppl AS val_ppl, adjusted_ppl AS val_adjusted_ppl,
        (SELECT array_to_string(arg_max(toks, len(toks)), ' ') FROM g) AS sample FROM a10"""
 
+DETECTOR = f"""corpus AS (
+  SELECT CAST(doc_id AS VARCHAR) AS id, 1 AS label, text FROM documents
+  UNION ALL
+  SELECT CAST(conv_id AS VARCHAR) || '-' || CAST(turn AS VARCHAR) AS id, 0 AS label, text FROM conversations WHERE role = 'assistant'),
+hd AS (SELECT id, label, list_distinct({tok('text')}) AS toks, substr(md5('42:' || regexp_replace(lower(trim(text)), '[\t-\r ]+', ' ', 'g')), 1, 1) AS h FROM corpus),
+sd AS (SELECT id, label, toks, CASE WHEN h < '3' THEN 'test' WHEN h < '6' THEN 'valid' ELSE 'train' END AS split FROM hd),
+ct AS (SELECT token, count(*) FILTER (label = 1) AS real, count(*) FILTER (label = 0) AS fake
+       FROM (SELECT label, unnest(toks) AS token FROM sd WHERE split = 'train') GROUP BY token),
+tt AS (SELECT sum(real) AS tr, sum(fake) AS tf, count(*) AS v FROM ct),
+nn AS (SELECT count(*) FILTER (label = 1) AS nr, count(*) FILTER (label = 0) AS nf FROM sd WHERE split = 'train'),
+grid AS (SELECT unnest([0.1, 1.0, 10.0])::DOUBLE AS a),
+held AS (SELECT id, label, split, unnest(toks) AS token FROM sd WHERE split <> 'train'),
+sums AS (SELECT id, label, a, sum(ln((coalesce(real, 0) + a) / (tr + a * (v + 1))) - ln((coalesce(fake, 0) + a) / (tf + a * (v + 1)))) AS s
+         FROM held LEFT JOIN ct USING (token) CROSS JOIN tt CROSS JOIN grid GROUP BY id, label, a),
+lg AS (SELECT sd.id, sd.label, sd.split, grid.a, ln((nr + 1) / (nf + 1)) + coalesce(s, 0) AS l
+       FROM sd CROSS JOIN grid CROSS JOIN nn LEFT JOIN sums ON sums.id = sd.id AND sums.label = sd.label AND sums.a = grid.a WHERE sd.split <> 'train'),
+m AS (SELECT a AS smoothing, avg(-ln(greatest(1.0 / (1.0 + exp(CASE WHEN label = 1 THEN -l ELSE l END)), 1e-15))) AS valid_loss,
+             avg(CAST(CASE WHEN label = 1 THEN l > 0 ELSE l < 0 END AS INTEGER)) AS valid_acc FROM lg WHERE split = 'valid' GROUP BY a),
+b AS (SELECT smoothing FROM m ORDER BY valid_loss, smoothing LIMIT 1)"""
+
+ORACLE["D8_train_detector"] = f"WITH {DETECTOR} SELECT m.smoothing, round(valid_loss, 6) AS valid_loss, round(valid_acc, 6) AS valid_acc, m.smoothing = b.smoothing AS best FROM m, b"
+ORACLE["D9_score_detector"] = f"""WITH {DETECTOR}
+SELECT id, round(1.0 / (1.0 + exp(l)), 6) AS fake, round(1.0 / (1.0 + exp(-l)), 6) AS real, CASE WHEN label = 1 THEN l > 0 ELSE l < 0 END AS correct
+FROM lg JOIN b ON lg.a = b.smoothing WHERE split = 'test'"""
+
 # D11 must equal the batch stand-in scorer (D10) on the same documents.
 ORACLE["D11_incremental_score"] = ORACLE["D10_lexical_score"]

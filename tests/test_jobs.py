@@ -42,6 +42,34 @@ def test_train_detector_picks_one_best(spark):
     assert all(abs(r["fake"] + r["real"] - 1) < 1e-9 for r in scored)
 
 
+def test_count_detector_scores_rows_that_chose_nothing(spark):
+    import math
+
+    texts = ["a b c", "a b", "a c c", "x y", "x z", "y z z", "a x", "", "q"]
+    rows = spark.createDataFrame([(str(i), int(i < 3 or i == 6), t.split()) for i, t in enumerate(texts)], "id string, label int, tokens array<string>")
+    model = DT.fit_counts(rows)
+    got = {r["id"]: r["l_1"] for r in DT.count_logits(model, rows, (0.1, 2.0)).collect()}
+    held = {y: {} for y in (0, 1)}
+    for r in rows.collect():
+        for t in set(r["tokens"]):
+            held[r["label"]][t] = held[r["label"]].get(t, 0) + 1
+    v, total = len(set(held[0]) | set(held[1])), {y: sum(held[y].values()) for y in (0, 1)}
+    for i, t in enumerate(texts):
+        want = math.log(5 / 6) + sum(math.log((held[1].get(w, 0) + 2) / (total[1] + 2 * (v + 1))) - math.log((held[0].get(w, 0) + 2) / (total[0] + 2 * (v + 1))) for w in set(t.split()))
+        assert abs(got[str(i)] - want) < 1e-12
+    m = DT.choose_smoothing(model, rows, (0.1, 2.0)).collect()
+    assert sum(r["best"] for r in m) == 1 and all(0 <= r["valid_acc"] <= 1 for r in m)
+    scored = DT.score_counts(model, rows, 2.0).collect()
+    assert len(scored) == len(texts) and all(abs(r["fake"] + r["real"] - 1) < 1e-12 for r in scored)
+
+
+def test_three_way_split_keeps_copies_together(spark):
+    rows = spark.createDataFrame([(i, f"Text  {i % 40}" if i % 2 else f"text {i % 40} ") for i in range(400)] + [(400, None)], "id long, text string")
+    s = DT.hash_split(rows, test_below="3", valid_below="6")
+    assert {r["split"] for r in s.collect()} == {"train", "valid", "test"}
+    assert s.groupBy(F.regexp_replace(F.lower(F.trim("text")), " +", " ")).agg(F.countDistinct("split").alias("n")).filter("n > 1").count() == 0
+
+
 def test_user_scorer_path(spark):
     df = spark.createDataFrame([("a", 1, "x y z"), ("b", 0, "p")], "id string, label int, text string")
     out = DT.score_with(df, lambda s: np.stack([np.zeros(len(s)), s.str.len().to_numpy() - 2.0], axis=1)).collect()

@@ -90,6 +90,51 @@ def test_fisher_matches_exact_arithmetic(spark, table, monkeypatch):
     assert r2["p_value"] == pytest.approx(r["p_value"], rel=1e-12)
 
 
+@pytest.mark.parametrize("table", [(900, 10**10 - 900, 1100, 15 * 10**9 - 1100), (0, 10**10, 30, 10**10), (700, 10**10, 40, 10**6), (3 * 10**9, 10**9, 60, 25)])
+def test_fisher_is_exact_at_margins_of_ten_billion(spark, table):
+    """Against whole-number ratios of the terms."""
+    a, b, c, d = table
+    n1, n2, k = a + b, c + d, a + c
+    lo, hi = max(0, k - n2), min(k, n1)
+    if hi - lo > 10_000:  # the few-cell side, by symmetry
+        lo = hi - 4000
+    w, weights = 1, {}
+    total = Fraction(0)
+    terms = Fraction(1)
+    lead = {}
+    for x in range(lo, hi + 1):
+        lead[x] = terms
+        terms = terms * (n1 - x) * (k - x) / ((x + 1) * (n2 - k + x + 1)) if x < hi else terms
+        if x % 50 == 0:  # keeps the fractions short; the relative error is far below the tolerance
+            terms = Fraction(int(terms * 2**400), 2**400) if terms > Fraction(1, 2**200) else terms
+    total = sum(lead.values())
+    po = lead[a]
+    want = float(sum(v for v in lead.values() if v <= po * Fraction(10**7 + 1, 10**7)) / total)
+    ct = spark.createDataFrame([("high", a, b), ("low", c, d)], "score_level string, correct_0 long, correct_1 long")
+    got = A.fisher_pairs(ct, "score_level", (("high", "low"),)).first()["p_value"]
+    assert got == pytest.approx(want, rel=1e-6, abs=1e-290)
+
+
+def test_hypergeometric_sums_to_one_at_large_margins():
+    import numpy as np
+
+    from quillspark.functions.stats import ln_hypergeom
+
+    n1, n2, k = 10**10, 3 * 10**10, 2 * 10**10
+    mean = k * n1 / (n1 + n2)
+    sd = (mean * (1 - n1 / (n1 + n2)) * (n1 + n2 - k) / (n1 + n2 - 1)) ** 0.5
+    x = np.arange(int(mean - 12 * sd), int(mean + 12 * sd))
+    assert abs(np.exp(ln_hypergeom(x, n1, n2, k)).sum() - 1) < 1e-9
+
+
+@pytest.mark.parametrize("t,dof,want", [(2.228138852, 10, 0.05), (12.7062047364, 1, 0.05), (0.0, 7, 1.0), (1.0, 1, 0.5), (1.959964, 10**9, 0.05), (-3.2906, 500_000, 0.001), (1.96, 2_000_000, 0.05), (0.6765, 8, 0.5178)])
+def test_student_two_sided(spark, t, dof, want):
+    from quillspark.functions.stats import student_two_sided
+
+    r = spark.createDataFrame([(t, dof)], "t double, dof long").select(student_two_sided("t", "dof").alias("p")).first()
+    assert r["p"] == pytest.approx(want, rel=2e-3 if want == 0.5178 else 2e-4)
+
+
 def test_fisher_empty_margin(spark):
     ct = spark.createDataFrame([("high", 0, 0), ("low", 3, 4)], "score_level string, correct_0 long, correct_1 long")
     r = A.fisher_pairs(ct, "score_level", (("high", "low"),)).first()
@@ -156,35 +201,71 @@ def gen_inputs(spark):
     return prompts, table
 
 
-def test_generate_independent_of_partitioning_and_path(spark, monkeypatch):
-    prompts, table = gen_inputs(spark)
-    one = sorted(tuple(r) for r in G.generate(prompts.coalesce(1), table, "doc_id", num_return_sequences=2, sample_len=12).collect())
-    many = sorted(tuple(r) for r in G.generate(prompts.repartition(8), table, "doc_id", num_return_sequences=2, sample_len=12).collect())
-    assert one == many and len(one) == 12
-    monkeypatch.setattr(G, "BROADCAST_TABLE_ROWS", 0)
-    joins = sorted(tuple(r) for r in G.generate(prompts, table, "doc_id", num_return_sequences=2, sample_len=12).collect())
-    assert joins == one
-    for r in one:
-        assert len(r[2].split()) <= 12 if r[2] else True
-
-
-def test_greedy_generation_paths_agree(spark, monkeypatch):
+def replayed(table, prompt, sample_idx, row_id, sample_len, seed=42, do_sample=True):
+    """The draws of one sample, token by token."""
+    import hashlib
+
+    toks, step = list(prompt), 0
+    while len(toks) < sample_len:
+        followers = sorted((-r["mass"], r["tok"]) for r in table if r["ctx"] == (toks[-1] if toks else M.BOS))
+        if not followers:
+            break
+        u = int(hashlib.md5(f"{seed}:{row_id}:{sample_idx}:{step}".encode()).hexdigest()[:8], 16) if do_sample else 0
+        total, run = -sum(m for m, _ in followers), 0
+        for m, tok in followers:
+            run -= m
+            if u < -(-run * 2**32 // total):
+                break
+        toks.append(tok)
+        step += 1
+    return " ".join(toks)
+
+
+@pytest.mark.parametrize("do_sample", [True, False])
+def test_generate_replays_and_does_not_depend_on_partitioning_or_join(spark, monkeypatch, do_sample):
     prompts, table = gen_inputs(spark)
-    a = sorted(tuple(r) for r in G.generate(prompts, table, "doc_id", sample_len=6, do_sample=False).collect())
-    monkeypatch.setattr(G, "BROADCAST_TABLE_ROWS", 0)
-    b = sorted(tuple(r) for r in G.generate(prompts, table, "doc_id", sample_len=6, do_sample=False).collect())
-    assert a == b
-
-
-def test_vocab_lookup_shuffle_path_equals_broadcast(spark, monkeypatch):
-    df = spark.createDataFrame([(1, "b a b c"), (2, ""), (3, "c c d e")], "doc_id long, text string").withColumn("tokens", tokens("text"))
-    vocab = TK.build_vocab(df, min_count=2)
-    a = {r["doc_id"]: r["ids"] for r in TK.lookup_ids(df, vocab, "doc_id").collect()}
-    monkeypatch.setattr(TK, "VOCAB_BROADCAST_ROWS", 0)
-    b = {r["doc_id"]: r["ids"] for r in TK.lookup_ids(df, vocab, "doc_id").collect()}
-    assert a == b
-    # b:2 c:3 -> c=4, b=5; a, d, e unknown -> 1; empty text -> []
-    assert a == {1: [5, 1, 5, 4], 2: [], 3: [4, 4, 1, 1]}
+    monkeypatch.setattr(G, "STEPS_PER_TABLE", 5)
+    rows, run = table.collect(), lambda p: sorted(tuple(r) for r in G.generate(p, table, "doc_id", num_return_sequences=2, sample_len=12, do_sample=do_sample).collect())
+    one = run(prompts.coalesce(1))
+    want = sorted((str(r["doc_id"]), s, replayed(rows, r["prompt_tokens"], s, r["doc_id"], 12, do_sample=do_sample), 42) for r in prompts.collect() for s in (0, 1))
+    assert one == want
+    monkeypatch.setattr(G, "BROADCAST_CELL_BYTES", 0)
+    assert run(prompts.repartition(8)) == one
+
+
+def test_generation_stops_at_the_end_marker(spark):
+    model = M.fit(corpus(spark), end="</s>")
+    assert {r["ctx"] for r in model.bigrams.filter("tok = '</s>'").collect()} >= {"end", "."}
+    table = M.decode_filter(model, M.DecodeParams())
+    prompts = spark.createDataFrame([(i, ["the"]) for i in range(20)], "doc_id long, prompt_tokens array<string>")
+    texts = [r["text"].split() for r in G.generate(prompts, table, "doc_id", sample_len=40, stop="</s>").collect()]
+    assert all("</s>" not in t for t in texts) and any(len(t) < 40 for t in texts)
+
+
+def test_vocab_lookup_of_head_and_tail(spark, monkeypatch):
+    """Tokens beyond the head, longer than it takes, unknown ones, null lists; the corpus is not shuffled by token."""
+    long = "x" * 100
+    df = spark.createDataFrame([(1, ["b", "a", "b", "c"]), (2, []), (3, ["c", "c", "d", long, None]), (4, None), (5, [long, long, "b"])], "doc_id long, tokens array<string>")
+    vocab = TK.build_vocab(df.filter("tokens is not null"), min_count=2)
+    ids = {r["token"]: r["id"] for r in vocab.collect()}
+    want = {r["doc_id"]: [ids.get(t, TK.UNK_ID) for t in r["tokens"] or []] for r in df.collect()}
+    assert {r["doc_id"]: r["ids"] for r in TK.lookup_ids(df, vocab, "doc_id").collect()} == want
+    monkeypatch.setattr(TK, "HEAD_ROWS", 5)
+    out = TK.lookup_ids(df, vocab, "doc_id")
+    assert {r["doc_id"]: r["ids"] for r in out.collect()} == want
+    monkeypatch.setattr(TK, "HEAD_ROWS", 100)
+    monkeypatch.setattr(TK, "HEAD_TOKEN_BYTES", 200)
+    plan = TK.lookup_ids(df, vocab, "doc_id")._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(token" not in plan and "Exchange" not in plan
+
+
+def test_unseen_pairs_by_shuffle_equal_broadcast(spark, monkeypatch):
+    c = corpus(spark)
+    model = M.fit(c.filter("doc_id < 2"))
+    a = {(r["doc_id"], r["chunk_idx"]): r["loss"] for r in M.chunk_losses(model, c).collect()}
+    monkeypatch.setattr(M, "MODEL_BROADCAST_ROWS", 0)
+    b = {(r["doc_id"], r["chunk_idx"]): r["loss"] for r in M.chunk_losses(model, c).collect()}
+    assert a.keys() == b.keys() and all(a[k] == pytest.approx(b[k], rel=1e-12) for k in a)
 
 
 def test_chisq_closed_form(spark):
@@ -228,31 +309,32 @@ def test_chisq_upper_tail(spark, levels, scale):
     assert r["dof"] == dof and r["p_value"] == pytest.approx(want, rel=1e-9, abs=1e-300)
 
 
-def test_hot_context_plan_equals_window_plan(spark, monkeypatch):
-    """The skew-safe (range-partitioned) filter and cumulative table equal the window versions."""
+@pytest.mark.parametrize("params", [M.DecodeParams(0.7, 1.3, 2, 0.9), M.DecodeParams(top_p=0.8), M.DecodeParams(0.5, 1.1, 0, 0.7)])
+def test_hot_context_plan_equals_window_plan(spark, monkeypatch, params):
+    """The skew-safe (range-partitioned) filter and cumulative table equal the window versions, digit by digit."""
     model = M.fit(corpus(spark))
-    params = M.DecodeParams(0.7, 1.3, 2, 0.9)
-    a = {(r["ctx"], r["tok"]): r["prob"] for r in M.decode_filter(model, params).collect()}
-    ta = {(r["ctx"], r["tok"]): (r["lo"], r["hi"], r["rank"]) for r in G.cumulative(M.decode_filter(model, params)).collect()}
+    a = sorted(map(tuple, M.decode_filter(model, params).collect()))
+    ta = sorted(map(tuple, G.cumulative(M.decode_filter(model, params)).collect()))
     monkeypatch.setattr(M, "CONTEXT_WINDOW_ROWS", 0)
-    monkeypatch.setattr(G, "CONTEXT_WINDOW_ROWS", 0)
-    b = {(r["ctx"], r["tok"]): r["prob"] for r in M.decode_filter(model, params).collect()}
-    tb = {(r["ctx"], r["tok"]): (r["lo"], r["hi"], r["rank"]) for r in G.cumulative(M.decode_filter(model, params)).collect()}
-    assert a.keys() == b.keys() and all(abs(a[k] - b[k]) < 1e-12 for k in a)
-    assert ta.keys() == tb.keys()
-    for k in ta:
-        assert ta[k][2] == tb[k][2] and abs(ta[k][0] - tb[k][0]) < 1e-12 * G.UNIT
-        assert ta[k][1] == tb[k][1] or abs(ta[k][1] - tb[k][1]) < 1e-12 * G.UNIT
-
-
-def test_cumulative_mass_has_no_gap_or_overlap(spark, monkeypatch):
-    """A Zipf context of 20,000 followers: every lo is the hi before it, the same on both plans."""
+    assert a == sorted(map(tuple, M.decode_filter(model, params).collect()))
+    assert ta == sorted(map(tuple, G.cumulative(M.decode_filter(model, params)).collect()))
+
+
+def test_ranges_and_cells_of_a_hot_context(spark, monkeypatch):
+    """A Zipf context of 20,000 followers: every lo is the hi before it, the same on both plans; a draw meets one row of its cell."""
     n = 20_000
     z = sum(1.0 / (i + 1) for i in range(n))
     table = spark.range(n).select(F.lit("c").alias("ctx"), F.format_string("t%05d", "id").alias("tok"),
                                   (1.0 / (F.col("id") + 1) / z).alias("prob"))
     a = sorted(((r["rank"], r["lo"], r["hi"]) for r in G.cumulative(table).collect()))
-    monkeypatch.setattr(G, "CONTEXT_WINDOW_ROWS", 0)
+    cells = G.cells(G.cumulative(table)).collect()
+    monkeypatch.setattr(M, "CONTEXT_WINDOW_ROWS", 0)
     b = sorted(((r["rank"], r["lo"], r["hi"]) for r in G.cumulative(table).collect()))
-    assert a == b and a[0][1] == 0 and a[-1][2] == G.OPEN
+    assert a == b and a[0][1] == 0 and a[-1][2] == 1 << G.DRAW_BITS
     assert all(x[2] == y[1] for x, y in zip(a, a[1:]))
+    assert len(cells) < 2 * n
+    by_cell = {}
+    for r in cells:
+        by_cell.setdefault(r["cell"], []).append((r["lo"], r["hi"]))
+    for u in [0, 1, (1 << 32) - 1, *range(12345, 1 << 32, 10**7)]:
+        assert sum(lo <= u < hi for lo, hi in by_cell[(u * n) >> 32]) == 1
