@@ -78,6 +78,34 @@ SELECT r.id, array_to_string({pad('li.ids', 192)}, ' ') AS token_ids,
        r.label, array_to_string(r.t, ' ') AS text
 FROM rows r JOIN li ON r.id = li.id"""
 
+DOC_VOCAB = f"""dvt AS (SELECT {tok('text')} AS tokens FROM documents),
+dvc AS (SELECT token, count(*) AS cnt FROM (SELECT unnest(tokens) AS token FROM dvt) GROUP BY token),
+vocab AS (SELECT token, 3 + row_number() OVER (ORDER BY cnt DESC, token) AS id FROM dvc WHERE cnt >= 2)"""
+
+
+def prepared(rows: str, vocab: str, max_len: int, whole: bool) -> str:
+    """``rows``: CTEs that end with ``rw`` (id, label, tokens)."""
+    ones = f"list_transform({pad('ids', max_len)}, lambda x: 1)"
+    mask = ones if whole else f"list_transform(range({max_len + 2}), lambda i: CASE WHEN i < n THEN 1 ELSE 0 END)"
+    return f"""WITH {rows}, {vocab},
+rt AS (SELECT id, label, len(tokens) AS n, list_slice(tokens, 1, {max_len}) AS t FROM rw {f'WHERE len(tokens) >= {max_len}' if whole else ''}),
+ex AS (SELECT id, label, unnest(t) AS token, unnest(range(len(t))) AS pos FROM rt),
+li AS (SELECT e.id, e.label, list(coalesce(v.id, 1) ORDER BY e.pos) AS ids FROM ex e LEFT JOIN vocab v ON e.token = v.token GROUP BY e.id, e.label),
+pd AS (SELECT r.id, r.label, r.n, r.t, coalesce(li.ids, []) AS ids FROM rt r LEFT JOIN li ON r.id = li.id AND r.label = li.label)
+SELECT id, array_to_string({pad('ids', max_len)}, ' ') AS token_ids, array_to_string({mask}, ' ') AS mask, label, array_to_string(t, ' ') AS text FROM pd"""
+
+
+ORACLE["P8_real_news"] = prepared(
+    f"{NEWS}, rw AS (SELECT url AS id, CASE WHEN label = 'human' THEN 1 ELSE 0 END AS label, {tok('article')} AS tokens FROM nw WHERE split = 'val')", DOC_VOCAB, 192, False)
+ORACLE["P8_school_reviews"] = prepared(f"""rv0 AS (SELECT 'doc/' || doc_id AS id, 1 AS label, text, doc_id AS k1, 0 AS k2 FROM documents
+  UNION ALL SELECT CAST(conv_id AS VARCHAR) || '-' || CAST(turn AS VARCHAR), 0, text, conv_id, turn FROM conversations WHERE role = 'assistant'),
+rv1 AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY k1, k2) - 1 AS pos FROM rv0),
+rw AS (SELECT id, label, {tok('text')} AS tokens FROM rv1 WHERE pos < 5000)""", DOC_VOCAB, 192, False)
+ORACLE["P8_essays"] = prepared(f"""{IDX},
+rw AS (SELECT i.filename AS id, 1 AS label, {tok('d.text')} AS tokens FROM idx i JOIN documents d ON i.filename = CAST(d.doc_id AS VARCHAR))""",
+    """evc AS (SELECT token, count(*) AS cnt FROM (SELECT unnest(list_slice(tokens, 1, 128)) AS token FROM rw WHERE len(tokens) >= 128) GROUP BY token),
+vocab AS (SELECT token, 3 + row_number() OVER (ORDER BY cnt DESC, token) AS id FROM evc)""", 128, True)
+
 ORACLE["T14_skip_tokens"] = """SELECT CAST(d.doc_id AS VARCHAR) AS id, 0 AS n_ids, 0 AS n_mask, 1 AS label, d.text
 FROM documents d JOIN labels l ON d.doc_id = l.doc_id"""
 ORACLE["F1_min_tokens"] = f"""WITH {LAB} SELECT id, label, CAST(len(tokens) AS BIGINT) AS text_len FROM lt

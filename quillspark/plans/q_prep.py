@@ -14,6 +14,7 @@ from quillspark.operators import tokens as TK
 from quillspark.operators.indexing import with_row_index
 from quillspark.operators.joins import attach_scores, index_body, missing_partners, pair_outputs, union_origins
 from quillspark.operators.scoring import threshold
+from quillspark.plans.datasets import dataset
 from quillspark.plans.detector import ESSAY_THRESHOLD, essay_cohort_rows, essay_dataset, essay_scores, review_rows
 from quillspark.plans.fixtures import essay_bodies, essay_index, generated_web_text, news, order_key, real_web_text
 from quillspark.plans.registry import register, rounded
@@ -169,6 +170,26 @@ def q_p8(spark, sf_dir):
         "label", F.array_join("tokens", " ").alias("text"))
 
 
+def shown(df):
+    """Arrays as text, for comparison."""
+    return df.select("id", joined("token_ids").alias("token_ids"), joined("mask").alias("mask"), "label", "text")
+
+
+@register("P8_real_news")
+def q_p8_news(spark, sf_dir):
+    return shown(dataset(spark, sf_dir, "real_news", "valid"))
+
+
+@register("P8_school_reviews")
+def q_p8_reviews(spark, sf_dir):
+    return shown(dataset(spark, sf_dir, "school_reviews", "train"))
+
+
+@register("P8_essays")
+def q_p8_essays(spark, sf_dir):
+    return shown(dataset(spark, sf_dir, "essays", "test"))
+
+
 @register("T14_skip_tokens")
 def q_t14(spark, sf_dir):
     rows = essay_dataset(spark, sf_dir, skip_tokens=True)

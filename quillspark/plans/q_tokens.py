@@ -124,7 +124,7 @@ def q_t10(spark, sf_dir):
 
 
 def lm_split(spark, sf_dir):
-    return shuffle_split(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", 0.9)
+    return shuffle_split(table(spark, sf_dir, "documents", balance=True).select("doc_id", "text"), "doc_id", 0.9)
 
 
 @register("T11_corpus_counts")

@@ -338,3 +338,29 @@ def test_ranges_and_cells_of_a_hot_context(spark, monkeypatch):
         by_cell.setdefault(r["cell"], []).append((r["lo"], r["hi"]))
     for u in [0, 1, (1 << 32) - 1, *range(12345, 1 << 32, 10**7)]:
         assert sum(lo <= u < hi for lo, hi in by_cell[(u * n) >> 32]) == 1
+
+
+@pytest.mark.parametrize("digits,rounds", [(3, 2), (1, 1), (1, 3)])
+def test_row_at_equals_a_sort(spark, monkeypatch, digits, rounds):
+    """Also with repeated and null ids, at both ends and past the end."""
+    monkeypatch.setattr(L, "HISTOGRAM_DIGITS", digits)
+    monkeypatch.setattr(L, "HISTOGRAM_ROUNDS", rounds)
+    df = spark.createDataFrame([(i // 2 if i % 5 else 7,) for i in range(300)] + [(None,)] * 3, "doc_id long").repartition(4)
+    keyed = df.select("doc_id", F.coalesce(L.hash_key("doc_id", "42"), F.lit("")).alias("_k"))
+    order = sorted(((r["_k"], r["doc_id"] or -1) for r in keyed.collect()))
+    for at in (0, 2, 3, 150, 301, 302):
+        r = L.row_at(keyed, "_k", "doc_id", at)
+        assert (r["_k"], r["doc_id"] if r["doc_id"] is not None else -1) == order[at]
+    assert L.row_at(keyed, "_k", "doc_id", 303) is None
+
+
+def test_datasets_by_name(spark):
+    from quillspark.plans.datasets import dataset
+
+    sf = "/root/testdata/sf0.001"
+    rows = dataset(spark, sf, "web_text", "test").collect()
+    assert rows and all(len(r["token_ids"]) == len(r["mask"]) == 194 and r["label"] in (0, 1) for r in rows)
+    with pytest.raises(ValueError, match="unknown dataset"):
+        dataset(spark, sf, "movies")
+    with pytest.raises(ValueError, match="unknown split"):
+        dataset(spark, sf, "essays", "dev")
