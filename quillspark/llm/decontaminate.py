@@ -163,23 +163,22 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, id
     one automaton at a time."""
     items = benchmark.select(F.col("item_id").cast("string").alias("id"), F.col("text").alias("text"))
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    shards, at = 1 + total // AUTOMATON_BYTES, docs.columns.index(text_col)
+    shards = 1 + total // AUTOMATON_BYTES
 
-    def cleaner(table: dict[str, tuple[int, list[str]]]):
-        def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def clean(table: dict[str, tuple[int, list[str]]]):
+        @F.arrow_udf("boolean")
+        def run(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
             auto = _automaton(table)
-            for b in batches:
-                if b.num_rows:
-                    found = _scan(auto, pa.nulls(b.num_rows, pa.int64()), b.column(at))
-                    hit = np.concatenate([x.column(2).value_lengths().to_numpy() for x in found])
-                    yield b.filter(pa.array(hit == 0))
+            for text in texts:
+                found = _scan(auto, pa.nulls(len(text), pa.int64()), text)
+                yield pa.array(np.concatenate([np.zeros(0, int), *(x.column(2).value_lengths().to_numpy() for x in found)]) == 0)
 
-        return clean
+        return run
 
     out = docs
     for k in range(int(shards)):
         own = items.where(F.pmod(F.xxhash64("id", "text"), F.lit(shards)) == k)
-        out = out.mapInArrow(cleaner(patterns([tuple(r) for r in own.toLocalIterator()], n)), docs.schema)
+        out = out.where(clean(patterns([tuple(r) for r in own.toLocalIterator()], n))(text_col))
         if k + 1 < shards:
             out = written(out, "clean")
     return out

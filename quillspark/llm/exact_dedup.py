@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillspark.llm.store import written
+from quillspark.llm.store import unused, written
 from quillspark.llm.words import byte_class, mix, text_slices
 
 #: Bytes that the cut decision looks at, and one cut in so many positions.
@@ -100,9 +100,9 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 def keep_distinct(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay, with their columns unchanged."""
-    kept = exact_dedup(docs, id_col, text_col).where("kept").select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha"))
-    sha = F.sha2(F.regexp_replace(F.coalesce(F.col(text_col), F.lit("")), r"[\x20\x09-\x0D]", ""), 256)
-    own = docs.withColumn("__own", sha)
-    both = own.join(kept, own[id_col].cast("long").eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__sha")))
-    order = Window.partitionBy("__id", "__sha").orderBy(F.length(text_col).desc(), F.col(text_col))
-    return both.withColumn("__n", F.row_number().over(order)).where("__n = 1").select(*docs.columns)
+    own, n, known, sha = (unused(c, docs.columns) for c in ("__own", "__n", "__id", "__sha"))
+    kept = exact_dedup(docs, id_col, text_col).where("kept").select(F.col("doc_id").alias(known), F.col("text_sha256").alias(sha))
+    norm = F.sha2(F.regexp_replace(F.coalesce(F.col(text_col), F.lit("")), r"[\x20\x09-\x0D]", ""), 256)
+    both = docs.withColumn(own, norm).join(kept, F.col(id_col).cast("long").eqNullSafe(F.col(known)) & (F.col(own) == F.col(sha)))
+    order = Window.partitionBy(known, sha).orderBy(F.length(text_col).desc(), F.col(text_col))
+    return both.withColumn(n, F.row_number().over(order)).where(F.col(n) == 1).select(*docs.columns)

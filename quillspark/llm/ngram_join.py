@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.llm.components import connected
-from quillspark.llm.store import PARTIALS, id_filter, partials, summed, written
+from quillspark.llm.store import PARTIALS, id_filter, partials, summed, unused, written
 from quillspark.llm.words import Words, batch_words, mix
 
 #: Buckets of the shingle counts (as a power of two), 64-bit words of the suffix filter's parities, and its counted parts
@@ -232,11 +232,13 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = 4, den: int = 5,
 def keep_one_of_each(docs: DataFrame, n: int = 5, num: int = 4, den: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one row of each component: that of the smallest id (null last), then the first. Rows are told apart by a number,
     not by their ids, so rows with null or repeated ids take part. Documents without words stay."""
-    numbered = docs.withColumn("__row", F.monotonically_increasing_id())
-    rows, parts, _ = jaccard_links(numbered, n, num, den, "__row", text_col)
-    ids = numbered.select("__row", F.col(id_col).cast("long").alias("id"))
-    labelled = rows.join(parts.select(F.col("id").alias("class"), "component"), "class", "left").select(F.col("doc_id").alias("__row"), F.coalesce("component", "class").alias("c"))
-    labelled = written(labelled.where("c is not null").join(ids, "__row"), "numbered-components")
-    first = labelled.groupBy("c").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "__row")).alias("first"), F.count("*").alias("k")).where("k > 1")
-    gone = labelled.join(written(first.select("c", F.col("first.__row").alias("stays")), "stays"), "c").where("__row <> stays").select("__row")
-    return numbered.join(gone, "__row", "left_anti").select(docs.columns)
+    row = unused("__row", docs.columns)
+    # numbers are taken once and read back: another execution could number the rows in another order
+    numbered = written(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    rows, parts, _ = jaccard_links(numbered, n, num, den, row, text_col)
+    ids = numbered.select(F.col(row).alias("row"), F.col(id_col).cast("long").alias("id"))
+    labelled = rows.join(parts.select(F.col("id").alias("class"), "component"), "class", "left").select(F.col("doc_id").alias("row"), F.coalesce("component", "class").alias("c"))
+    labelled = written(labelled.where("c is not null").join(ids, "row"), "numbered-components")
+    first = labelled.groupBy("c").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).alias("first"), F.count("*").alias("k")).where("k > 1")
+    gone = labelled.join(written(first.select("c", F.col("first.row").alias("stays")), "stays"), "c").where("row <> stays").select(F.col("row").alias(row))
+    return numbered.join(gone, row, "left_anti").select(docs.columns)

@@ -205,14 +205,12 @@ def quality_scores(docs: DataFrame, labels: DataFrame, label: str = "quality", i
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, label: str = "quality", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without the rows that the classifier rejects; texts stay where they are."""
+    """``docs`` without the rows that the classifier rejects; texts stay where they are, only they go to Python."""
     model, _ = quality_model(docs, labels, label, id_col, text_col)
-    at = docs.columns.index(text_col)
 
-    def keep(batches):
-        for b in batches:
-            if b.num_rows:
-                x = np.concatenate([statistics(w) for _, _, w in batch_words(b.column(at), "space")])
-                yield b.filter(pa.array(model.score(x.astype(np.float32).astype(float)) >= KEEP_FROM))
+    @F.arrow_udf("boolean")
+    def good(text: pa.Array) -> pa.Array:
+        x = np.concatenate([np.zeros((0, STATS)), *(statistics(w) for _, _, w in batch_words(text, "space"))])
+        return pa.array(model.score(x.astype(np.float32).astype(float)) >= KEEP_FROM)
 
-    return docs.mapInArrow(keep, docs.schema)
+    return docs.where(good(text_col))

@@ -24,6 +24,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def unused(name: str, columns: list[str]) -> str:
+    """``name``, lengthened until no column has it (names are compared without case)."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def read_documents(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
@@ -88,11 +96,11 @@ def id_filter(ids: DataFrame, expected: int) -> Callable[[np.ndarray], np.ndarra
     mask, block = np.uint64((1 << bits) - 1), 1 << 13
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = np.zeros(1 << bits, bool)
+        seen = np.zeros(1 << (bits - 3), np.uint8)
         for b in batches:
             for s in _slots(b.column(0).to_numpy(zero_copy_only=False), mask):
-                seen[s] = True
-        yield partials(np.packbits(seen), block)
+                np.bitwise_or.at(seen, s >> 3, (128 >> (s & 7)).astype(np.uint8))
+        yield partials(seen, block)
 
     packed = summed(ids.mapInArrow(fill, PARTIALS), 1 << (bits - 3), block, np.uint8, bits=True) if expected else np.zeros(1 << (bits - 3), np.uint8)
     return _Filter(packed, bits)

@@ -7,6 +7,7 @@ made for a word. Slices hold a few MB, whatever the batch size, which bounds a t
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -134,6 +135,16 @@ def text_slices(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[in
         j = max(i + 1, int(np.searchsorted(off, off[i] + limit, side="right")) - 1)
         yield i, j, buf[off[i] : off[j]], off[i : j + 1] - off[i]
         i = j
+    release()
+
+
+def release() -> None:
+    """Give freed memory back to the system: Python workers live on between tasks, and what they keep counts for the executor."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # not glibc
+        pass
 
 
 def batch_words(column: pa.Array, kind: str) -> Iterator[tuple[int, int, Words]]:

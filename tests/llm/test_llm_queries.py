@@ -409,3 +409,16 @@ def test_pipeline_stages(spark):
     assert three.count() == two.count() - hits and three.columns == docs.columns
     out = cp.mixing_stage(spark, three, SF)
     assert out.count() == three.count() and out.where("taken > 2 * size or taken < 0").count() == 0
+
+
+def test_stages_keep_columns_with_inner_names(spark):
+    """Columns named like those the stages add come back unchanged; rows are numbered once, also after a round-robin deal."""
+    rows = [(i, f"{LOREM} {'x' * (i % 3)}", f"r{i}", f"o{i}", i, f"s{i}", -i) for i in range(40)] + [(40, "another text", "r40", "o40", 40, "s40", -40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, __row string, __own string, __n int, __sha string, __id int").repartition(7)
+    near = ngram_join.keep_one_of_each(df)
+    assert near.columns == df.columns and sorted(map(tuple, near.collect())) == [rows[0], rows[40]]
+    exact = exact_dedup.keep_distinct(df)
+    assert exact.columns == df.columns and sorted(map(tuple, exact.collect())) == [*rows[:3], rows[40]]
+    bench = spark.createDataFrame([("a", "another text")], "item_id string, text string")
+    clean = decontaminate.drop_contaminated(df, bench)
+    assert clean.columns == df.columns and sorted(map(tuple, clean.collect())) == rows[:40]
