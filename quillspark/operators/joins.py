@@ -38,5 +38,5 @@ def pair_outputs(prompts: DataFrame, outputs: DataFrame, keys=("prompt_id", "sam
 
 
 def union_origins(real: DataFrame, generated: DataFrame) -> DataFrame:
-    """Real rows and generated rows as one labelled table (union all by name)."""
-    return real.unionByName(generated, allowMissingColumns=True)
+    """Real rows and generated rows as one labelled table (union all by name); a column that one side lacks is an error."""
+    return real.unionByName(generated)

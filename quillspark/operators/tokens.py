@@ -14,8 +14,8 @@ from quillspark.operators.indexing import with_row_index
 PAD, UNK, CLS, SEP = "[PAD]", "[UNK]", "[CLS]", "[SEP]"
 PAD_ID, UNK_ID, CLS_ID, SEP_ID = 0, 1, 2, 3
 FIRST_ID = 4
-# The most frequent entries, of at most so many bytes each, go to every task (at most 8 MB); only rarer or longer tokens are joined.
-HEAD_ROWS, HEAD_TOKEN_BYTES = 100_000, 64
+# The most frequent entries, of at most so many bytes each, go to every task (at most 16 MB); only rarer or longer tokens are joined.
+HEAD_ROWS, HEAD_TOKEN_BYTES = 200_000, 64
 # Salt of the tail join: one long token may be frequent.
 TAIL_SALT = 16
 

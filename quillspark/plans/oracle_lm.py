@@ -133,5 +133,12 @@ ORACLE["D9_score_detector"] = f"""WITH {DETECTOR}
 SELECT id, round(1.0 / (1.0 + exp(l)), 6) AS fake, round(1.0 / (1.0 + exp(-l)), 6) AS real, CASE WHEN label = 1 THEN l > 0 ELSE l < 0 END AS correct
 FROM lg JOIN b ON lg.a = b.smoothing WHERE split = 'test'"""
 
+ORACLE["D9_user_scorer"] = """WITH corpus AS (
+  SELECT CAST(doc_id AS VARCHAR) AS id, 1 AS label, text FROM documents
+  UNION ALL
+  SELECT CAST(conv_id AS VARCHAR) || '-' || CAST(turn AS VARCHAR) AS id, 0 AS label, text FROM conversations WHERE role = 'assistant'),
+l AS (SELECT id, label, ln(1 + length(text)) - 6.0 AS l FROM corpus)
+SELECT id, label, round(1.0 / (1.0 + exp(l)), 6) AS fake, round(1.0 / (1.0 + exp(-l)), 6) AS real, CASE WHEN label = 1 THEN l > 0 ELSE l < 0 END AS correct FROM l"""
+
 # D11 must equal the batch stand-in scorer (D10) on the same documents.
 ORACLE["D11_incremental_score"] = ORACLE["D10_lexical_score"]

@@ -56,11 +56,8 @@ def strip_writer_newline(c: str = "text"):
 @register("S3_whole_text")
 def q_s3(spark, sf_dir):
     path = scratch_path(spark, "bodies")
-    essay_bodies(spark, sf_dir).write.partitionBy("filename").text(path)
-    w = R.read_whole_texts(spark, path)
-    w = w.select(F.regexp_extract("file_path", "filename=([^/]+)/", 1).alias("filename"),
-                 strip_writer_newline("text").alias("text"))
-    return w.select("filename", *text_digest())
+    K.write_members(essay_bodies(spark, sf_dir), path, "filename")
+    return R.read_members(spark, path).select(F.col("name").alias("filename"), *text_digest())
 
 
 @register("S4_jsonl_real")
@@ -119,25 +116,22 @@ def q_s6(spark, sf_dir):
 @register("S7_json_array")
 def q_s7(spark, sf_dir):
     path = scratch_path(spark, "json-arrays")
-    c = table(spark, sf_dir, "conversations")
-    arrays = c.groupBy("conv_id").agg(
-        F.to_json(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda x: x["text"])).alias("value"))
-    arrays.write.partitionBy("conv_id").text(path)
-    back = R.read_json_arrays(spark, path)
-    return back.select(
-        F.regexp_extract("file_path", "conv_id=([0-9]+)/", 1).cast("long").alias("conv_id"),
-        F.col("idx").cast("long").alias("idx"), *text_digest())
+    c = with_row_index(table(spark, sf_dir, "conversations").select("conv_id", "turn", "text"), ["turn"], ["conv_id"], out="idx")
+    K.write_array_parts(c, path, ["conv_id"], "idx")
+    return R.read_array_parts(spark, path, "conv_id long").select("conv_id", "idx", *text_digest())
 
 
 @register("S8_json_map")
 def q_s8(spark, sf_dir):
     path = scratch_path(spark, "json-maps")
-    s = essay_scores(spark, sf_dir).withColumn("correct", F.col("real") > F.col("fake"))
+    # read by the count and by the writer: the scoring chain runs once
+    s = essay_scores(spark, sf_dir).withColumn("correct", F.col("real") > F.col("fake")).persist(StorageLevel.MEMORY_AND_DISK)
     files = max(1, s.count() // MAP_ENTRIES_PER_FILE)
     entry = F.struct(F.col("filename"), F.struct("fake", "real", "correct"))
     maps = s.groupBy(F.pmod(F.hash("filename"), F.lit(files)).alias("bucket")).agg(
         F.to_json(F.map_from_entries(F.collect_list(entry))).alias("value"))
     maps.write.partitionBy("bucket").text(path)
+    s.unpersist()
     return rounded(R.read_json_maps(spark, path))
 
 

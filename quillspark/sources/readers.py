@@ -41,6 +41,25 @@ def read_whole_texts(spark: SparkSession, path: str, glob: str | None = None) ->
     )
 
 
+def read_members(spark: SparkSession, path: str, parts: bool = False) -> DataFrame:
+    """S3 containers (``sinks.write_members``): (name, text), one row per text. The files are splittable; only texts of several parts are
+    grouped. With ``parts`` the bounded parts come as they are: (name, part, parts, text)."""
+    df = spark.read.schema("name string, part int, parts int, text string").option("mode", "FAILFAST").json(path)
+    if parts:
+        return df
+    long_ = df.filter(F.col("parts") > 1).groupBy("name").agg(F.array_sort(F.collect_list(F.struct("part", "text"))).alias("p"))
+    whole = long_.select("name", F.array_join(F.transform("p", lambda x: x["text"]), "").alias("text"))
+    return df.filter(F.col("parts") == 1).select("name", "text").unionAll(whole)
+
+
+def read_array_parts(spark: SparkSession, path: str, keys: str) -> DataFrame:
+    """S7 containers (``sinks.write_array_parts``): (keys..., idx, text), position kept; ``keys`` is their schema."""
+    df = spark.read.schema(f"{keys}, first long, value string").option("mode", "FAILFAST").json(path)
+    arr = F.from_json(F.col("value"), T.ArrayType(T.StringType()))
+    names = [c for c in df.columns if c not in ("first", "value")]
+    return df.select(*names, "first", F.posexplode(arr).alias("pos", "text")).select(*names, (F.col("first") + F.col("pos")).alias("idx"), "text")
+
+
 def read_jsonl(spark: SparkSession, path: str, schema: str = REAL_TEXT_SCHEMA) -> DataFrame:
     """JSON lines with an explicit schema."""
     return spark.read.schema(schema).option("mode", "FAILFAST").json(path)

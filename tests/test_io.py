@@ -54,3 +54,27 @@ def test_metric_log_appends(spark, tmp_path):
     for epoch in range(3):
         K.append_metrics(spark.createDataFrame([(epoch, 1.0 / (epoch + 1))], "epoch long, val_loss double"), path)
     assert sorted(r["epoch"] for r in spark.read.parquet(path).collect()) == [0, 1, 2]
+
+
+def test_containers_are_bounded_and_round_trip(spark, tmp_path):
+    """Texts and arrays come back as written; no stored value is above the bound and the file count does not follow the texts."""
+    texts = [("a", "short"), ("b", ""), ("c", "line\r\nline\u2028\"q\" \\\\ " * 40), ("d", "é日😀" * 100), ("e", None)] + [(f"n{i}", f"text {i}") for i in range(200)]
+    K.write_members(spark.createDataFrame(texts, "name string, text string").coalesce(2), str(tmp_path / "m"), "name", part_chars=50)
+    parts = R.read_members(spark, str(tmp_path / "m"), parts=True).collect()
+    assert max(len(r["text"]) for r in parts) <= 50 and len(list((tmp_path / "m").glob("part-*"))) <= 2
+    assert {r["name"]: r["text"] for r in R.read_members(spark, str(tmp_path / "m")).collect()} == {n: t for n, t in texts if t is not None}
+    rows = [(k, i, f"{k}-{i}\n\"x\"") for k, n in ((1, 1), (2, 1300), (3, 7)) for i in range(n)]
+    K.write_array_parts(spark.createDataFrame(rows, "k long, idx long, text string"), str(tmp_path / "a"), ["k"], "idx", part_items=100)
+    back = R.read_array_parts(spark, str(tmp_path / "a"), "k long")
+    assert sorted(map(tuple, back.collect())) == rows
+    stored = spark.read.json(str(tmp_path / "a"))
+    assert stored.count() == 1 + 13 + 1
+
+
+def test_union_of_origins_wants_equal_columns(spark):
+    import pytest
+
+    from quillspark.operators.joins import union_origins
+
+    with pytest.raises(Exception, match="column"):
+        union_origins(spark.range(1).toDF("a"), spark.range(1).toDF("b"))
