@@ -9,7 +9,7 @@ another in a text and have the same smallest inner k-mer (their minimizer) make
    compacted to the first occurrence, and all windows of the other occurrences repeat it. A join with the first
    occurrences marks them by their source coordinates, a path at a time.
 3. Where a minimizer branches (occurrences go on differently, as at the ends of a repeated passage), its paths are opened into
-   windows, and a window is compared with the first one of the same hash.
+   windows, and a window is compared with the first one of the same two hashes (128 bits; neither alone decides).
 
 Every word in a window that also starts earlier (smaller doc_id, or same document and earlier start) is marked; the marks are
 taken from the input, not from what is left. Words are runs of other than ASCII space and 0x09-0x0D, unchanged.
@@ -39,7 +39,7 @@ _POWER = np.uint64(0xD1342543DE82EF95)
 _LAST = (1 << 63) - 1
 
 PATHS = "row long, doc long, doc_id long, n_words long, words_sha256 string, words_key long, minimizers array<long>, contents array<long>, starts array<int>, counts array<int>"
-WINDOWS = "doc long, words_key long, h long, start int"
+WINDOWS = "doc long, words_key long, h long, g long, start int"
 TEXTS = "doc long, words_key long, text string"
 
 
@@ -115,8 +115,8 @@ def _window_rows(n: int, k: int, wanted):
                     hit, which = np.unique(own, return_inverse=True)
                     ids = b.column(0)[i:j].fill_null(_LAST).to_numpy(zero_copy_only=False)
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(ids[own], pa.int64()), pa.array(_key(_digests(w, hit.tolist()))[which]), pa.array(w.windows(n)[at].view(np.int64)), pa.array((at - w.first[own]).astype(np.int32))],
-                        ["doc", "words_key", "h", "start"],
+                        [pa.array(ids[own], pa.int64()), pa.array(_key(_digests(w, hit.tolist()))[which]), pa.array(w.windows(n)[at].view(np.int64)), pa.array(w.windows(n, base=_POWER)[at].view(np.int64)), pa.array((at - w.first[own]).astype(np.int32))],
+                        ["doc", "words_key", "h", "g", "start"],
                     )
 
     return make
@@ -181,9 +181,9 @@ def repeated_ranges(docs: DataFrame, n: int = WINDOW, k: int = KMER, id_col: str
     forks = edges.where("branches").select("m")
     wanted = id_filter(forks, forks.count())
     windows = written(texts.mapInArrow(_window_rows(n, k, wanted), WINDOWS), "windows")
-    first = windows.groupBy("h").agg(F.min(at).alias("src"), F.max(at).alias("other")).where("src < other").select("h", "src")
+    first = windows.groupBy("h", "g").agg(F.min(at).alias("src"), F.max(at).alias("other")).where("src < other").select("h", "g", "src")
     # windows know their row by id and words; equal rows of one id have equal windows
-    again = windows.join(written(first, "first-windows"), "h").where(at > F.col("src")).join(rows.select("doc", "words_key", "row"), ["doc", "words_key"])
+    again = windows.join(written(first, "first-windows"), ["h", "g"]).where(at > F.col("src")).join(rows.select("doc", "words_key", "row"), ["doc", "words_key"])
     return rows, compact.unionAll(again.select("row", "start", (F.col("start") + n).alias("end"), "src"))
 
 

@@ -99,12 +99,12 @@ class Words:
     def __len__(self) -> int:
         return len(self.first) - 1
 
-    def windows(self, n: int, salt: int = 0) -> np.ndarray:
-        """Hash of the n words from each word on (meaningless for the last n-1 words of a document)."""
+    def windows(self, n: int, salt: int = 0, base: np.uint64 = _R) -> np.ndarray:
+        """Hash of the n words from each word on (meaningless for the last n-1 words of a document); another base is another hash."""
         m = max(0, len(self.h) - n + 1)
         out = np.full(m, np.uint64(n * 2 + 1 + (salt << 8)))
         for k in range(n):
-            out = out * _R + self.h[k : k + m]
+            out = out * base + self.h[k : k + m]
         return mix(out)
 
     def joined(self, lo: int, hi: int) -> bytes:

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quillspark.llm import alignment, hard_negatives, suffix_dedup
+from quillspark.llm import alignment, hard_negatives, substring_dedup, suffix_dedup, words
 
 LOREM = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau upsilon phi chi psi omega one two three four five six seven eight nine ten"
 
@@ -268,3 +268,46 @@ def test_alignment_of_no_rows(spark):
     assert alignment.cross_tokenizer_alignment(empty).count() == 0
     none = spark.createDataFrame([(1, None), (2, "")], "doc_id long, text string")
     assert sorted(map(tuple, alignment.cross_tokenizer_alignment(none).collect())) == [(1, 0, 0, 0, 0, 0, 0, ""), (2, 0, 0, 0, 0, 0, 0, "")]
+
+
+# substring dedup -----------------------------------------------------------------------------------------------------
+
+
+@pytest.mark.parametrize("collides", ["first", "second"])
+def test_substring_dedup_survives_a_collision_of_either_hash(spark, many_partitions, monkeypatch, collides):
+    """Every window has the same value of one of the two hashes; the other tells them apart."""
+    plain = words.Words.windows
+
+    def windows(self, n, salt=0, base=words._R):
+        out = plain(self, n, salt, base)
+        whole = salt == 0 and (base == words._R) == (collides == "first")
+        return out * np.uint64(0) if whole else out
+
+    # the plan runs in other processes: the patched class goes with the functions
+    monkeypatch.setattr(words.Words, "windows", windows)
+    w = LOREM.split()
+    texts = [" ".join(w), "start " + " ".join(w[:25]) + " end of it", " ".join(w[5:30]) + " tail", " ".join(reversed(w)), "other " + " ".join(w[:22])]
+    rows = list(enumerate(texts))
+    buf = [t.split() for t in texts]
+    first = {}
+    for i, ws in enumerate(buf):
+        for p in range(len(ws) - 19):
+            first.setdefault(tuple(ws[p : p + 20]), (i, p))
+    want = []
+    for i, ws in enumerate(buf):
+        gone = set()
+        for p in range(len(ws) - 19):
+            if first[tuple(ws[p : p + 20])] < (i, p):
+                gone |= set(range(p, p + 20))
+        want.append((i, len(ws), len(gone)))
+    batch = pytest.importorskip("pyarrow").RecordBatch.from_pydict({"doc": [i for i, _ in rows], "text": texts})
+    found = [x for b in substring_dedup._window_rows(20, 6, lambda h: np.ones(len(h), bool))(iter([batch])) for x in b.to_pylist()]
+    by = {}
+    for x in found:
+        by.setdefault((x["h"], x["g"]), []).append((x["doc"], x["start"]))
+    removed = {i: set() for i, _ in rows}
+    for places in by.values():
+        for doc, start in sorted(places)[1:]:
+            removed[doc] |= set(range(start, start + 20))
+    assert [(i, n, len(removed[i])) for i, n, _ in want] == want and sum(r[2] for r in want) > 40
+    assert len({x["h"] for x in found}) == 1 or len({x["g"] for x in found}) == 1
