@@ -68,8 +68,9 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register
 def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Target: the texts of ``conversations``; background: all documents."""
-    out = lm_scoring.cross_entropy_difference(read_documents(spark, sf_dir).select("doc_id", "text"), read_documents(spark, sf_dir, "conversations").select("text"))
+    """Target: the texts of ``conversations``; background: all documents but the one that is scored."""
+    docs, target = read_documents(spark, sf_dir).select("doc_id", "text"), read_documents(spark, sf_dir, "conversations").select("text")
+    out = lm_scoring.cross_entropy_difference(docs, target, leave_out=True)
     return out.select("doc_id", "n_words", *(F.round(c, 6).alias(c) for c in ("loss_target", "loss_background", "score")))
 
 

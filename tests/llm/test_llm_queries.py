@@ -271,7 +271,12 @@ def test_lm_scores_prefer_the_target(spark, odd):
     assert lm_scoring.cross_entropy_difference(odd, target.limit(0)).count() == len(odd_rows())
 
 
-def test_lm_scores_equal_bigram_models_of_all_words(spark, odd, many_partitions):
+@pytest.mark.parametrize("leave_out, heads", [(False, None), (True, None), (False, (3, 2)), (True, (3, 2)), (True, (0, 0))])
+def test_lm_scores_equal_bigram_models_of_all_words(spark, odd, many_partitions, monkeypatch, leave_out, heads):
+    """Against counters of all words and pairs, with and without a document's own counts, and with heads that hold next to nothing."""
+    if heads:
+        monkeypatch.setattr(lm_scoring, "HEAD_WORDS", heads[0])
+        monkeypatch.setattr(lm_scoring, "HEAD_PAIRS", heads[1])
     aim = ["alpha beta gamma delta " * 50, None, "rare1 rare2 alpha"]
     many = [(100 + k, f"word{k} word{k + 1} rare{k % 3} the the") for k in range(400)]
     rows = [(i, t) for i, t in odd_rows() if i != 6] + many
@@ -279,20 +284,26 @@ def test_lm_scores_equal_bigram_models_of_all_words(spark, odd, many_partitions)
     back, front = ([[x.translate(fold) for x in words(t)] for t in texts] for texts in ([t for _, t in rows], aim))
     vocabulary = {x for ws in back + front for x in ws}
 
-    def model(corpus):
+    def counts(corpus):
         one, two, before = Counter(), Counter(), Counter()
         for ws in corpus:
-            for v, x in zip([None, *ws], ws):
-                one[x] += 1
-                two[v, x] += 1
-                before[v] += 1
-        p = lambda x: (one[x] + 0.5) / (one.total() + 0.5 * len(vocabulary))
-        return lambda ws: -sum(math.log((two[v, x] + 20 * p(x)) / (before[v] + 20)) for v, x in zip([None, *ws], ws)) / max(1, len(ws))
-
-    target, background = model(front), model(back)
-    want = sorted([(i, len(ws), round(target(ws), 6), round(background(ws), 6)) for (i, _), ws in zip(rows, back)], key=str)
-    out = lm_scoring.cross_entropy_difference(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), spark.createDataFrame([(t,) for t in aim], "text string")).collect()
-    got = sorted([(r["doc_id"], r["n_words"], round(r["loss_target"], 6), round(r["loss_background"], 6)) for r in out], key=str)
+            one.update(ws)
+            two.update(zip([None, *ws], ws))
+            before.update([None, *ws][: len(ws)])
+        return one, two, before
+
+    def loss(model, own, ws):
+        one, two, before = ({k: c[k] - o.get(k, 0) for k in {*c}} for c, o in zip(model, own))
+        total = sum(one.values()) + 0.5 * len(vocabulary)
+        p = {x: (one.get(x, 0) + 0.5) / total for x in ws}
+        return -sum(math.log((two.get((v, x), 0) + 20 * p[x]) / (before.get(v, 0) + 20)) for v, x in zip([None, *ws], ws)) / max(1, len(ws))
+
+    target, background = counts(front), counts(back)
+    none = ({}, {}, {})
+    want = sorted([(i, len(ws), loss(target, none, ws), loss(background, counts([ws]) if leave_out else none, ws)) for (i, _), ws in zip(rows, back)], key=lambda r: str((r[0], r[1], round(r[2], 4))))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    out = lm_scoring.cross_entropy_difference(docs, spark.createDataFrame([(t,) for t in aim], "text string"), leave_out=leave_out).collect()
+    got = sorted([(r["doc_id"], r["n_words"], r["loss_target"], r["loss_background"]) for r in out], key=lambda r: str((r[0], r[1], round(r[2], 4))))
     assert len(got) == len(want) and all(a[:2] == b[:2] and abs(a[2] - b[2]) < 1e-5 and abs(a[3] - b[3]) < 1e-5 for a, b in zip(got, want))
 
 
