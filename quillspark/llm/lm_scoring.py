@@ -41,19 +41,19 @@ _SHIFT = 20
 
 WORDS = "w long, wt long, wb long, vt long, vb long"
 PAIRS = "key long, w long, t long, b long"
-USES = "row long, doc_id long, key long, n long, m long, size long, t double, b double"
+USES = "row long, key long, n long, m long, size long, base struct<doc_id: long, t: double, b: double>"
 
 
 class _Slice:
-    """Words of some texts by their numbers in the slice's own vocabulary: ``h`` (hashes), ``word`` and ``before`` of each position."""
+    """Words of some texts by their numbers in the slice's own vocabulary: ``h`` (hashes; START is 0), ``word`` and ``before`` of each position."""
 
     def __init__(self, w: Words):
-        before = np.empty_like(w.h)
-        before[1:] = w.h[:-1]
-        before[w.first[:-1][np.diff(w.first) > 0]] = START
-        self.n = len(w.h)
-        self.h, both = np.unique(np.concatenate([w.h, before]), return_inverse=True)
-        self.word, self.before = both[: self.n].astype(np.int64), both[self.n :].astype(np.int64)
+        words, number = np.unique(w.h, return_inverse=True)
+        self.n, self.h = len(w.h), np.concatenate([[START], words])
+        self.word = number.astype(np.int64) + 1
+        self.before = np.empty_like(self.word)
+        self.before[1:] = self.word[:-1]
+        self.before[w.first[:-1][np.diff(w.first) > 0]] = 0
 
     def keys(self, of_word: np.ndarray, word: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(key of each pair, whether both words are in the head) from the head's numbers of the slice's words."""
@@ -79,8 +79,8 @@ class _Head:
         return np.where(self.key[at] == keys, at, -1)
 
 
-def _frequent(table: DataFrame, n: Column, most: int) -> DataFrame:
-    """The rows of the highest counts, as many whole steps of a sixteenth of a power of two as ``most`` rows hold."""
+def _frequent(table: DataFrame, n: Column, most: int) -> Column:
+    """Condition for the rows of the highest counts, as many whole steps of a sixteenth of a power of two as ``most`` rows hold."""
     step = F.floor(F.log2(n) * 16)
     least, total = 1 << 20, 0
     for r in sorted(table.groupBy(step.alias("step")).count().collect(), reverse=True):
@@ -88,7 +88,7 @@ def _frequent(table: DataFrame, n: Column, most: int) -> DataFrame:
         if total > most:
             break
         least = r["step"]
-    return table.where(step >= least)
+    return step >= least
 
 
 def _word_counter(target: bool):
@@ -155,9 +155,12 @@ def _uses(head: _Head, pairs: _Head, wanted, model: _Model):
                 s, size = _Slice(w), np.diff(w.first)
                 row, docs, width = batch.column(0)[i:j].to_numpy(), j - i, max(1, len(s.h))
                 doc, of_word = np.repeat(np.arange(docs), size), head.find(s.h)
-                both, at = np.unique(np.concatenate([doc * width + s.word, doc * width + s.before]), return_inverse=True)
-                n, m = (np.bincount(x, minlength=len(both)) for x in (at[: s.n], at[s.n :]))
-                d, local = np.divmod(both, width)
+                # words of each document: a word is a context as often as it stands, but for the last place; START is one once
+                both, at, n = np.unique(doc * width + s.word, return_inverse=True, return_counts=True)
+                some = np.flatnonzero(size)
+                m = n - np.bincount(at[w.first[1:][some] - 1], minlength=len(both))
+                d, local = np.divmod(np.concatenate([both, some * width]), width)
+                n, m = np.concatenate([n, np.zeros(len(some), np.int64)]), np.concatenate([m, np.ones(len(some), np.int64)])
                 k = of_word[local]
                 t, b = np.zeros(docs), np.zeros(docs)
                 own = np.flatnonzero(k >= 0)
@@ -178,18 +181,15 @@ def _uses(head: _Head, pairs: _Head, wanted, model: _Model):
                 yield _use_rows(row, d[rest], key[rest], times[rest], m[rest], size)
                 key = (mix(row.view(np.uint64) + _R) & _LOW | _DOC).view(np.int64)
                 zero = pa.array(np.zeros(docs, np.int64))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(row), batch.column(1)[i:j], pa.array(key), zero, zero, pa.array(size.astype(np.int64)), pa.array(t), pa.array(b)],
-                    ["row", "doc_id", "key", "n", "m", "size", "t", "b"],
-                )
+                base = pa.StructArray.from_arrays([batch.column(1)[i:j], pa.array(t), pa.array(b)], ["doc_id", "t", "b"])
+                yield pa.RecordBatch.from_arrays([pa.array(row), pa.array(key), zero, zero, pa.array(size.astype(np.int64)), base], ["row", "key", "n", "m", "size", "base"])
 
     return use
 
 
 def _use_rows(row: np.ndarray, doc: np.ndarray, key: np.ndarray, n: np.ndarray, m: np.ndarray, size: np.ndarray) -> pa.RecordBatch:
-    none = pa.array(np.zeros(len(doc)))
-    numbers = [pa.array(x.astype(np.int64)) for x in (key, n, m, size[doc])]
-    return pa.RecordBatch.from_arrays([pa.array(row[doc]), pa.nulls(len(doc), pa.int64()), *numbers, none, none], ["row", "doc_id", "key", "n", "m", "size", "t", "b"])
+    base = pa.nulls(len(doc), pa.struct([("doc_id", pa.int64()), ("t", pa.float64()), ("b", pa.float64())]))
+    return pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in (row[doc], key, n, m, size[doc])] + [base], ["row", "key", "n", "m", "size", "base"])
 
 
 def _with_word_counts(head: _Head):
@@ -212,26 +212,26 @@ def cross_entropy_difference(docs: DataFrame, target: DataFrame, id_col: str = "
     seen = F.col("wt") + F.col("wb")
     sizes = words.agg(F.count_if(seen > 0), F.coalesce(F.sum("wt"), F.lit(0)), F.coalesce(F.sum("wb"), F.lit(0))).first()
     model = _Model(*sizes, leave_out)
-    head = _Head(_frequent(words, seen + F.col("vt") + F.col("vb"), HEAD_WORDS))
+    head = _Head(words.where(_frequent(words, seen + F.col("vt") + F.col("vb"), HEAD_WORDS)))
 
     counted = back.mapInArrow(_pair_counter(False, head), PAIRS).unionAll(front.mapInArrow(_pair_counter(True, head), PAIRS))
     counted = counted.groupBy("key", "w").agg(F.sum("t").alias("t"), F.sum("b").alias("b")).where("t > 0 or b > 1")
     counted = written(counted, "pair-counts")
-    common = _frequent(counted.where("key >= 0"), F.col("t") + F.col("b"), HEAD_PAIRS)
-    pairs = _Head(common.select("key", "t", "b"))
-    wanted = id_filter(counted.select("key"), counted.count())
+    common = (F.col("key") >= 0) & _frequent(counted.where("key >= 0"), F.col("t") + F.col("b"), HEAD_PAIRS)
+    pairs, others = _Head(counted.where(common).select("key", "t", "b")), counted.where(~common)
+    wanted = id_filter(others.select("key"), others.count())
 
     # one table of words and pairs: (key, two counts x, two counts y, whether it is a pair)
-    inner = counted.where("key >= 0").select("key", "t", "b").mapInArrow(_with_word_counts(head), "key long, t long, b long, wt long, wb long")
-    outer = counted.where("key < 0").join(words.select("w", "wt", "wb"), "w").select("key", "t", "b", "wt", "wb")
+    inner = others.where("key >= 0").select("key", "t", "b").mapInArrow(_with_word_counts(head), "key long, t long, b long, wt long, wb long")
+    outer = others.where("key < 0").join(words.select("w", "wt", "wb"), "w").select("key", "t", "b", "wt", "wb")
     known = words.mapInArrow(_word_keys(head), WORDS.replace("w long", "key long", 1)).withColumn("pair", F.lit(False))
     table = inner.unionAll(outer).withColumn("pair", F.lit(True)).unionAll(known).toDF("key", "xt", "xb", "yt", "yb", "pair")
 
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     used = rows.mapInArrow(_uses(head, pairs, wanted, model), USES).join(table, "key", "left")
     args = (F.log, (F.col("xt"), F.col("xb")), (F.col("yt"), F.col("yb")), F.col("n"), F.col("m"), F.col("size"))
-    sums = [F.sum(F.col(c) + F.when(F.col("pair"), p).when(~F.col("pair"), w).otherwise(0.0)).alias(c) for c, p, w in zip("tb", model.corrections(*args), model.terms(*args))]
-    total = used.groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.max("size").alias("n_words"), *sums)
+    sums = [F.sum(F.coalesce(F.col(f"base.{c}"), F.lit(0.0)) + F.when(F.col("pair"), p).when(~F.col("pair"), w).otherwise(0.0)).alias(c) for c, p, w in zip("tb", model.corrections(*args), model.terms(*args))]
+    total = used.groupBy("row").agg(F.max("base.doc_id").alias("doc_id"), F.max("size").alias("n_words"), *sums)
     mean = [F.col(c) / F.greatest("n_words", F.lit(1)) for c in ("t", "b")]
     return total.select("doc_id", "n_words", mean[0].alias("loss_target"), mean[1].alias("loss_background"), (mean[1] - mean[0]).alias("score"))
 
