@@ -9,7 +9,7 @@ from quillspark.operators import detector as DT
 from quillspark.plans.q_prep import labelled
 from quillspark.plans.registry import register, rounded
 from quillspark.session import scratch_path, table
-from quillspark.streaming.incremental import run_incremental
+from quillspark.streaming.incremental import run_incremental, scored_batches
 
 STREAM_FILES = 3
 
@@ -63,5 +63,5 @@ def q_d11(spark, sf_dir):
     # files arrive in three drops; each is picked up by its own micro-batch
     for i in range(STREAM_FILES):
         docs.filter(F.pmod(F.col("doc_id"), F.lit(STREAM_FILES)) == i).write.parquet(f"{base}/in/drop={i}")
-    run_incremental(spark, f"{base}/in/*", "doc_id long, text string", f"{base}/out", f"{base}/ckpt")
-    return rounded(spark.read.parquet(f"{base}/out"))
+    run_incremental(spark, f"{base}/in/*", "doc_id long, text string", f"{base}/out", f"{base}/ckpt", files_per_batch=1)
+    return rounded(scored_batches(spark, f"{base}/out"))

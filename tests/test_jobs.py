@@ -1,13 +1,14 @@
 """Rows-only jobs: detector training/scoring, generation and resumable streaming."""
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from quillspark.functions.text import tokens
 from quillspark.operators import detector as DT
 from quillspark.operators.scoring import lexical_logits
 from quillspark.session import scratch_path
-from quillspark.streaming.incremental import run_incremental
+from quillspark.streaming.incremental import ledger, run_incremental, scored_batches
 
 SF = "/root/testdata/sf0.001"
 
@@ -18,11 +19,12 @@ def test_streaming_resumes_and_equals_batch(spark):
     docs.filter(F.col("doc_id") % 3 != 2).write.parquet(f"{base}/in/drop=0")
     args = (f"{base}/in/*", "doc_id long, text string", f"{base}/out", f"{base}/ckpt")
     first = run_incremental(spark, *args)
-    assert first == spark.read.parquet(f"{base}/out").count() > 0
+    assert first == scored_batches(spark, f"{base}/out").count() > 0
     assert run_incremental(spark, *args) == 0  # nothing new: nothing is scored twice
     docs.filter(F.col("doc_id") % 3 == 2).write.parquet(f"{base}/in/drop=1")
     assert run_incremental(spark, *args) == docs.count() - first
-    out = spark.read.parquet(f"{base}/out")
+    assert ledger(spark, f"{base}/ckpt").agg(F.sum("rows")).first()[0] == docs.count()
+    out = scored_batches(spark, f"{base}/out")
     batch = lexical_logits(docs.select("doc_id", tokens("text").alias("tokens"))).select("doc_id", "l_fake", "l_real")
     assert out.count() == docs.count() > first
     assert out.exceptAll(batch).count() == 0 and batch.exceptAll(out).count() == 0
@@ -105,3 +107,30 @@ def test_incremental_count_past_the_progress_window(spark, tmp_path):
     files = len([f for f in (tmp_path / "in").iterdir() if f.name.startswith("part-")])
     assert run_incremental(spark, src, "doc_id long, text string", out, ck, files_per_batch=max(1, files // 105)) == 110
     assert run_incremental(spark, src, "doc_id long, text string", out, ck) == 0
+
+
+def test_incremental_restart_in_the_middle_of_a_run(spark, tmp_path, monkeypatch):
+    """A run that fails after a batch was written, before it was committed: the next one writes that batch again, once."""
+    import quillspark.streaming.incremental as I
+
+    src, out, ck = (str(tmp_path / x) for x in ("in", "out", "ck"))
+    for drop in range(3):
+        spark.createDataFrame([(10 * drop + i, f"words of {drop} {i}") for i in range(drop + 2)], "doc_id long, text string").coalesce(1).write.parquet(f"{src}/drop={drop}")
+    args = (f"{src}/*", "doc_id long, text string", out, ck)
+    path, calls = I.ledger_path, []
+
+    def broken(checkpoint_dir):  # asked for the place of the second batch's count, after its rows were written
+        calls.append(checkpoint_dir)
+        if len(calls) == 2:
+            raise RuntimeError("lost")
+        return path(checkpoint_dir)
+
+    monkeypatch.setattr(I, "ledger_path", broken)
+    with pytest.raises(Exception, match="lost"):
+        run_incremental(spark, *args, files_per_batch=1)
+    monkeypatch.undo()
+    done = ledger(spark, ck).agg(F.sum("rows")).first()[0]
+    assert 0 < done < 9
+    assert run_incremental(spark, *args, files_per_batch=1) == 9 - done
+    assert sorted(r["doc_id"] for r in scored_batches(spark, out).collect()) == [0, 1, 10, 11, 12, 20, 21, 22, 23]
+    assert ledger(spark, ck).agg(F.sum("rows"), F.count("*")).first() == (9, 3)
