@@ -143,3 +143,33 @@ def line_mode_counts(df: DataFrame, text_col: str, seq_len: int, group_cols=(),
         F.sum("_orig").cast("long").alias("n_original_tokens"),
         F.coalesce(F.sum(F.size("_chunks")), F.lit(0)).cast("long").alias("n_chunks"),
     )
+
+
+def all_mode_counts(df: DataFrame, text_col: str, seq_len: int, group_cols=()) -> DataFrame:
+    """T11 in one pass: (group_cols..., mode, n_tokens, n_original_tokens, n_chunks) for ``whole``, ``line`` and ``fast``.
+
+    A text is tokenized once, line by line (no token crosses a line end, so the lines' counts add up to the text's), and the
+    lengths of chunks follow from counts alone. Null texts have no lines and count nothing.
+    """
+    from quillspark.functions.text import tokens
+
+    def total(rows, value):
+        return F.aggregate(rows, F.lit(0).cast("long"), lambda acc, x: acc + value(x))
+
+    def kept(n):
+        return F.when(n < seq_len, n).otherwise(n - n % seq_len)
+
+    def n_chunks(n):
+        return F.when(n < seq_len, F.lit(1).cast("long")).otherwise(F.floor(n / seq_len).cast("long"))
+
+    per_line = F.transform(lines(text_col), lambda x: F.struct(F.size(tokens(x)).cast("long").alias("n"), nonblank(x).alias("nb"), space_pieces(x).cast("long").alias("orig")))
+    c = df.filter(F.col(text_col).isNotNull()).select(*group_cols, per_line.alias("_all"), space_pieces(py_strip(text_col)).cast("long").alias("_orig"))
+    c = c.select(*group_cols, "_orig", "_all", F.filter("_all", lambda x: x["nb"]).alias("_some"), total("_all", lambda x: x["n"]).alias("_n"), total("_all", lambda x: x["orig"]).alias("_pieces"))
+    modes = [
+        ("whole", kept(F.col("_n")), F.col("_orig"), n_chunks(F.col("_n"))),
+        ("line", total("_some", lambda x: kept(x["n"])), F.col("_pieces"), total("_some", lambda x: n_chunks(x["n"]))),
+        ("fast", total("_some", lambda x: F.least(x["n"], F.lit(seq_len).cast("long"))), F.col("_pieces"), F.size("_some").cast("long")),
+    ]
+    names = ("n_tokens", "n_original_tokens", "n_chunks")
+    rows = F.array(*(F.struct(F.lit(mode).alias("mode"), *(v.alias(k) for k, v in zip(names, values))) for mode, *values in modes))
+    return c.select(*group_cols, F.inline(rows)).groupBy(*group_cols, "mode").agg(*(F.sum(k).cast("long").alias(k) for k in names))

@@ -129,11 +129,7 @@ def lm_split(spark, sf_dir):
 
 @register("T11_corpus_counts")
 def q_t11(spark, sf_dir):
-    docs = lm_split(spark, sf_dir)
-    whole = TK.whole_mode_counts(docs, "text", LM_SEQ_LEN, ["split"]).withColumn("mode", F.lit("whole"))
-    line = TK.line_mode_counts(docs, "text", LM_SEQ_LEN, ["split"]).withColumn("mode", F.lit("line"))
-    fast = TK.line_mode_counts(docs, "text", LM_SEQ_LEN, ["split"], fast=True).withColumn("mode", F.lit("fast"))
-    return whole.unionByName(line).unionByName(fast)
+    return TK.all_mode_counts(lm_split(spark, sf_dir), "text", LM_SEQ_LEN, ["split"])
 
 
 @register("T12_pad_batch")

@@ -215,3 +215,22 @@ def test_batch_cap_keeps_the_text_that_overshoots(spark):
     df = spark.createDataFrame([(p, i, [[0]] * n) for p, i, n in rows], "path string, idx long, chunks array<array<int>>")
     got = {(r.path, r.idx) for r in capped_texts(df, "path", "idx", "chunks", 3).collect()}
     assert got == {("a", 0), ("a", 1), ("b", 0)}
+
+
+def test_corpus_counts_in_one_pass_equal_those_by_mode(spark):
+    from pyspark.sql import functions as F
+
+    from quillspark.operators import tokens as TK
+
+    texts = ["", " ", "one two three", "a\r\nb c\rd\n\n", "x " * 17 + "\n" + "y z " * 9, "\n\n", "w v\x0bu\x85t\x1cs", "it's 1.5\n" * 4, None]
+    df = spark.createDataFrame([("ab"[i % 2], t) for i, t in enumerate(texts * 2)], "split string, text string")
+    one = {(r["split"], r["mode"]): tuple(r)[2:] for r in TK.all_mode_counts(df, "text", 4, ["split"]).collect()}
+    own = df.filter(F.col("text").isNotNull())
+    for mode, counts in (
+        ("whole", TK.whole_mode_counts(own, "text", 4, ["split"])),
+        ("line", TK.line_mode_counts(own, "text", 4, ["split"])),
+        ("fast", TK.line_mode_counts(own, "text", 4, ["split"], fast=True)),
+    ):
+        for r in counts.collect():
+            assert one[r["split"], mode] == tuple(r)[1:], mode
+    assert len(one) == 6
