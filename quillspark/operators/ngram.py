@@ -55,14 +55,28 @@ class BigramModel:
     context_rows: int
     max_followers: int
     k: float = 1.0
+    held: tuple = ()     # persisted count tables
+
+    def release(self) -> None:
+        for t in self.held:
+            t.unpersist()
+
+
+def pair_counts(chunks_df: DataFrame, keys=(), chunk_col: str = "chunk", end: str | None = None, out: str = "n") -> DataFrame:
+    """(keys..., ctx, tok, ``out``: occurrences). Counts of disjoint sets of chunks add up to the counts of all of them."""
+    return pairs(chunks_df, chunk_col, keep=keys, end=end).groupBy(*keys, "ctx", "tok").agg(F.count(F.lit(1)).alias(out))
 
 
 def fit(chunks_df: DataFrame, chunk_col: str = "chunk", k: float = 1.0, end: str | None = None) -> BigramModel:
     """M1: bigram and unigram counts (map-side combined aggregations). ``end``: an end-of-text marker that the model learns
     after every chunk, for generation that stops there."""
-    p = pairs(chunks_df, chunk_col, end=end)
+    return model_of(pair_counts(chunks_df, chunk_col=chunk_col, end=end), k)
+
+
+def model_of(counts: DataFrame, k: float = 1.0) -> BigramModel:
+    """The model of a table (ctx, tok, n), one row for each pair."""
     # the count tables are reused by the size checks and every join: keep them (spillable)
-    big = p.groupBy("ctx", "tok").agg(F.count(F.lit(1)).alias("n")).persist(StorageLevel.MEMORY_AND_DISK)
+    big = counts.select("ctx", "tok", "n").persist(StorageLevel.MEMORY_AND_DISK)
     ctx_f = big.groupBy("ctx").agg(F.sum("n").alias("ctx_n"), F.count(F.lit(1)).alias("_f"))
     ctx_f = ctx_f.persist(StorageLevel.MEMORY_AND_DISK)
     ctx = ctx_f.select("ctx", "ctx_n")
@@ -71,7 +85,7 @@ def fit(chunks_df: DataFrame, chunk_col: str = "chunk", k: float = 1.0, end: str
     cstats = ctx_f.agg(F.count(F.lit(1)).alias("C"), F.sum("_f").alias("B"), F.max("_f").alias("F")).first()
     bigrams = big.join(ctx, "ctx")
     return BigramModel(bigrams, ctx, uni, int(stats["N"] or 0), int(stats["V"] or 0),
-                       int(cstats["B"] or 0), int(cstats["C"] or 0), int(cstats["F"] or 0), k)
+                       int(cstats["B"] or 0), int(cstats["C"] or 0), int(cstats["F"] or 0), k, (uni, ctx_f, big))
 
 
 def _sized(df: DataFrame, rows: int) -> DataFrame:
@@ -108,8 +122,12 @@ def _prob(model: BigramModel) -> F.Column:
 
 def chunk_losses(model: BigramModel, chunks_df: DataFrame, keys=("doc_id", "chunk_idx"), chunk_col: str = "chunk") -> DataFrame:
     """M2: per chunk, token count and mean -ln p. Pairs are pre-aggregated per chunk before the joins."""
-    p = pairs(chunks_df, chunk_col, keep=keys).groupBy(*keys, "ctx", "tok").agg(F.count(F.lit(1)).alias("m"))
-    scored = token_probs(model, p)
+    return pair_losses(model, pair_counts(chunks_df, keys, chunk_col, out="m"), keys)
+
+
+def pair_losses(model: BigramModel, counted: DataFrame, keys=("doc_id", "chunk_idx")) -> DataFrame:
+    """M2 of pairs that are counted already: ``counted`` is (keys..., ctx, tok, m)."""
+    scored = token_probs(model, counted)
     return scored.groupBy(*keys).agg(
         F.sum("m").cast("long").alias("n_tokens"),
         (F.sum(F.col("m") * -F.log("p")) / F.sum("m")).alias("loss"),

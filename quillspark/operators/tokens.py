@@ -115,12 +115,17 @@ def capped_texts(df: DataFrame, path_col: str, idx_col: str, chunks_col: str, n_
     return kept.drop("_n", "_ti", "_before")
 
 
+def original_tokens(text_col: str) -> F.Column:
+    """Pieces of a stripped text cut at single spaces, as the adjusted perplexity counts them."""
+    return space_pieces(py_strip(text_col))
+
+
 def whole_mode_counts(df: DataFrame, text_col: str, seq_len: int, group_cols=()) -> DataFrame:
     """T11 (whole-file mode): n_tokens (sum of chunk lengths), n_original_tokens, n_chunks."""
     from quillspark.functions.text import tokens
 
     # tokens are a column of their own: the chunk expression references them several times
-    c = df.select(*group_cols, tokens(text_col).alias("_t"), space_pieces(py_strip(text_col)).alias("_orig"))
+    c = df.select(*group_cols, tokens(text_col).alias("_t"), original_tokens(text_col).alias("_orig"))
     c = c.select(*group_cols, chunks("_t", seq_len).alias("_chunks"), "_orig")
     return c.groupBy(*group_cols).agg(
         F.sum(F.aggregate("_chunks", F.lit(0), lambda acc, x: acc + F.size(x))).cast("long").alias("n_tokens"),

@@ -32,12 +32,14 @@ ORACLE["M2_ngram_loss"] = f"""WITH {LOSSES}
 SELECT doc_id, CAST(chunk_idx AS BIGINT) AS chunk_idx, CAST(n_tokens AS BIGINT) AS n_tokens,
        round(loss_sum / n_tokens, 6) AS loss FROM cl"""
 
+PIECES = f"""w AS (SELECT {chunks(tok('text'), 256)} AS ch, len(string_split(regexp_replace(text, '\\A[{PY_SPACE}]+|[{PY_SPACE}]+\\z', '', 'g'), ' ')) AS orig
+      FROM sp WHERE split = 'valid'),
+cnt AS (SELECT sum(list_sum(list_transform(ch, lambda c: len(c)))) AS n_tokens, sum(orig) AS n_orig FROM w)"""
+
 METRICS = f"""{LOSSES},
 r AS (SELECT *, (row_number() OVER (ORDER BY doc_id, chunk_idx) - 1) // 4 AS batch_id FROM cl),
 bl AS (SELECT batch_id, sum(loss_sum) / sum(n_tokens) AS loss FROM r GROUP BY batch_id),
-w AS (SELECT {chunks(tok('text'), 256)} AS ch, len(string_split(regexp_replace(text, '\\A[{PY_SPACE}]+|[{PY_SPACE}]+\\z', '', 'g'), ' ')) AS orig
-      FROM sp WHERE split = 'valid'),
-cnt AS (SELECT sum(list_sum(list_transform(ch, lambda c: len(c)))) AS n_tokens, sum(orig) AS n_orig FROM w),
+{PIECES},
 m AS (SELECT avg(loss) AS loss FROM bl),
 a10 AS (SELECT 'valid' AS split, round(m.loss, 6) AS loss, round(exp(m.loss), 6) AS ppl,
        round(exp(m.loss * (cnt.n_tokens - 1) / (cnt.n_orig - 1)), 6) AS adjusted_ppl FROM m, cnt)"""
@@ -100,13 +102,31 @@ FIRST_WORDS = f"""SELECT * FROM (SELECT CAST(doc_id AS VARCHAR) AS id, {tok(f"re
 ORACLE["M4_generate"] = samples(FIRST_WORDS)
 ORACLE["M5_generate_uncond"] = samples("SELECT CAST(doc_id AS VARCHAR) AS id, CAST([] AS VARCHAR[]) AS toks FROM sp WHERE split = 'valid'")
 
-ORACLE["K5_metric_log"] = f"""WITH RECURSIVE {METRICS},
-{BEST},
-g AS (SELECT '<s>' AS last, CAST([] AS VARCHAR[]) AS toks
+# the model after each of three shares of the training texts, all epochs side by side
+ORACLE["K5_metric_log"] = f"""WITH RECURSIVE {LM},
+ep AS (SELECT unnest(range(3)) AS epoch),
+big_e AS (SELECT epoch, ctx, tok, count(*) AS n FROM pr JOIN ep ON doc_id % 3 <= epoch WHERE split = 'train' GROUP BY epoch, ctx, tok),
+cx_e AS (SELECT epoch, ctx, sum(n) AS ctx_n FROM big_e GROUP BY epoch, ctx),
+uni_e AS (SELECT epoch, tok, sum(n) AS u FROM big_e GROUP BY epoch, tok),
+st_e AS (SELECT epoch, sum(u) AS nn, count(*) AS vv FROM uni_e GROUP BY epoch),
+vp AS (SELECT doc_id, chunk_idx, ctx, tok, count(*) AS m FROM pr WHERE split = 'valid' GROUP BY doc_id, chunk_idx, ctx, tok),
+sc AS (SELECT st.epoch, vp.*, {PROB} AS p FROM vp CROSS JOIN st_e st LEFT JOIN big_e b ON vp.ctx = b.ctx AND vp.tok = b.tok AND st.epoch = b.epoch
+       LEFT JOIN cx_e c ON vp.ctx = c.ctx AND st.epoch = c.epoch LEFT JOIN uni_e u ON vp.tok = u.tok AND st.epoch = u.epoch),
+cl AS (SELECT epoch, doc_id, chunk_idx, sum(m) AS n_tokens, sum(m * -ln(p)) AS loss_sum FROM sc GROUP BY epoch, doc_id, chunk_idx),
+r AS (SELECT *, (row_number() OVER (PARTITION BY epoch ORDER BY doc_id, chunk_idx) - 1) // 4 AS batch_id FROM cl),
+bl AS (SELECT epoch, batch_id, sum(loss_sum) / sum(n_tokens) AS loss FROM r GROUP BY epoch, batch_id),
+m AS (SELECT epoch, avg(loss) AS loss FROM bl GROUP BY epoch),
+{PIECES},
+best AS MATERIALIZED (SELECT epoch, ctx, tok FROM (SELECT b.epoch, b.ctx, b.tok, row_number() OVER (
+           PARTITION BY b.epoch, b.ctx ORDER BY b.n + (u.u + 1) / (st.nn + st.vv + 1) DESC, b.tok) AS r
+         FROM big_e b JOIN uni_e u ON b.tok = u.tok AND b.epoch = u.epoch JOIN st_e st ON b.epoch = st.epoch) WHERE r = 1),
+g AS (SELECT epoch, '<s>' AS last, CAST([] AS VARCHAR[]) AS toks FROM ep
       UNION ALL
-      SELECT best.tok, list_append(g.toks, best.tok) FROM g JOIN best ON g.last = best.ctx WHERE len(g.toks) < 32)
-SELECT CAST(0 AS BIGINT) AS epoch, loss AS val_loss, ppl AS val_ppl, adjusted_ppl AS val_adjusted_ppl,
-       (SELECT array_to_string(arg_max(toks, len(toks)), ' ') FROM g) AS sample FROM a10"""
+      SELECT g.epoch, best.tok, list_append(g.toks, best.tok) FROM g JOIN best ON g.last = best.ctx AND g.epoch = best.epoch WHERE len(g.toks) < 32),
+gs AS (SELECT epoch, array_to_string(arg_max(toks, len(toks)), ' ') AS sample FROM g GROUP BY epoch)
+SELECT m.epoch, round(m.loss, 6) AS val_loss, round(exp(m.loss), 6) AS val_ppl,
+       round(exp(m.loss * (cnt.n_tokens - 1) / (cnt.n_orig - 1)), 6) AS val_adjusted_ppl, gs.sample
+FROM m JOIN gs ON m.epoch = gs.epoch CROSS JOIN cnt"""
 
 DETECTOR = f"""corpus AS (
   SELECT CAST(doc_id AS VARCHAR) AS id, 1 AS label, text FROM documents

@@ -16,9 +16,10 @@ from quillspark.operators.generate import generate
 from quillspark.operators.indexing import with_row_index
 from quillspark.operators.ngram import decode_filter
 from quillspark.operators.sampling import shuffle_split
+from quillspark.operators.training_log import log_epochs, write_share_counts
 from quillspark.plans.detector import essay_scores
 from quillspark.plans.fixtures import essay_bodies, essay_index, news, real_web_text, reviews
-from quillspark.plans.q_lm import GENERATE, GREEDY_LEN, lm_metrics, lm_model
+from quillspark.plans.q_lm import GENERATE, GREEDY_LEN, LM_EPOCHS, lm_chunks, lm_held_out, lm_metrics
 from quillspark.plans.q_prep import DECODE_SETTINGS, TRAIN_MAX_LEN, labelled
 from quillspark.plans.registry import register, rounded
 from quillspark.session import scratch_path, table
@@ -205,16 +206,23 @@ def q_k4(spark, sf_dir):
 
 @register("K5_metric_log")
 def q_k5(spark, sf_dir):
-    """The language model's row of an evaluation: losses of the held-out texts and a greedy sample."""
-    path = scratch_path(spark, "metrics")
-    model = lm_model(spark, sf_dir)
+    """The language model's log: after each share of the training texts, losses of the held-out texts and a greedy sample."""
+    counts, held = scratch_path(spark, "share-counts"), scratch_path(spark, "held-out-pairs")
+    train = lm_chunks(spark, sf_dir).filter(F.col("split") == "train")
+    write_share_counts(train.withColumn("share", F.pmod("doc_id", F.lit(LM_EPOCHS)).cast("int")), counts)
+    pairs, pieces = lm_held_out(spark, sf_dir)
+    pairs.write.parquet(held)
+    pairs = spark.read.schema(pairs.schema).parquet(held)
     prompt = spark.range(1).select("id", F.array().cast("array<string>").alias("prompt_tokens"))
-    sample = generate(prompt, decode_filter(model, GENERATE), sample_len=GREEDY_LEN, do_sample=False)
-    # (epoch, metric columns) and (epoch, sample) become one row by epoch
-    epoch = F.lit(0).cast("long").alias("epoch")
-    metrics = lm_metrics(spark, sf_dir, model).select(
-        epoch, F.col("loss").alias("val_loss"), F.col("ppl").alias("val_ppl"), F.col("adjusted_ppl").alias("val_adjusted_ppl"))
-    both = metrics.unionByName(sample.select(epoch, F.col("text").alias("sample")), allowMissingColumns=True)
-    K.append_metrics(both.groupBy("epoch").agg(
-        *[F.max(c).alias(c) for c in ("val_loss", "val_ppl", "val_adjusted_ppl", "sample")]), path)
+
+    def evaluate(model):
+        sample = generate(prompt, decode_filter(model, GENERATE), sample_len=GREEDY_LEN, do_sample=False)
+        metrics = lm_metrics(model, pairs, pieces).select(
+            F.col("loss").alias("val_loss"), F.col("ppl").alias("val_ppl"), F.col("adjusted_ppl").alias("val_adjusted_ppl"))
+        # metric columns and a sample become one row, also when either is absent
+        both = metrics.unionByName(sample.select(F.col("text").alias("sample")), allowMissingColumns=True)
+        return both.agg(*[F.max(c).alias(c) for c in ("val_loss", "val_ppl", "val_adjusted_ppl", "sample")])
+
+    path = scratch_path(spark, "metrics")
+    log_epochs(spark, counts, LM_EPOCHS, evaluate, path)
     return rounded(spark.read.parquet(path))

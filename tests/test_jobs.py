@@ -134,3 +134,41 @@ def test_incremental_restart_in_the_middle_of_a_run(spark, tmp_path, monkeypatch
     assert run_incremental(spark, *args, files_per_batch=1) == 9 - done
     assert sorted(r["doc_id"] for r in scored_batches(spark, out).collect()) == [0, 1, 10, 11, 12, 20, 21, 22, 23]
     assert ledger(spark, ck).agg(F.sum("rows"), F.count("*")).first() == (9, 3)
+
+
+def test_training_log_of_shares(spark, tmp_path):
+    """Each epoch's model equals a fit of the shares so far; a run that breaks goes on where the log ends, and a logged epoch stays."""
+    from quillspark.operators import ngram as M
+    from quillspark.operators.training_log import log_epochs, logged_epochs, model_after, write_share_counts
+
+    counts, log = str(tmp_path / "counts"), str(tmp_path / "log")
+    rows = [(i, i % 3, ["the", f"w{i % 5}", "the", f"w{i % 7}"][: i % 4 + 1]) for i in range(60)]
+    d = spark.createDataFrame(rows, "doc_id long, share int, chunk array<string>")
+    write_share_counts(d.filter("share < 2"), counts)
+    write_share_counts(d.filter("share = 2").repartition(5), counts)
+    held = M.pair_counts(d.filter("doc_id < 7"), ("doc_id",), out="m")
+
+    def table_of(model):
+        return sorted(map(tuple, model.bigrams.select("ctx", "tok", "n", "ctx_n").collect()))
+
+    for e in range(3):
+        assert table_of(model_after(spark, counts, e)) == table_of(M.fit(d.filter(F.col("share") <= e)))
+    calls = []
+
+    def evaluate(model):
+        calls.append(model.total)
+        if len(calls) == 2:
+            raise RuntimeError("lost")
+        return M.pair_losses(model, held, ("doc_id",)).agg(F.sum("loss_sum").alias("loss"), F.sum("n_tokens").alias("n"))
+
+    assert logged_epochs(spark, log) == set()
+    with pytest.raises(RuntimeError, match="lost"):
+        log_epochs(spark, counts, 3, evaluate, log)
+    assert logged_epochs(spark, log) == {0}
+    log_epochs(spark, counts, 3, evaluate, log)
+    log_epochs(spark, counts, 3, evaluate, log)
+    assert len(calls) == 4 and calls[1] == calls[2]
+    got = {r["epoch"]: (r["loss"], r["n"]) for r in spark.read.parquet(log).collect()}
+    for e in range(3):
+        want = M.chunk_losses(M.fit(d.filter(F.col("share") <= e)), d.filter("doc_id < 7"), ("doc_id",)).agg(F.sum("loss_sum"), F.sum("n_tokens")).first()
+        assert abs(got[e][0] - want[0]) < 1e-9 and got[e][1] == want[1]
