@@ -2,11 +2,11 @@
 
 1. Base: the given patterns for e-mail addresses, IP addresses, card and phone numbers; a match that fails its check is dropped.
 2. Candidates: white-space tokens with a digit or an at sign, without surrounding punctuation. Their lexical contexts are
-   patterns: the two words before, and the word before with the token's shape.
+   patterns: the two words before, whatever they are (an earlier candidate counts as its shape), and the word before with the token's shape.
 3. Seeds are the base entities. Over the graph of patterns and instances (distinct values), in turn: a pattern's confidence for a kind
    is the share of its instances that are known to be of that kind; an instance is accepted for a kind when the patterns around it leave at most
    ``1 - ACCEPT`` doubt (noisy or), of patterns with at least ``SUPPORT`` known instances and ``TRUST`` confidence. Accepted instances
-   are known in the next round.
+   are known in the next round. Known instances only become more, and the rounds end when none is added.
 4. Each occurrence of an accepted instance in a trusted pattern is added as a span; base spans always stay.
 
 Instances and patterns are counted by Spark, combined before each shuffle; texts are read once. Null texts count as empty and have no
@@ -16,7 +16,7 @@ empty table gives no rows.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspark.llm.store import written
@@ -31,28 +31,81 @@ KINDS = {
 }
 NEEDS = {"email": "@", "phone": "+"}
 CANDIDATE = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9@]*+[0-9@][^\x20\x09-\x0D]*+"
-#: Code points before a candidate that its context is taken from, and the rest as described above.
-CONTEXT = 100
-ROUNDS, SUPPORT, TRUST, ACCEPT = 2, 3, 0.8, 0.9
+SUPPORT, TRUST, ACCEPT = 3, 0.8, 0.9
+#: Elements that are summed by appending.
+BLOCK = 64
+#: Longest pattern that is its own key; of a longer one its digest is.
+KEY = 64
 
 _SPAN = "array<struct<s:int,e:int,v:string>>"
 
 
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _starts(lengths: Column, levels: int = 2) -> Column:
+    """Running sums of an array of ints, without the element itself. An append copies what it appends to, so only blocks of ``BLOCK``
+    elements are summed by appending; the blocks' sums are summed in the same way."""
+    if not levels:
+        zero = F.struct(F.lit(0).alias("sum"), F.array().cast("array<int>").alias("out"))
+        return F.aggregate(lengths, zero, lambda a, x: F.struct((a["sum"] + x).alias("sum"), F.array_append(a["out"], a["sum"]).alias("out")), lambda a: a["out"])
+
+    def of_blocks(blocks: Column) -> Column:
+        sums = F.transform(blocks, lambda b: F.aggregate(b, F.lit(0), lambda a, x: a + x))
+        return _let(_starts(sums, levels - 1), lambda before: F.flatten(F.transform(F.arrays_zip(blocks.alias("b"), before.alias("f")), lambda z: F.transform(_starts(z["b"], 0), lambda x: x + z["f"]))))
+
+    last = F.floor((F.size(lengths) - 1) / BLOCK).cast("int")
+    blocks = F.transform(F.sequence(F.lit(0), last), lambda i: F.slice(lengths, i * BLOCK + 1, F.lit(BLOCK)))
+    return F.when(F.size(lengths) == 0, F.array().cast("array<int>")).otherwise(_let(blocks, of_blocks))
+
+
+def _shape(c: Column) -> Column:
+    """Letters as one ``a``, digits as one ``9``."""
+    return F.regexp_replace(F.regexp_replace(c, r"\p{L}+", "a"), "[0-9]+", "9")
+
+
+def _last_words(c: Column) -> tuple[Column, Column]:
+    """The last word of a text whose white space is blanks, and the one before it (empty: none)."""
+    whole = F.rtrim(c)
+    last = F.substring_index(whole, " ", -1)
+    return last, F.substring_index(F.rtrim(F.left(whole, F.length(whole) - F.length(last))), " ", -1)
+
+
+def _words_before(pairs: Column, i: Column) -> Column:
+    """The two words before match i of (p: text before, m: match), an earlier match as its shape: found among the match before the last
+    one, the last word after it, the last match and the last two words after that."""
+
+    def blanks(x: Column) -> Column:
+        return F.translate(x, "\t\n\r\x0b\x0c", "     ")
+
+    def at(k: int, field: str) -> Column:
+        return F.coalesce(F.when(i >= k, F.get(pairs, F.when(i >= k, i - k).otherwise(0))[field]), F.lit(""))
+
+    last, second = _last_words(blanks(at(0, "p")))
+    earlier = F.when(second != "", F.lit("")).otherwise(F.concat_ws(" ", _shape(at(2, "m")), _last_words(blanks(at(1, "p")))[0], _shape(at(1, "m"))))
+    one, two = _last_words(F.concat_ws(" ", earlier, second, last))
+    return F.trim(F.concat_ws(" ", two, one))
+
+
 def _matches(text: Column, pattern: str, context: bool = False) -> Column:
-    """All matches as (s, e, v), offsets in code points; with ``context`` also the text between the last match and this one."""
+    """All matches as (s, e, v), offsets in code points; with ``context`` also the two words before. Work is in proportion to the text."""
     pieces = F.split(text, pattern, -1).alias("p")
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("m")
-    kind = _SPAN[:-2] + ",b:string>>" if context else _SPAN
 
-    def step(a: Column, x: Column) -> Column:
-        start = a["pos"] + F.length(x["p"])
-        end = start + F.length(x["m"])
-        own = [start.alias("s"), end.alias("e"), x["m"].alias("v")] + ([F.translate(F.right(x["p"], F.lit(CONTEXT)), "\t\n\r\x0b\x0c", "     ").alias("b")] if context else [])
-        out = F.when(x["m"].isNull(), a["out"]).otherwise(F.concat(a["out"], F.array(F.struct(*own))))
-        return F.struct(F.coalesce(end, start).alias("pos"), out.alias("out"))
+    def of_pairs(pairs: Column) -> Column:
+        lengths = F.transform(pairs, lambda x: F.length(x["p"]) + F.coalesce(F.length(x["m"]), F.lit(0)))
 
-    zero = F.struct(F.lit(0).alias("pos"), F.array().cast(kind).alias("out"))
-    return F.aggregate(F.arrays_zip(pieces, found), zero, step, lambda a: a["out"])
+        def span(z: Column, i: Column) -> Column:
+            s = z["f"] + F.length(z["x"]["p"])
+            own = [s.alias("s"), (s + F.length(z["x"]["m"])).alias("e"), z["x"]["m"].alias("v")] + ([_words_before(pairs, i).alias("b")] if context else [])
+            return F.struct(*own)
+
+        spans = F.transform(F.arrays_zip(pairs.alias("x"), _starts(lengths).alias("f")), span)
+        return F.filter(spans, lambda x: x["v"].isNotNull())
+
+    return _let(F.arrays_zip(pieces, found), of_pairs)
 
 
 def _digits(v: Column) -> Column:
@@ -83,8 +136,7 @@ def _trimmed(c: Column) -> Column:
     """A candidate without surrounding punctuation, with the last two words before it."""
     lead = F.length(F.regexp_extract(c["v"], r"^[\p{Punct}&&[^+]]*", 0))
     value = F.regexp_replace(F.regexp_replace(c["v"], r"^[\p{Punct}&&[^+]]++", ""), r"\p{Punct}++$", "")
-    words = F.lower(F.regexp_extract(c["b"], r"([^ ]{1,40} +)?([^ ]{1,40}) +$", 0))
-    return F.struct((c["s"] + lead).alias("s"), (c["s"] + lead + F.length(value)).alias("e"), value.alias("v"), F.trim(F.regexp_replace(words, " +", " ")).alias("before"))
+    return F.struct((c["s"] + lead).alias("s"), (c["s"] + lead + F.length(value)).alias("e"), value.alias("v"), F.lower(c["b"]).alias("before"))
 
 
 def scanned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -106,36 +158,43 @@ def _of_kinds() -> Column:
 
 
 def occurrences(scan: DataFrame) -> DataFrame:
-    """(row, s, e, value, kind of the base span at its begin or null, pattern) of every candidate that is no later part of a base span."""
-    base = _of_kinds()
-    rows = scan.where(F.size("candidates") > 0).select("row", base.alias("base"), F.explode("candidates").alias("c"))
-    over = F.filter("base", lambda x: (x["s"] < F.col("c.e")) & (x["e"] > F.col("c.s")))
-    rows = rows.select("row", "c", over.alias("over")).where((F.size("over") == 0) | (F.try_element_at("over", F.lit(1))["s"] >= F.col("c.s"))).where(F.length("c.v") > 0)
-    hit = F.try_element_at("over", F.lit(1))
-    shape = F.regexp_replace(F.regexp_replace(F.col("c.v"), r"\p{L}+", "a"), "[0-9]+", "9")
+    """(row, s, e, value, kind of the first base span that begins in it or null, pattern) of every candidate that is no later part of a
+    base span. Candidates and base spans of a text pass by in order of their begins, in one stream; none meets all others."""
+    some = scan.where(F.size("candidates") > 0)
+    base = some.select("row", F.explode(_of_kinds()).alias("b")).select("row", "b.s", "b.e", "b.v", "b.k", F.lit(None).cast("string").alias("before"))
+    found = some.select("row", F.explode("candidates").alias("c")).select("row", "c.s", "c.e", "c.v", F.lit(None).cast("int").alias("k"), "c.before").where(F.length("v") > 0)
+    so_far = Window.partitionBy("row").orderBy("s", F.col("k").isNotNull()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    own = F.last(F.when(F.col("k").isNull(), F.struct("s", "e")), ignorenulls=True).over(so_far).alias("own")
+    past = F.max(F.when(F.col("k").isNotNull(), F.col("e"))).over(so_far).alias("past")
+    marked = base.unionAll(found).select("*", own, past).where("s < own.e")
+    first = F.min(F.when(F.col("k").isNotNull(), F.struct("k", "s", "v")))
+    of = lambda c: F.max(F.when(F.col("k").isNull(), F.col(c)))
+    rows = marked.groupBy("row", F.col("own.s").alias("start")).agg(F.struct(F.max("own.s").alias("s"), F.max("own.e").alias("e"), of("v").alias("v"), of("before").alias("before")).alias("c"), of("past").alias("past"), first.alias("hit"))
+    rows = rows.where("past is null or past <= start")
+    shape = _shape(F.col("c.v"))
     last = F.substring_index("c.before", " ", -1)
     patterns = F.array(F.when(F.contains(F.col("c.before"), F.lit(" ")), F.concat(F.lit("2:"), "c.before")), F.when(last != "", F.concat_ws(":", F.lit("1"), last, shape)))
-    out = rows.select("row", F.col("c.s").alias("s"), F.col("c.e").alias("e"), F.coalesce(hit["v"], "c.v").alias("value"), hit["k"].alias("kind"), F.explode(patterns).alias("pattern"))
-    return out.where("pattern is not null")
+    out = rows.select("row", F.col("c.s").alias("s"), F.col("c.e").alias("e"), F.coalesce("hit.v", "c.v").alias("value"), F.col("hit.k").alias("kind"), F.explode(patterns).alias("pattern"))
+    return out.where("pattern is not null").withColumn("pattern", F.when(F.length("pattern") > KEY, F.md5("pattern")).otherwise(F.col("pattern")))
 
 
-def discovered(occ: DataFrame, rounds: int = ROUNDS, support: int = SUPPORT, trust: float = TRUST, accept: float = ACCEPT) -> DataFrame:
+def discovered(occ: DataFrame, support: int = SUPPORT, trust: float = TRUST, accept: float = ACCEPT) -> DataFrame:
     """(row, kind, s, e) of the occurrences that the patterns add."""
     # a value is known by its kind wherever it stands; one that is of several kinds counts for its first
     occ = written(occ, "contexts")
     links = written(occ.groupBy("pattern", "value").agg(F.min("kind").alias("kind")), "pattern-links")
     known = links.where("kind is not null").groupBy("value").agg(F.min("kind").alias("known"))
-    trusted = None
-    for step in range(rounds):
-        known = written(known, f"known-{step}")
+    known = written(known, "known")
+    size, before = known.count(), -1
+    while size != before:
         marked = links.select("pattern", "value").join(known, "value", "left")
         kinds = marked.groupBy("pattern", "known").agg(F.count("*").alias("n"))
         total = kinds.groupBy("pattern").agg(F.sum("n").alias("all"), F.max(F.when(F.col("known").isNotNull(), F.struct("n", F.col("known").alias("kind")))).alias("top"))
-        trusted = written(total.where((F.col("top.n") >= support) & (F.col("top.n") >= trust * F.col("all"))).select("pattern", "top.kind", (F.col("top.n") / F.col("all")).alias("confidence")), f"trusted-{step}")
+        trusted = written(total.where((F.col("top.n") >= support) & (F.col("top.n") >= trust * F.col("all"))).select("pattern", "top.kind", (F.col("top.n") / F.col("all")).alias("confidence")), "trusted")
         doubt = links.select("pattern", "value").join(trusted, "pattern").groupBy("value", "kind").agg(F.sum(F.log1p(-F.least("confidence", F.lit(0.95)))).alias("doubt"))
         new = doubt.where(F.col("doubt") <= F.log(F.lit(1 - accept + 1e-9))).groupBy("value").agg(F.min(F.struct("doubt", "kind"))["kind"].alias("found"))
-        known = known.join(new, "value", "full").select("value", F.coalesce("known", "found").alias("known"))
-    known = written(known, "known")
+        known = written(known.join(new, "value", "full").select("value", F.coalesce("known", "found").alias("known")), "known")
+        size, before = known.count(), size
     found = occ.where("kind is null").drop("kind").join(trusted, "pattern").join(known, "value").where("known = kind")
     return found.select("row", "kind", "s", "e").distinct()
 
@@ -146,8 +205,8 @@ def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     base = F.transform(_of_kinds(), lambda x: F.struct(x["k"].alias("k"), x["s"].alias("s"), x["e"].alias("e")))
     added = discovered(occurrences(scan)).groupBy("row").agg(F.collect_list(F.struct(F.col("kind").alias("k"), "s", "e")).alias("added"))
     out = scan.select("row", "doc_id", *KINDS, base.alias("base")).join(added, "row", "left")
-    spans = F.array_sort(F.array_distinct(F.concat("base", F.coalesce("added", F.array().cast("array<struct<k:int,s:int,e:int>>")))))
-    return out.select("doc_id", *(F.size(k).cast("long").alias(f"n_{k}") for k in KINDS), F.array_sort("base").alias("base"), spans.alias("spans"))
+    spans = F.sort_array(F.concat("base", F.coalesce("added", F.array().cast("array<struct<k:int,s:int,e:int>>"))))  # what is added overlaps no base span
+    return out.select("doc_id", *(F.size(k).cast("long").alias(f"n_{k}") for k in KINDS), F.sort_array("base").alias("base"), spans.alias("spans"))
 
 
 def span_text(spans: str) -> Column:

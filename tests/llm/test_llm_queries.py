@@ -390,6 +390,53 @@ def test_pii_patterns_discover_unseen_identifiers(spark):
     assert not out[21]["spans"] and not out[22]["spans"] and [tuple(x) for x in out[0]["spans"]] == [tuple(x) for x in out[0]["base"]] != []
 
 
+def brute_words_before(text):
+    """Two white-space words before each candidate, an earlier candidate as its shape."""
+    out, words_so_far = [], []
+    for m in re.finditer(r"[^\x20\x09-\x0D]+", text):
+        if re.search("[0-9@]", m.group()):
+            out.append(((m.start(), m.end()), " ".join(words_so_far[-2:])))
+            words_so_far.append(re.sub("[0-9]+", "9", re.sub(r"[^\W\d_]+", "a", m.group())))
+        else:
+            words_so_far.append(m.group())
+    return out
+
+
+def test_pii_contexts_are_the_two_words_before_whatever_they_are(spark):
+    texts = ["id 4711 0815 then\t 12  a@b.c d@e.f x 7 8 9", "1", "  1 two\n\n3", "a b c 1", "x" * 200 + " y 5 6", "none", "é ü1 ö 2 3", " ".join(f"w{i % 3 or 'x'} v" for i in range(300))]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, text string")
+    for r in df.select("i", "text", pii._matches(F.col("text"), pii.CANDIDATE, context=True).alias("m")).collect():
+        assert [((x["s"], x["e"]), x["b"]) for x in r["m"]] == brute_words_before(r["text"])
+
+
+def test_pii_rounds_go_on_to_the_end_of_a_chain(spark):
+    """Ten of twelve known values are too few for a pattern, eleven are enough: each value is found a round after the one before."""
+    chain = [f"v{'.' * k}{k}(at)h" for k in range(6)]
+    rows = [(i, f"mail to u{i}@m.example.com") for i in range(12)] + [(100, f"mail to {chain[0]}")]
+    for k in range(1, 6):
+        rows += [(1000 * k + i, f"step{'-' * k} to u{i}@m.example.com") for i in range(10)]
+        rows += [(1000 * k + 100, f"step{'-' * k} to {chain[k - 1]}"), (1000 * k + 101, f"step{'-' * k} to {chain[k]}")]
+    rows += [(901, "years 1999 and 2001"), (902, None), (902, None)]
+    rows += [(910 + i, f"team: a{i}@m.example.com b{i}@m.example.com c{i}@m.example.com") for i in range(12)] + [(930, "team: a99@m.example.com b99@m.example.com zz9#m.example.org")]
+    found = {}
+    for r in pii.personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        found[r["doc_id"]] = [(x["s"], x["e"]) for x in r["spans"] if x not in r["base"]]
+    text = dict(rows)
+    for k in range(6):
+        for doc in [100] if not k else [1000 * k + 100, 1000 * k + 101]:
+            assert found[doc] == [(text[doc].index("to ") + 3, len(text[doc]))], doc
+    assert found[901] == found[902] == found[0] == []
+    assert found[930] == [(text[930].index("zz9"), len(text[930]))]  # the context of a list's later entry is the shapes of the ones before
+
+
+def test_pii_a_text_of_many_candidates_takes_time_in_proportion(spark):
+    n = 40_000
+    text = " ".join(f"{i % 256}.1.2.3 w{i}" for i in range(n // 2))
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    r = pii.personal_data(df).first()
+    assert r["n_ip"] == n // 2 and [tuple(x) for x in r["base"]][-3:] == plain_spans(text)[-3:]
+
+
 @pytest.mark.parametrize("op", [exact_dedup.exact_dedup, ngram_join.jaccard_components, substring_dedup.without_repeats, line_dedup.fuzzy_line_dedup, language_id.language_scores, pii.personal_data, exact_dedup.keep_distinct, ngram_join.keep_one_of_each])
 def test_empty_tables(spark, odd, op):
     assert op(odd.limit(0)).count() == 0
