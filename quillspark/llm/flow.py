@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import heapq
+from collections import defaultdict
 
 
-def route(capacity: list[int], quota: list[int], members: list[list[int]], copies: int) -> list[list[list[int]]]:
-    """Tokens from pattern p to source s for each copy: ``out[p][s][c]``.
+def route(capacity: list[int], quota: list[int], members: list[list[int]], copies: int) -> list[dict[int, list[int]]]:
+    """Tokens from pattern p to source s for each copy: ``out[p][s][c]``, 0 for sources that are not in ``out[p]``.
 
     A pattern holds ``capacity[p]`` tokens and can give each of them ``copies`` times; copy c costs c a token (convex: a
     first use is free, each repetition dearer). Source s takes up to ``quota[s]`` from the patterns in which it is. The flow
@@ -52,7 +53,7 @@ def route(capacity: list[int], quota: list[int], members: list[list[int]], copie
         for e in path:
             room[e] -= push
             room[e ^ 1] += push
-    out = [[[0] * copies for _ in range(m)] for _ in range(n)]
+    out = [defaultdict(lambda: [0] * copies) for _ in range(n)]
     for p in range(n):  # fill the copies in order
         c, left = 0, capacity[p]
         for s in sorted(set(members[p])):

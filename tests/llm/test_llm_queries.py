@@ -223,6 +223,29 @@ def test_mixing_odd_rows(spark, odd):
     assert overlap.where("taken > 2 * size").count() == 0
 
 
+def test_mixing_of_any_number_of_sources(spark, monkeypatch):
+    """More sources than the bound of the flow: targets equal the plain levels, each source gives its target; overlaps still go to the flow."""
+    monkeypatch.setattr(mixing, "MAX_PATTERNS", 3)
+    rows = [(i if i % 9 else None, f"s{i % 40:02d}" if i % 41 else None, i * i % 23) for i in range(400)]
+    d = spark.createDataFrame(rows, "doc_id long, source string, n long")
+    held = Counter()
+    for _, s, n in rows:
+        held[s] += n
+    order = sorted(held, key=lambda s: (s is None, s or ""))
+    want = dict(zip(order, mixing.level_targets([held[s] for s in order], [mixing.WEIGHTS[i % 3] for i in range(len(order))])))
+    out = mixing.mix(d, F.array("source"), F.col("n"), mixing.query_quotas()).collect()
+    assert len(out) == 400 and all(0 <= r["taken"] <= 2 * r["size"] for r in out)
+    for s in order:
+        own = [r for r in out if r["members"] == [s]]
+        assert own[0]["target"] == want[s] and own[0]["source_size"] == held[s] and sum(r["taken"] for r in own) == round(want[s])
+    both = F.when(F.col("source") == "s01", F.array(F.lit("s01"), F.lit("s02"))).otherwise(F.array("source"))
+    mixed = mixing.mix(d, both, F.col("n"), mixing.query_quotas()).collect()
+    assert len(mixed) == 400 and all(0 <= r["taken"] <= 2 * r["size"] for r in mixed)
+    several = F.when(F.col("doc_id") < 200, F.array(F.col("source"), F.lit("t"))).otherwise(F.array("source"))
+    with pytest.raises(ValueError, match="overlap"):
+        mixing.mix(d, several, F.col("n"), mixing.query_quotas())
+
+
 def test_quality_scores(spark, odd, labels):
     out = quality.quality_scores(odd, labels).collect()
     assert len(out) == len(odd_rows()) and all(0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.7) for r in out)
