@@ -453,7 +453,7 @@ def test_pii_rounds_go_on_to_the_end_of_a_chain(spark):
 
 
 def test_pii_a_text_of_many_candidates_takes_time_in_proportion(spark):
-    n = 40_000
+    n = 100_000
     text = " ".join(f"{i % 256}.1.2.3 w{i}" for i in range(n // 2))
     df = spark.createDataFrame([(1, text)], "doc_id long, text string")
     r = pii.personal_data(df).first()
