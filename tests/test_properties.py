@@ -364,3 +364,18 @@ def test_datasets_by_name(spark):
         dataset(spark, sf, "movies")
     with pytest.raises(ValueError, match="unknown split"):
         dataset(spark, sf, "essays", "dev")
+
+
+@pytest.mark.parametrize("do_sample", [True, False])
+def test_samples_walk_over_the_heavy_rows_and_join_the_others(spark, monkeypatch, do_sample):
+    """The head takes the heaviest rows up to its bytes, the rest is joined; a repeated id keeps a row of its own."""
+    prompts, table = gen_inputs(spark)
+    prompts = prompts.unionAll(prompts.limit(2))
+    monkeypatch.setattr(G, "BROADCAST_CELL_BYTES", 900)
+    monkeypatch.setattr(G, "STEPS_PER_TABLE", 2)
+    head, rest = G._split(G.with_next(G.cumulative(table)))
+    assert 0 < head.count() <= 900 // 64 and rest.count() > 0
+    assert head.agg(F.min("mass")).first()[0] > rest.agg(F.max("mass")).first()[0]
+    rows = table.collect()
+    got = sorted(tuple(r) for r in G.generate(prompts, table, "doc_id", sample_len=6, do_sample=do_sample).collect())
+    assert got == sorted((str(r["doc_id"]), 0, replayed(rows, r["prompt_tokens"], 0, r["doc_id"], 6, do_sample=do_sample), 42) for r in prompts.collect())
