@@ -379,3 +379,16 @@ def test_samples_walk_over_the_heavy_rows_and_join_the_others(spark, monkeypatch
     rows = table.collect()
     got = sorted(tuple(r) for r in G.generate(prompts, table, "doc_id", sample_len=6, do_sample=do_sample).collect())
     assert got == sorted((str(r["doc_id"]), 0, replayed(rows, r["prompt_tokens"], 0, r["doc_id"], 6, do_sample=do_sample), 42) for r in prompts.collect())
+
+
+@pytest.mark.parametrize("keys", [(), ("share",), ("share", "doc")])
+def test_pair_counts_of_small_slices_equal_exploded_pairs(spark, monkeypatch, keys):
+    """Tokens are counted inside the tasks, slice by slice; empty and null chunks, null tokens and keys, repeated rows."""
+    monkeypatch.setattr(M, "COUNT_TOKENS", 5)
+    rows = [(0, 1, ["a", "b", "a", "b", "a"]), (0, 1, ["a", "b"]), (None, 2, ["a", None, "a"]), (1, 3, []), (1, 4, None), (1, None, ["x"] * 9), (0, 1, ["<s>", "a"])]
+    df = spark.createDataFrame(rows, "share int, doc long, chunk array<string>").coalesce(1)
+    got = M.pair_counts(df, keys, out="m")
+    want = M.pairs(df, keep=keys).groupBy(*keys, "ctx", "tok").agg(F.count(F.lit(1)).alias("m"))
+    assert got.schema == want.schema or got.columns == want.columns
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    assert "Generate" not in got._jdf.queryExecution().toString()
