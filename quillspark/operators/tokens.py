@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from quillspark.functions.sequence import chunks
 from quillspark.functions.text import nonblank, py_strip, space_pieces
 from quillspark.operators.indexing import with_row_index
+from quillspark.operators.ngram import COUNT_TOKENS, slices
 
 # Reserved vocabulary entries and their ids.
 PAD, UNK, CLS, SEP = "[PAD]", "[UNK]", "[CLS]", "[SEP]"
@@ -20,16 +21,28 @@ HEAD_ROWS, HEAD_TOKEN_BYTES = 200_000, 64
 TAIL_SALT = 16
 
 
+def _count_tokens(batches):
+    """Tokens counted within each slice of rows."""
+    import pyarrow as pa
+
+    for b in batches:
+        for i, j in slices(b.column(0), COUNT_TOKENS):
+            counted = b.column(0).slice(i, j - i).flatten().value_counts()
+            yield pa.RecordBatch.from_arrays([counted.field("values").cast(pa.string()), counted.field("counts").cast(pa.int64())], ["token", "n"])
+    pa.default_memory_pool().release_unused()
+
+
 def build_vocab(df: DataFrame, tokens_col: str = "tokens", min_count: int = 1) -> DataFrame:
     """(token, id, count); ids by descending count then token, after the reserved ids.
 
-    Counting is a map-side combined aggregation; the dense ids come from the range-partitioned
+    Counting starts inside the tasks, on slices of rows, and ends in a map-side combined aggregation; the dense ids come from the range-partitioned
     index helper, so no single task sorts the whole vocabulary.
     """
     counts = (
-        df.select(F.explode(tokens_col).alias("token"))
+        df.select(F.col(tokens_col).cast("array<string>").alias("tokens"))
+        .mapInArrow(_count_tokens, "token string, n long")
         .groupBy("token")
-        .agg(F.count(F.lit(1)).alias("count"))
+        .agg(F.sum("n").alias("count"))
         .filter(F.col("count") >= min_count)
         .withColumn("neg_count", -F.col("count"))
     )
@@ -64,7 +77,7 @@ def lookup_ids(df: DataFrame, vocab: DataFrame, key: str, tokens_col: str = "tok
         words, ids = bound.value
         words = words.combine_chunks() if isinstance(words, pa.ChunkedArray) else words
         ids = ids.combine_chunks() if isinstance(ids, pa.ChunkedArray) else ids
-        for b in batches:
+        for b in (x.slice(i, j - i) for x in batches for i, j in slices(x.column(1), COUNT_TOKENS)):
             lists = b.column(1)
             sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy()
             flat = lists.flatten().cast(words.type)
@@ -76,6 +89,8 @@ def lookup_ids(df: DataFrame, vocab: DataFrame, key: str, tokens_col: str = "tok
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), pa.ListArray.from_arrays(pa.array(ends), found), pa.ListArray.from_arrays(pa.array(per), pa.array((miss - ends[own]).astype(np.int32))),
                  pa.ListArray.from_arrays(pa.array(per), flat.take(pa.array(miss)))], [key, "_ids", "_pos", "_tok"])
+            del lists, flat, found, own, miss, ends, per
+            pa.default_memory_pool().release_unused()
 
     mapped = df.select(key, tokens_col).mapInArrow(run, f"`{key}` {kind}, _ids array<int>, _pos array<int>, _tok array<string>")
     known = F.transform("_ids", lambda x: F.when(x < 0, F.lit(UNK_ID)).otherwise(x))

@@ -392,3 +392,15 @@ def test_pair_counts_of_small_slices_equal_exploded_pairs(spark, monkeypatch, ke
     assert got.schema == want.schema or got.columns == want.columns
     assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
     assert "Generate" not in got._jdf.queryExecution().toString()
+
+
+def test_lookup_works_on_slices_of_tokens(spark, monkeypatch):
+    """A batch is cut by tokens, so that a worker's memory does not grow with the rows of a batch."""
+    monkeypatch.setattr(TK, "COUNT_TOKENS", 4)
+    lists = [["b", "a"], None, [], ["a"] * 9, ["z", "b"], ["a"]]
+    df = spark.createDataFrame(list(enumerate(lists)), "doc_id long, tokens array<string>").coalesce(1)
+    vocab = TK.build_vocab(df, min_count=1)
+    assert {r["token"]: r["count"] for r in vocab.collect() if r["count"]} == {"a": 11, "b": 2, "z": 1}
+    ids = {r["token"]: r["id"] for r in vocab.collect()}
+    got = {r["doc_id"]: r["ids"] for r in TK.lookup_ids(df, vocab, "doc_id").collect()}
+    assert got == {i: [ids[t] for t in x or []] for i, x in enumerate(lists)}
