@@ -56,6 +56,10 @@ class CountModel:
 
         return F.log(share("real", self.tokens_real)) - F.log(share("fake", self.tokens_fake))
 
+    def unseen(self, smoothing: float) -> F.Column:
+        share = lambda total: F.lit(0 + smoothing) / F.lit(total + smoothing * (self.vocab + 1))
+        return F.log(share(self.tokens_real)) - F.log(share(self.tokens_fake))
+
     @property
     def prior(self) -> float:
         return float(np.log((self.n_real + 1) / (self.n_fake + 1)))
@@ -73,10 +77,11 @@ def fit_counts(train: DataFrame, tokens_col: str = "tokens", label_col: str = "l
 def count_logits(model: CountModel, df: DataFrame, grid: Sequence[float], keys: Sequence[str] = ("id", "label"), tokens_col: str = "tokens") -> DataFrame:
     """(keys..., l_0, l_1, ...): the logit of every row for every smoothing of the grid. One join on the token; ``keys`` name a row."""
     held = df.select(*keys, F.explode_outer(F.array_distinct(tokens_col)).alias("token"))
-    j = held.join(model.counts, "token", "left")
-    zero = F.lit(0.0)
+    # summands belong to the counts, of which there are fewer; a token that was never seen has one summand
+    j = held.join(model.counts.select("token", *[model.logit(a).alias(f"_l{i}") for i, a in enumerate(grid)]), "token", "left")
+    own = lambda i, a: F.coalesce(f"_l{i}", model.unseen(a))
     return j.groupBy(*keys).agg(*[
-        (F.lit(model.prior) + F.sum(F.when(F.col("token").isNotNull(), model.logit(a)).otherwise(zero))).alias(f"l_{i}")
+        (F.lit(model.prior) + F.sum(F.when(F.col("token").isNotNull(), own(i, a)).otherwise(F.lit(0.0)))).alias(f"l_{i}")
         for i, a in enumerate(grid)])
 
 

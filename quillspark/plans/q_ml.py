@@ -19,8 +19,11 @@ SPLIT = {"test_below": "3", "valid_below": "6"}
 
 
 def detector_corpus(spark, sf_dir):
-    rows = labelled(spark, sf_dir).withColumn("tokens", tokens("text"))
-    return DT.hash_split(rows, **SPLIT)
+    # read for training, validation and test: hashed and tokenized once, each split in a folder of its own
+    rows = DT.hash_split(labelled(spark, sf_dir), **SPLIT).select("id", "label", F.array_distinct(tokens("text")).alias("tokens"), "split")
+    path = scratch_path(spark, "detector-corpus")
+    rows.write.partitionBy("split").parquet(path)
+    return spark.read.schema(rows.schema).parquet(path)
 
 
 def fitted(spark, sf_dir):
