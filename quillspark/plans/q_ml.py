@@ -63,8 +63,8 @@ def q_d9_user(spark, sf_dir):
 def q_d11(spark, sf_dir):
     base = scratch_path(spark, "stream")
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    # files arrive in three drops; each is picked up by its own micro-batch
+    # files arrive in three drops; each is picked up by its own micro-batch, however many files it has
     for i in range(STREAM_FILES):
         docs.filter(F.pmod(F.col("doc_id"), F.lit(STREAM_FILES)) == i).write.parquet(f"{base}/in/drop={i}")
-    run_incremental(spark, f"{base}/in/*", "doc_id long, text string", f"{base}/out", f"{base}/ckpt", files_per_batch=1)
+        run_incremental(spark, f"{base}/in/*", "doc_id long, text string", f"{base}/out", f"{base}/ckpt")
     return rounded(scored_batches(spark, f"{base}/out"))

@@ -172,3 +172,26 @@ def test_training_log_of_shares(spark, tmp_path):
     for e in range(3):
         want = M.chunk_losses(M.fit(d.filter(F.col("share") <= e)), d.filter("doc_id < 7"), ("doc_id",)).agg(F.sum("loss_sum"), F.sum("n_tokens")).first()
         assert abs(got[e][0] - want[0]) < 1e-9 and got[e][1] == want[1]
+
+
+def test_every_drop_is_one_batch_however_many_files(spark, tmp_path, monkeypatch):
+    from quillspark.plans import q_ml
+    from quillspark.streaming.incremental import ledger
+
+    spark.range(40).selectExpr("id as doc_id", "concat('a b ', id) as text").repartition(5).write.parquet(str(tmp_path / "documents.parquet"))
+    monkeypatch.setattr(q_ml, "scratch_path", lambda spark, name: str(tmp_path / name))
+    assert q_ml.q_d11(spark, str(tmp_path)).count() == 40
+    rows = ledger(spark, str(tmp_path / "stream" / "ckpt")).collect()
+    assert sorted((r["batch_id"], r["rows"]) for r in rows) == [(0, 14), (1, 13), (2, 13)]
+
+
+def test_detector_corpus_is_hashed_and_tokenized_once(spark, tmp_path, monkeypatch):
+    """The splits are read from what was written, a folder each; no text is tokenized again."""
+    from quillspark.plans import q_ml
+
+    rows = spark.createDataFrame([(str(i), i % 2, f"w{i % 7} common w{i % 7}") for i in range(60)] + [("n", 1, None)], "id string, label int, text string")
+    monkeypatch.setattr(q_ml, "labelled", lambda spark, sf_dir: rows)
+    c, model, metrics = q_ml.fitted(spark, "")
+    plan = c.filter("split = 'test'")._jdf.queryExecution().toString()
+    assert "regexp_extract_all" not in plan and "PartitionFilters: [isnotnull(split" in plan
+    assert c.count() == 61 and metrics.count() == 3
