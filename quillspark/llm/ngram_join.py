@@ -234,7 +234,7 @@ def keep_one_of_each(docs: DataFrame, n: int = 5, num: int = 4, den: int = 5, id
     not by their ids, so rows with null or repeated ids take part. Documents without words stay."""
     row = unused("__row", docs.columns)
     # numbers are taken once and read back: another execution could number the rows in another order
-    numbered = written(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    numbered = written(docs.withColumn(row, F.monotonically_increasing_id()), "numbered", codec="zstd")
     rows, parts, _ = jaccard_links(numbered, n, num, den, row, text_col)
     ids = numbered.select(F.col(row).alias("row"), F.col(id_col).cast("long").alias("id"))
     labelled = rows.join(parts.select(F.col("id").alias("class"), "component"), "class", "left").select(F.col("doc_id").alias("row"), F.coalesce("component", "class").alias("c"))

@@ -503,3 +503,13 @@ def test_stages_keep_columns_with_inner_names(spark):
     bench = spark.createDataFrame([("a", "another text")], "item_id string, text string")
     clean = decontaminate.drop_contaminated(df, bench)
     assert clean.columns == df.columns and sorted(map(tuple, clean.collect())) == rows[:40]
+
+
+def test_whole_texts_are_kept_compact(spark, monkeypatch):
+    """The numbered copy of the documents is the largest table that near-duplicate removal writes."""
+    codecs = {}
+    whole = store.written
+    monkeypatch.setattr(ngram_join, "written", lambda df, name, **kw: codecs.update({name: kw.get("codec")}) or whole(df, name, **kw))
+    docs = spark.createDataFrame([(i, "one two three four five six seven " + "eight" * (i % 2)) for i in range(6)], "doc_id long, text string")
+    assert ngram_join.keep_one_of_each(docs).count() == 2
+    assert codecs["numbered"] == "zstd" and codecs["prefixes"] is None
