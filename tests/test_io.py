@@ -35,6 +35,26 @@ def test_shard_layout_and_partition_pruning(spark, tmp_path):
     assert valid.count() == R.read_generated(spark, str(root), "val", prefix=True).count()
 
 
+def test_small_shards_share_folders(spark, tmp_path):
+    """The files do not follow the shards, every record keeps its shard, and a file has its records in order."""
+    rows = [(f"p{i}", f"line\n{i}", ("gpt2_p96", "gpt2_k40", None)[i % 3], ("valid", "train")[i % 2], i) for i in range(-7, 12_000, 7)]
+    rows += [("none", None, "gpt2_k40", "train", None)] + rows[-3:]
+    df = spark.createDataFrame(rows, "id string, text string, gen_method string, split string, row_idx long").repartition(2)
+    want = sorted(((i, t, g, s, None if k is None else k // 10) for i, t, g, s, k in rows), key=str)
+    root, whole = tmp_path / "small", tmp_path / "whole"
+    K.write_generated_shards(df, str(root), shard_size=10)
+    files = list(root.glob("gen_method=*/split=*/shard=*/*.json"))
+    assert {p.parent.name for p in files} == {"shard=-1000", "shard=0", "shard=1000", "shard=__HIVE_DEFAULT_PARTITION__"} and len(files) <= 2 * 19
+    for p in files:
+        at = [int(json.loads(x)["id"][1:]) for x in p.read_text().splitlines() if '"none"' not in x]
+        assert at == sorted(at)
+    assert sorted((tuple(r) for r in R.read_generated(spark, str(root)).collect()), key=str) == want
+    # shards of the full size have a folder each
+    K.write_generated_shards(df, str(whole))
+    assert {p.name for p in whole.glob("gen_method=*/split=*/shard=*")} == {"shard=-1", "shard=0", "shard=1", "shard=__HIVE_DEFAULT_PARTITION__"}
+    assert sorted((r["id"], r["shard"]) for r in R.read_generated(spark, str(whole)).collect() if r["shard"] is not None) == sorted((r[0], r[4] // K.SHARD_SIZE) for r in rows if r[4] is not None)
+
+
 def test_news_reader_maps_valid_to_val(spark, tmp_path):
     p = tmp_path / "news.jsonl"
     p.write_text("\n".join(json.dumps({"url": f"u{i}", "split": s, "article": "a", "label": "human"})
