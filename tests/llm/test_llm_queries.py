@@ -384,6 +384,53 @@ def test_line_dedup_finds_what_edit_similarity_finds(spark, many_partitions):
     assert found >= 0.97
 
 
+def test_line_dedup_writes_less_than_it_reads(spark, tmp_path):
+    """Scratch tables of the candidate search, against the size of the texts (before: seven times that)."""
+    from pathlib import Path
+
+    docs = spark.read.parquet(f"{SF[:-5]}0.01/documents.parquet").select("doc_id", "text")
+    folder = Path(store.scratch_path(spark, "x").removeprefix("file:")).parent
+    size = lambda: sum(f.stat().st_size for f in folder.rglob("*.parquet"))
+    before = size()
+    assert line_dedup.fuzzy_line_dedup(docs).count() == docs.count()
+    assert size() - before < docs.agg(F.sum(F.octet_length("text"))).first()[0] / 2
+
+
+def test_line_dedup_with_many_lines_that_share_keys(spark):
+    """More lines with one beginning than are compared in a bucket; only the copies with two edits go."""
+    import random
+
+    rng = random.Random(4)
+    head = "the very same words begin each of these many lines and go on until here "
+    tails = ["".join(rng.choices("abcdefghijklmnopqrstuvw", k=60)) for _ in range(700)]
+    copies = [head + t[:10] + "x" + t[11:40] + "y" + t[41:] for t in tails[::35]]
+    rows = list(enumerate([head + t for t in tails] + copies))
+    out = {r["doc_id"]: r["n_removed"] for r in line_dedup.fuzzy_line_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {k for k, n in out.items() if n} == set(range(700, 720))
+
+
+def test_bounded_edit_distance():
+    import random
+
+    import numpy as np
+    import pyarrow as pa
+
+    rng = random.Random(1)
+    for letters in ("ab", "abcdefgh \u00e9", "".join(map(chr, range(0x4E00, 0x4F90))) + "ab\U0001f600"):
+        xs, ys = [], []
+        for _ in range(400):
+            x = rng.choices(letters, k=rng.randrange(50))
+            y = list(x)
+            for _ in range(rng.randrange(14)):
+                if y:
+                    at = rng.randrange(len(y))
+                    y[at : at + 1] = rng.choice([[], [rng.choice(letters)], [y[at], rng.choice(letters)]])
+            xs.append("".join(x))
+            ys.append("".join(y))
+        most = np.array([rng.randrange(10) for _ in xs])
+        assert line_dedup.within(pa.array(xs), pa.array(ys), most).tolist() == [edit_distance(x, y) <= m for x, y, m in zip(xs, ys, most)]
+
+
 PLAIN = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
 
 
