@@ -20,7 +20,7 @@ LOREM = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu x
 @pytest.fixture(scope="module")
 def con():
     c = duckdb.connect()
-    for t in ("documents", "labels", "benchmark", "conversations"):
+    for t in ("documents", "labels", "benchmark", "conversations", "embeddings"):
         c.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF}/{t}.parquet')")
     return c
 
