@@ -3,6 +3,8 @@
 from fractions import Fraction
 from math import comb
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -13,6 +15,7 @@ from quillspark.operators import cohorts as A
 from quillspark.operators import generate as G
 from quillspark.operators import indexing as IX
 from quillspark.operators import ngram as M
+from quillspark.operators import packed as P
 from quillspark.operators import sampling as L
 from quillspark.operators import tokens as TK
 
@@ -404,3 +407,47 @@ def test_lookup_works_on_slices_of_tokens(spark, monkeypatch):
     ids = {r["token"]: r["id"] for r in vocab.collect()}
     got = {r["doc_id"]: r["ids"] for r in TK.lookup_ids(df, vocab, "doc_id").collect()}
     assert got == {i: [ids[t] for t in x or []] for i, x in enumerate(lists)}
+
+
+def packed_corpus(spark):
+    texts = ["the cat sat on the mat . the dog sat on the log .", "a cat and a dog . the cat ran . the the", "the the the end", "", None, "été the cat . a mat ran", "the dog . the dog . a log"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    return df.select("doc_id", F.posexplode(chunks(tokens("text"), 5)).alias("chunk_idx", "chunk"))
+
+
+@pytest.mark.parametrize("params", [M.DecodeParams(0.8, 1.2, 3, 0.96), M.DecodeParams(top_k=2, top_p=0.7)])
+def test_packed_filter_equals_the_filter_of_rows(spark, monkeypatch, params):
+    """M3 and the ranges of M4 without a window or a join by token; also when a task passes its pairs on early and buckets are few."""
+    c = packed_corpus(spark)
+    want = M.decode_filter(M.fit(c), params)
+    ranges = {(r["ctx"], r["tok"]): (r["lo"], r["hi"]) for r in G.cumulative(want).where("hi > lo").collect()}
+    want = {(r["ctx"], r["tok"]): (r["prob"], r["mass"]) for r in want.collect()}
+    for held, buckets, words in ((1 << 21, 256, 250_000), (3, 2, 2)):
+        monkeypatch.setattr(P, "HELD_PAIRS", held)
+        monkeypatch.setattr(P, "BUCKETS", buckets)
+        monkeypatch.setattr(P, "TOKEN_WORDS", words)
+        monkeypatch.setattr(M, "COUNT_TOKENS", held)
+        table = M.decode_filter(P.fit(c.repartition(3)), params)
+        rows = {(r["ctx"], r["tok"]): (r["prob"], r["mass"]) for r in table.table().collect()}
+        assert rows.keys() == want.keys() and all(rows[k][0] == pytest.approx(want[k][0], rel=1e-9) and rows[k][1] == pytest.approx(want[k][1], rel=1e-9) for k in rows)
+        assert "Window" not in table.table()._jdf.queryExecution().toString()
+        got = {}
+        for r in table.ranges().collect():
+            ctx, size, tok, at, lo, hi, _ = G._unpacked(bytes(r["blob"]))
+            own = [w for w, k in zip(ctx.to_pylist(), size.tolist()) for _ in range(k)]
+            got.update({(w, t): (a, b) for w, t, a, b in zip(own, tok.take(pa.array(at)).to_pylist(), lo.tolist(), hi.tolist())})
+        assert got.keys() == ranges.keys() and all(abs(got[k][i] - ranges[k][i]) <= 4 for k in got for i in (0, 1))
+
+
+def test_packed_pairs_take_a_few_bytes(spark):
+    """What crosses the shuffle and stays on disk; as rows a pair took about twenty bytes."""
+    c = spark.range(2000).select(F.expr("transform(sequence(1, 250), i -> concat('word', cast(floor(pow(pmod(xxhash64(id, i), 1000) / 1000.0, 4) * 3000) as string)))").alias("chunk"))
+    pairs = P.written(P.counted(c), "pairs")
+    n, size = pairs.agg(F.sum("pairs"), F.sum(F.octet_length("blob"))).first()
+    assert n == M.pair_counts(c).count() and size < 8 * n
+
+
+@pytest.mark.parametrize("whole", [7, 12345, (1 << 40) + 17, (1 << 61) + 3])
+def test_scaled_is_exact(whole):
+    part = np.array([0, 1, 2, whole // 3, whole // 2, whole - 1, whole], np.int64)
+    assert P.scaled(part, np.full(len(part), whole)).tolist() == [-(-int(x) * 2**32 // whole) for x in part]
