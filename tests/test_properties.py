@@ -439,6 +439,23 @@ def test_packed_filter_equals_the_filter_of_rows(spark, monkeypatch, params):
         assert got.keys() == ranges.keys() and all(abs(got[k][i] - ranges[k][i]) <= 4 for k in got for i in (0, 1))
 
 
+@pytest.mark.parametrize("do_sample", [True, False])
+def test_packed_generation_equals_the_join(spark, monkeypatch, do_sample):
+    """Samples by the head alone, by rounds alone and by both; repeated ids, unknown and empty prompts, a stop token."""
+    c = packed_corpus(spark)
+    rows, table = M.decode_filter(M.fit(c), M.DecodeParams(top_p=0.96)), M.decode_filter(P.fit(c), M.DecodeParams(top_p=0.96))
+    prompts = spark.createDataFrame([(i, [w]) for i, w in enumerate(["the", "a", "cat", "dog", "zzz", "the"])] + [(9, []), (9, []), (7, ["a"] * 7), (None, None)], "doc_id long, prompt_tokens array<string>")
+
+    def run(t, **more):
+        return sorted(map(str, G.generate(prompts, t, "doc_id", num_return_sequences=2, sample_len=7, do_sample=do_sample, **more).collect()))
+
+    want, stopped = run(rows), run(rows, stop=".")
+    assert want != stopped
+    for head in (64 << 20, 0, 24 * 20):
+        monkeypatch.setattr(G, "BROADCAST_CELL_BYTES", head)
+        assert run(table) == want and run(table, stop=".") == stopped
+
+
 def test_packed_pairs_take_a_few_bytes(spark):
     """What crosses the shuffle and stays on disk; as rows a pair took about twenty bytes."""
     c = spark.range(2000).select(F.expr("transform(sequence(1, 250), i -> concat('word', cast(floor(pow(pmod(xxhash64(id, i), 1000) / 1000.0, 4) * 3000) as string)))").alias("chunk"))
