@@ -51,6 +51,11 @@ def chunks(toks, seq_len: int) -> Column:
     return F.when(n < seq_len, F.array(t)).otherwise(full)
 
 
+def chunk_count(n, seq_len: int) -> Column:
+    """Chunks of a list of ``n`` items."""
+    return F.when(_c(n) < seq_len, F.lit(1)).otherwise((_c(n) / F.lit(seq_len)).cast("int"))
+
+
 def head_chunk(toks, seq_len: int) -> Column:
     """Fast mode keeps only the first ``seq_len`` tokens of a line."""
     return F.slice(_c(toks), 1, seq_len)

@@ -10,6 +10,8 @@ from quillspark.functions.sequence import chunks
 from quillspark.functions.text import nonblank, py_strip, space_pieces
 from quillspark.operators.indexing import with_row_index
 from quillspark.operators.ngram import COUNT_TOKENS, slices
+from quillspark.operators.packed import _words, pack, unpack
+from quillspark.session import scratch_path
 
 # Reserved vocabulary entries and their ids.
 PAD, UNK, CLS, SEP = "[PAD]", "[UNK]", "[CLS]", "[SEP]"
@@ -32,15 +34,63 @@ def _count_tokens(batches):
     pa.default_memory_pool().release_unused()
 
 
+def _pack_tokens(batches):
+    """(keys, blob) of each slice of rows (key, tokens): its words once, sizes (0: null list) and tokens as numbers (0: null)."""
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    for b in batches:
+        for i, j in slices(b.column(1), COUNT_TOKENS):
+            lists = b.column(1).slice(i, j - i)
+            sizes = pc.fill_null(pc.list_value_length(lists), -1).to_numpy(zero_copy_only=False).astype(np.int64) + 1
+            coded = lists.flatten().cast(pa.string()).dictionary_encode()
+            codes = pc.fill_null(coded.indices, -1).to_numpy(zero_copy_only=False).astype(np.int64) + 1
+            keys = pa.ListArray.from_arrays(pa.array([0, j - i], pa.int32()), b.column(0).slice(i, j - i))
+            yield pa.RecordBatch.from_arrays([keys, pa.array([pack(coded.dictionary, sizes, codes)], pa.binary())], ["keys", "blob"])
+    pa.default_memory_pool().release_unused()
+
+
+def _unpacked(batches):
+    """The rows (key, tokens) of packed slices, a batch for each."""
+    import numpy as np
+    import pyarrow as pa
+
+    for b in batches:
+        for k in range(b.num_rows):
+            a, c, sizes, codes = unpack(b.column(1)[k].as_py())
+            words = pa.concat_arrays([pa.nulls(1, pa.string()), _words(a, c)])
+            own = b.column(0)[k].values
+            ends = np.concatenate([[0], np.cumsum(np.maximum(sizes.astype(np.int64) - 1, 0))]).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(ends), words.take(pa.array(codes.astype(np.int64))), mask=pa.array(sizes == 0))
+            yield pa.RecordBatch.from_arrays([own, lists], ["key", "tokens"])
+
+
+def packed_tokens(df: DataFrame, key: str, tokens_col: str = "tokens") -> DataFrame:
+    """Tokens of a corpus for ``build_vocab`` and ``lookup_sized``: written once, about two bytes a token."""
+    kind = df.schema[key].dataType.simpleString()
+    rows = df.select(key, F.col(tokens_col).cast("array<string>").alias("tokens")).mapInArrow(_pack_tokens, f"keys array<{kind}>, blob binary")
+    path = scratch_path(df.sparkSession, "tokens")
+    rows.write.option("compression", "uncompressed").parquet(path)
+    return df.sparkSession.read.schema(rows.schema).parquet(path)
+
+
+def _count_packed(batches):
+    import pyarrow as pa
+
+    return _count_tokens(pa.RecordBatch.from_arrays([b.column(1)], ["tokens"]) for b in _unpacked(batches))
+
+
 def build_vocab(df: DataFrame, tokens_col: str = "tokens", min_count: int = 1) -> DataFrame:
     """(token, id, count); ids by descending count then token, after the reserved ids.
 
     Counting starts inside the tasks, on slices of rows, and ends in a map-side combined aggregation; the dense ids come from the range-partitioned
-    index helper, so no single task sorts the whole vocabulary.
+    index helper, so no single task sorts the whole vocabulary. ``df`` may be ``packed_tokens``.
     """
+    packed = df.columns == ["keys", "blob"]
+    rows = df if packed else df.select(F.col(tokens_col).cast("array<string>").alias("tokens"))
     counts = (
-        df.select(F.col(tokens_col).cast("array<string>").alias("tokens"))
-        .mapInArrow(_count_tokens, "token string, n long")
+        rows.mapInArrow(_count_packed if packed else _count_tokens, "token string, n long")
         .groupBy("token")
         .agg(F.sum("n").alias("count"))
         .filter(F.col("count") >= min_count)
@@ -57,7 +107,18 @@ def build_vocab(df: DataFrame, tokens_col: str = "tokens", min_count: int = 1) -
 
 
 def lookup_ids(df: DataFrame, vocab: DataFrame, key: str, tokens_col: str = "tokens", out: str = "ids") -> DataFrame:
-    """(key, ids), tokens -> ids (unknown -> [UNK]), order kept; rows with no tokens get an empty list. ``key`` is unique.
+    """(key, ids), tokens -> ids (unknown -> [UNK]), order kept; rows with no tokens get an empty list. ``key`` is unique."""
+    return _lookup(df.select(key, tokens_col), vocab, key, df.schema[key].dataType.simpleString(), out, False)[0]
+
+
+def lookup_sized(packed: DataFrame, vocab: DataFrame, key: str, out: str = "ids") -> tuple[DataFrame, DataFrame]:
+    """(J3 of ``packed_tokens`` as ``lookup_ids``, (key, n: tokens of the row, null for a null list))."""
+    ids, mapped = _lookup(packed, vocab, key, packed.schema["keys"].dataType.elementType.simpleString(), out, True)
+    return ids, mapped.select(key, F.col("_n").alias("n"))
+
+
+def _lookup(rows: DataFrame, vocab: DataFrame, key: str, kind: str, out: str, packed: bool) -> tuple[DataFrame, DataFrame]:
+    """(result of J3, ids found inside the rows, with sizes). What is found inside is worked out again from packed rows, else kept.
 
     Ids are dense by falling frequency, so the entries with the smallest ids hold nearly all occurrences: they are looked up inside
     the row, batch by batch, in an array of bounded size that every task has. Only the other tokens are exploded, joined (salted)
@@ -65,9 +126,8 @@ def lookup_ids(df: DataFrame, vocab: DataFrame, key: str, tokens_col: str = "tok
     """
     head_of = (F.col("id") < HEAD_ROWS) & (F.octet_length("token") <= HEAD_TOKEN_BYTES)
     head = vocab.filter(head_of).select("token", F.col("id").cast("int").alias("id")).toArrow().combine_chunks()
-    bound = df.sparkSession.sparkContext.broadcast((head.column("token").combine_chunks(), head.column("id").combine_chunks()))
+    bound = rows.sparkSession.sparkContext.broadcast((head.column("token").combine_chunks(), head.column("id").combine_chunks()))
     rest = vocab.count() - head.num_rows
-    kind = df.schema[key].dataType.simpleString()
 
     def run(batches):
         import numpy as np
@@ -77,7 +137,7 @@ def lookup_ids(df: DataFrame, vocab: DataFrame, key: str, tokens_col: str = "tok
         words, ids = bound.value
         words = words.combine_chunks() if isinstance(words, pa.ChunkedArray) else words
         ids = ids.combine_chunks() if isinstance(ids, pa.ChunkedArray) else ids
-        for b in (x.slice(i, j - i) for x in batches for i, j in slices(x.column(1), COUNT_TOKENS)):
+        for b in (x.slice(i, j - i) for x in (_unpacked(batches) if packed else batches) for i, j in slices(x.column(1), COUNT_TOKENS)):
             lists = b.column(1)
             sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy()
             flat = lists.flatten().cast(words.type)
@@ -88,21 +148,22 @@ def lookup_ids(df: DataFrame, vocab: DataFrame, key: str, tokens_col: str = "tok
             per = np.concatenate([[0], np.cumsum(np.bincount(own, minlength=len(sizes)))]).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), pa.ListArray.from_arrays(pa.array(ends), found), pa.ListArray.from_arrays(pa.array(per), pa.array((miss - ends[own]).astype(np.int32))),
-                 pa.ListArray.from_arrays(pa.array(per), flat.take(pa.array(miss)))], [key, "_ids", "_pos", "_tok"])
+                 pa.ListArray.from_arrays(pa.array(per), flat.take(pa.array(miss))), pc.list_value_length(lists).cast(pa.int32())], [key, "_ids", "_pos", "_tok", "_n"])
             del lists, flat, found, own, miss, ends, per
             pa.default_memory_pool().release_unused()
 
-    mapped = df.select(key, tokens_col).mapInArrow(run, f"`{key}` {kind}, _ids array<int>, _pos array<int>, _tok array<string>")
+    mapped = rows.mapInArrow(run, f"`{key}` {kind}, _ids array<int>, _pos array<int>, _tok array<string>, _n int")
     known = F.transform("_ids", lambda x: F.when(x < 0, F.lit(UNK_ID)).otherwise(x))
     if not rest:
-        return mapped.select(key, known.alias(out))
-    mapped = mapped.persist(StorageLevel.MEMORY_AND_DISK)  # read for the tail and for the result
+        return mapped.select(key, known.alias(out)), mapped
+    if not packed:
+        mapped = mapped.persist(StorageLevel.MEMORY_AND_DISK)  # read for the tail and for the result
     tail = vocab.filter(~head_of).select("token", F.col("id").cast("int").alias("_tid"), F.explode(F.sequence(F.lit(0), F.lit(TAIL_SALT - 1))).alias("_salt"))
     asked = mapped.filter(F.size("_tok") > 0).select(key, F.explode(F.arrays_zip("_pos", "_tok")).alias("m")).select(key, "m._pos", F.col("m._tok").alias("token"))
     asked = asked.withColumn("_salt", F.pmod(F.xxhash64(key, "_pos"), F.lit(TAIL_SALT)).cast("int"))
     hits = asked.join(tail, ["token", "_salt"]).groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("_pos", "_tid"))).alias("_late"))
     late = lambda x, i: F.when(x < 0, F.coalesce(F.try_element_at("_late", i), F.lit(UNK_ID))).otherwise(x)
-    return mapped.join(hits, key, "left").select(key, F.when(F.col("_late").isNull(), known).otherwise(F.transform("_ids", late)).alias(out))
+    return mapped.join(hits, key, "left").select(key, F.when(F.col("_late").isNull(), known).otherwise(F.transform("_ids", late)).alias(out)), mapped
 
 
 def lines(text) -> F.Column:

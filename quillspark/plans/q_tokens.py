@@ -134,10 +134,13 @@ def q_t11(spark, sf_dir):
 
 @register("T12_pad_batch")
 def q_t12(spark, sf_dir):
+    # tokens are written in packed form: a cache of them is many times the input, and its blocks that do not fit are mapped into memory whole
+    packed = TK.packed_tokens(doc_tokens(spark, sf_dir), "doc_id")
+    ids, sizes = TK.lookup_sized(packed, TK.build_vocab(packed, min_count=MIN_COUNT), "doc_id")
     # a chunk's position is its document's first position (a running sum over ids and counts alone) and its number: no sort of arrays
-    sizes = doc_tokens(spark, sf_dir, shared=True).select("doc_id", F.size(S.chunks("tokens", LM_SEQ_LEN)).cast("long").alias("n"))
+    sizes = sizes.select("doc_id", S.chunk_count("n", LM_SEQ_LEN).cast("long").alias("n"))
     first = with_row_index(sizes, ["doc_id"], cum_of="n", cum_out="first").select("doc_id", "first")
-    ids = doc_ids(spark, sf_dir).join(first, "doc_id").select("first", F.posexplode(S.chunks("ids", LM_SEQ_LEN)).alias("chunk_idx", "ids"))
+    ids = ids.join(first, "doc_id").select("first", F.posexplode(S.chunks("ids", LM_SEQ_LEN)).alias("chunk_idx", "ids"))
     ch = mini_batch(ids.select((F.col("first") + F.col("chunk_idx")).alias("row_idx"), "ids"), LM_BATCH)
     padded = pad_to_batch_max(ch, "ids", "batch_id", TK.PAD_ID)
     return padded.select("row_idx", "batch_id", joined("ids").alias("ids"))

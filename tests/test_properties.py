@@ -468,3 +468,26 @@ def test_packed_pairs_take_a_few_bytes(spark):
 def test_scaled_is_exact(whole):
     part = np.array([0, 1, 2, whole // 3, whole // 2, whole - 1, whole], np.int64)
     assert P.scaled(part, np.full(len(part), whole)).tolist() == [-(-int(x) * 2**32 // whole) for x in part]
+
+
+def test_sizes_come_with_the_lookup_and_no_corpus_is_cached(spark, monkeypatch, tmp_path):
+    """The corpus of tokens and of ids is not kept in Spark's cache; a null list has no size, its chunk count is null as before."""
+    from quillspark.functions.sequence import chunk_count
+    from quillspark.plans import q_tokens
+
+    lists = [["b", "a"], None, [], ["a"] * 9, ["z", "b", None], ["a"]]
+    df = spark.createDataFrame(list(enumerate(lists)), "doc_id long, tokens array<string>").repartition(2)
+    vocab = TK.build_vocab(df, min_count=2)
+    for head in (200_000, 5):
+        monkeypatch.setattr(TK, "HEAD_ROWS", head)
+        packed = TK.packed_tokens(df, "doc_id")
+        assert sorted(map(str, TK.build_vocab(packed, min_count=2).collect())) == sorted(map(str, vocab.collect()))
+        ids, sizes = TK.lookup_sized(packed, vocab, "doc_id")
+        assert {r["doc_id"]: r["n"] for r in sizes.collect()} == {i: None if x is None else len(x) for i, x in enumerate(lists)}
+        assert sorted(map(str, ids.collect())) == sorted(map(str, TK.lookup_ids(df, vocab, "doc_id").collect()))
+        assert "InMemoryRelation" not in sizes._jdf.queryExecution().withCachedData().toString()
+    both = df.select(chunk_count(F.size("tokens"), 4).alias("a"), F.size(chunks("tokens", 4)).alias("b")).collect()
+    assert all(r["a"] == r["b"] for r in both)
+    kept = []
+    monkeypatch.setattr(q_tokens, "doc_tokens", lambda spark, sf_dir, shared=False: kept.append(shared) or df)
+    assert q_tokens.q_t12(spark, "").count() > 0 and not any(kept)
